@@ -27,19 +27,20 @@ _INVALID_NAME_CHARS = r'[\x00-\x1F\x7F-\x9F":<>|*?\\/]'
 # --- guarded number parsing -------------------------------------------------------------------
 # try_cast alone accepts '1d' and 'NaN'; the reference's parsers do not, so a pattern decides first.
 
+_INTEGER = r"^\s*([+-]?[0-9]+)\s*$"
+_DECIMAL = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+
+
 def to_long(text: Column) -> Column:
-    t = F.trim(text)
-    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
+    return F.regexp_extract(text, _INTEGER, 1).try_cast("bigint")
 
 
 def to_int(text: Column) -> Column:
-    t = F.trim(text)
-    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int"))
+    return F.regexp_extract(text, _INTEGER, 1).try_cast("int")
 
 
 def to_double(text: Column) -> Column:
-    t = F.trim(text)
-    return F.when(t.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    return F.regexp_extract(text, _DECIMAL, 1).try_cast("double")
 
 
 def is_blank(text: Column) -> Column:
@@ -283,21 +284,20 @@ def hex_bytes(text: Column) -> Column:
 
 def resolution(text: Column) -> Column:
     """``WxH`` to a struct of width and height."""
-    parts = F.split(text, "[xX]")
-    two = F.size(parts) == 2
+    pattern = "^([^xX]*)[xX]([^xX]*)$"
     return F.struct(
-        F.when(two, to_int(F.get(parts, F.lit(0)))).alias("width"),
-        F.when(two, to_int(F.get(parts, F.lit(1)))).alias("height"),
+        to_int(F.regexp_extract(text, pattern, 1)).alias("width"),
+        to_int(F.regexp_extract(text, pattern, 2)).alias("height"),
     )
 
 
 def clock_seconds(text: Column) -> Column:
     """``H:MM:SS.ff`` to seconds."""
-    parts = F.split(text, ":")
-    hours = to_int(F.get(parts, F.lit(0)))
-    minutes = to_int(F.get(parts, F.lit(1)))
-    seconds = to_double(F.get(parts, F.lit(2)))
-    return F.when(F.size(parts) == 3, hours * F.lit(3600.0) + minutes * F.lit(60.0) + seconds)
+    pattern = "^([^:]*):([^:]*):([^:]*)$"
+    hours = to_int(F.regexp_extract(text, pattern, 1))
+    minutes = to_int(F.regexp_extract(text, pattern, 2))
+    seconds = to_double(F.regexp_extract(text, pattern, 3))
+    return hours * F.lit(3600.0) + minutes * F.lit(60.0) + seconds
 
 
 _ISO_DURATION = (

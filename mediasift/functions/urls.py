@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 
 # Query parameters that change per request for the same asset.
@@ -21,6 +23,10 @@ VOLATILE_PARAMETERS = (
 )
 
 _DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
+# An http(s) URL with nothing to change: lower-case host, no port, a path without dot segments.
+_NORMAL = (
+    r"^https?://[a-z0-9.\-]+/(?!\.\.?(?:[/?#]|$))(?:[!$-;=@-\[\]_a-z~](?<!/\.)(?<!/\.\.))*+(?:[?#][!#-;=?-\[\]_a-z~]*)?$"
+)
 _NEEDS_ESCAPE = r"[^\x21-\x7E]|[\"<>\\^`{|}]"
 
 
@@ -45,7 +51,7 @@ def url_host(url: Column | str) -> Column:
 def url_path(url: Column | str) -> Column:
     """Path of an absolute URL; '/' when it is empty."""
     path = F.regexp_extract(_col(url), rf"^{_SCHEME}://[^/?#]*([^?#]*)", 1)
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    return F.regexp_replace(path, "^$", "/")
 
 
 def url_query(url: Column | str) -> Column:
@@ -56,10 +62,7 @@ def url_query(url: Column | str) -> Column:
 def url_origin(url: Column | str) -> Column:
     """``scheme://host[:port]`` in lower case, default ports dropped."""
     head = F.lower(F.regexp_extract(_col(url), rf"^{_SCHEME}://[^/?#]*", 0))
-    default_port = (head.startswith("https://") & head.endswith(":443")) | (
-        head.startswith("http://") & head.endswith(":80")
-    )
-    return F.when(default_port, F.regexp_replace(head, r":\d+$", "")).otherwise(head)
+    return F.regexp_replace(head, "^(http://.*):80$|^(https://.*):443$", "$1$2")
 
 
 def url_without_query(url: Column | str) -> Column:
@@ -100,29 +103,40 @@ def escape_url(url: Column) -> Column:
 
 
 def normalize_url(url: Column | str) -> Column:
-    """Absolute URL with lower-cased origin, folded path and escaped characters."""
-    url = _col(url)
-    rest = F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
-    hierarchical = url.rlike(rf"^{_SCHEME}://")
-    absolute = F.concat(url_origin(url), fold_dot_segments(url_path(url)), rest)
-    return escape_url(F.when(hierarchical, absolute).otherwise(url))
+    """Absolute URL with lower-cased origin, folded path and escaped characters.
+
+    Most URLs already are in that form; one pattern lets them through as they are.
+    """
+
+    def rebuilt(u: Column) -> Column:
+        rest = F.regexp_extract(u, r"^[^?#]*([?#].*)?$", 1)
+        absolute = F.concat(url_origin(u), let(url_path(u), fold_dot_segments), rest)
+        return let(F.when(u.rlike(rf"^{_SCHEME}://"), absolute).otherwise(u), escape_url)
+
+    return let(_col(url), lambda u: F.when(u.rlike(_NORMAL), u).otherwise(rebuilt(u)))
 
 
 def resolve_url(reference: Column | str, base: Column | str) -> Column:
     """Resolve a reference against an absolute base (X3). Blank references give NULL."""
     base = _col(base)
-    ref = F.trim(F.regexp_replace(F.trim(_col(reference)), r'^"+|"+$', ""))
-    directory = F.regexp_replace(url_path(base), r"[^/]*$", "")
-    base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
-    joined = (
-        F.when(ref.rlike(rf"^{_SCHEME}:"), ref)
-        .when(ref.startswith("//"), F.concat(url_scheme(base), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(url_origin(base), ref))
-        .when(ref.startswith("?"), F.concat(url_without_query(base), ref))
-        .when(ref.startswith("#"), F.concat(url_without_query(base), base_query, ref))
-        .otherwise(F.concat(url_origin(base), directory, ref))
-    )
-    return F.when(ref != "", normalize_url(joined))
+    origin = F.regexp_extract(base, rf"^{_SCHEME}://[^/?#]*", 0)
+    document = F.regexp_extract(base, r"^[^?#]*", 0)
+    directory = F.regexp_extract(base, rf"^{_SCHEME}://[^/?#]*(?:/(?:[^?#]*/)?)?", 0)
+    directory = F.regexp_replace(directory, "([^/])$", "$1/")
+
+    def joined(ref: Column) -> Column:
+        return (
+            F.when(ref == "", F.lit(None).cast("string"))
+            .when(ref.rlike(rf"^{_SCHEME}:"), ref)
+            .when(ref.startswith("//"), F.concat(url_scheme(base), F.lit(":"), ref))
+            .when(ref.startswith("/"), F.concat(origin, ref))
+            .when(ref.startswith("?"), F.concat(document, ref))
+            .when(ref.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), ref))
+            .otherwise(F.concat(directory, ref))
+        )
+
+    clean = F.regexp_replace(_col(reference), r'^[\s"]+|[\s"]+$', "")
+    return normalize_url(let(clean, joined))
 
 
 def is_web_url(url: Column | str) -> Column:
@@ -146,9 +160,8 @@ def extension_from_query(query: Column) -> Column:
         F.transform(F.split(query, "&"), extension),
         lambda ext: (ext != "") & (F.length(ext) <= 6),
     )
-    return F.when(query.contains("."), F.coalesce(F.get(found, F.lit(0)), F.lit(""))).when(
-        query.contains("%2"), F.coalesce(F.get(found, F.lit(0)), F.lit(""))
-    ).otherwise(F.lit(""))
+    first = F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+    return F.when(query.rlike(r"\.|%2[eE]"), first).otherwise(F.lit(""))
 
 
 def candidate_key(url: Column | str) -> Column:
@@ -162,13 +175,12 @@ def candidate_key(url: Column | str) -> Column:
         F.concat(F.lit("&"), url_query(url)), rf"(?i)&(?:{names})(?:=[^&]*)?(?=&|$)", ""
     )
     stable = F.array_join(F.sort_array(F.split(F.substr(kept, F.lit(2)), "&")), "&")
-    left = url_without_query(url)
-    return F.when(stable == "", left).otherwise(F.concat(left, F.lit("?"), stable))
+    # A question mark that nothing follows goes again.
+    return F.concat(url_without_query(url), F.regexp_replace(stable, "^(?=.)", "?"))
 
 
 def family_from_parts(host: Column, path: Column) -> Column:
-    directory = F.regexp_extract(path, r"^(.+)/[^/]*$", 1)
-    return F.concat(host, F.when(directory == "", path).otherwise(directory))
+    return F.concat(host, F.regexp_replace(path, r"(?<=.)/[^/]*$", ""))
 
 
 def family_key(url: Column | str) -> Column:

@@ -12,6 +12,7 @@ from ..functions import urls as U
 from ..functions.text import is_blank
 from ..options import CandidateOptions
 from .ordered import first_per, top_per
+from .pinning import pin
 
 OBSERVATION_COLUMNS = {
     "request_id": "bigint", "ts": "timestamp", "seq": "bigint", "page_url": "string",
@@ -35,32 +36,40 @@ def classify_observations(observations: DataFrame) -> DataFrame:
     protocol rewrites the row to its page (C8), or drops it when the page is
     not known.
     """
-    parts = complete(observations).withColumns(
+    parts = pin(
+        complete(observations),
         {
             "host": U.url_host("url"),
             "path": U.url_path("url"),
             "_query": U.url_query("url"),
             "_mime": K.bare_mime(F.col("mime_type")),
-        }
+            "_web": U.is_web_url("url"),
+        },
     )
-    parts = parts.withColumns(
+    parts = pin(
+        parts,
         {
             "is_noise": K.noise_of_parts(F.col("host"), F.col("path")),
             "is_opaque": F.col("_mime").isin(*K.OPAQUE_MIMES),
             "_ext": K.path_extension(F.col("path"), F.col("_query")),
-        }
+            "_by_mime": K.kind_of_bare_mime(F.col("_mime")),
+        },
     )
+    parts = pin(parts, {"_by_path": K.kind_of_path(F.col("path"), F.col("_ext"))})
     seen = F.when(
-        U.is_web_url("url") & ~F.col("is_noise"),
-        K.reconcile(K.kind_of_path(F.col("path"), F.col("_ext")), K.kind_of_bare_mime(F.col("_mime"))),
+        F.col("_web") & ~F.col("is_noise"), K.reconcile(F.col("_by_path"), F.col("_by_mime"))
     ).otherwise(F.lit(K.UNKNOWN))
-    kinds = parts.withColumn("_seen", seen).withColumn(
-        "kind",
-        F.when(F.col("is_opaque"), F.lit(K.PAGE))
-        .when(F.col("_seen") != K.UNKNOWN, F.col("_seen"))
-        .otherwise(K.kind_from_resource(F.col("resource_type"), F.col("mime_type"))),
+    stamped = K.kind_from_resource(F.col("resource_type"), F.col("mime_type"))
+    parts = pin(parts, {"_seen": seen})
+    kinds = pin(
+        parts,
+        {
+            "kind": F.when(F.col("is_opaque"), F.lit(K.PAGE))
+            .when(F.col("_seen") != K.UNKNOWN, F.col("_seen"))
+            .otherwise(stamped)
+        },
     )
-    return kinds.drop("_query", "_mime", "_ext", "_seen")
+    return kinds.drop("_query", "_mime", "_web", "_ext", "_by_mime", "_by_path", "_seen")
 
 
 def filter_candidates(classified: DataFrame, options: CandidateOptions = CandidateOptions()) -> DataFrame:
