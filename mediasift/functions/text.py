@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import urls
+from .binding import let
 from .classify import HLS, DASH, SMOOTH, VIDEO, AUDIO, SEGMENT, SUBTITLE, PAGE, UNKNOWN
 
 # Device names that may not be file names, and the size limits of the checks.
@@ -53,14 +54,12 @@ def safe_name(text: Column, fallback: str = "video", max_length: int = 120) -> C
     """A name every file system accepts."""
     spaced = F.regexp_replace(F.regexp_replace(text, _INVALID_NAME_CHARS, " "), r"[\s\p{Z}]+", " ")
     trimmed = F.regexp_replace(spaced, r"^[ .]+|[ .]+$", "")
-    cut = F.when(
-        F.length(trimmed) > max_length,
-        F.regexp_replace(F.substring(trimmed, 1, max_length), r"[ .]+$", ""),
-    ).otherwise(trimmed)
-    return (
-        F.when(is_blank(text) | (cut == ""), F.lit(fallback))
-        .when(F.lower(cut).isin(*RESERVED_NAMES), F.concat(cut, F.lit("_")))
-        .otherwise(cut)
+    cut = F.regexp_replace(F.substring(trimmed, 1, max_length), r"[ .]+$", "")
+    return let(
+        cut,
+        lambda name: F.when(name.isNull() | (name == ""), F.lit(fallback))
+        .when(F.lower(name).isin(*RESERVED_NAMES), F.concat(name, F.lit("_")))
+        .otherwise(name),
     )
 
 
@@ -73,8 +72,10 @@ def name_from_url(url: Column) -> Column:
     """Decoded stem of the last path segment, else the host."""
     segment = F.regexp_extract(urls.url_path(url), r"([^/]+)/*$", 1)
     decoded = F.coalesce(F.try_url_decode(F.regexp_replace(segment, r"\+", "%2B")), segment)
-    stem = file_stem(decoded)
-    return F.when(F.trim(stem) != "", safe_name(stem)).otherwise(safe_name(urls.url_host(url)))
+    return let(
+        file_stem(decoded),
+        lambda stem: F.when(F.trim(stem) != "", safe_name(stem)).otherwise(safe_name(urls.url_host(url))),
+    )
 
 
 # --- labels -----------------------------------------------------------------------------------
