@@ -46,7 +46,8 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.concat(
             F.lit("work/"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("app-")).otherwise(F.lit("job-")),
-            F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"),
+            F.col("o_custkey").cast("string"), F.lit("/"),
+            F.when(F.col("o_orderkey") % 5 == 0, F.lit("other-")).otherwise(F.lit("app-")), F.col("o_orderkey").cast("string"),
             F.when(F.col("o_orderkey") % 2 == 0, F.lit(".log")).otherwise(F.lit(".part")),
         ).alias("path"),
         F.round("o_totalprice").cast("bigint").alias("size"),

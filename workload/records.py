@@ -96,9 +96,9 @@ def format_log(spark, sf_dir):
 
 
 @query("expired_logs", """
-SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_orderdate < TIMESTAMP '2000-05-25' AND contains('orders', 'r')""")
+SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_orderdate < TIMESTAMP '2000-05-25' AND o_orderkey % 5 <> 0""")
 def expired_logs(spark, sf_dir):
-    return L.expired_logs(D.listing(spark, sf_dir), NOW, prefix="").select("o_orderkey")
+    return L.expired_logs(D.listing(spark, sf_dir), NOW, prefix="app-").select("o_orderkey")
 
 
 @query("orphan_sweep", """
