@@ -101,7 +101,7 @@ def rank_audios(spark, sf_dir):
 
 @query("rank_videos_whole_table", f"""
 SELECT l_returnflag AS source_id, l_orderkey * 100 + l_linenumber AS ordinal, l_partkey, l_suppkey, epoch_us(l_shipdate) AS shipped,
- rank() OVER (PARTITION BY l_returnflag ORDER BY (l_linenumber * 360) * 1000000 + least(CAST(round(l_extendedprice * 20) AS BIGINT), 999999) DESC, l_orderkey * 100 + l_linenumber) AS first_rank
+ rank() OVER (PARTITION BY l_returnflag ORDER BY CAST(l_linenumber * 360 AS BIGINT) * 1000000 + least(CAST(round(l_extendedprice * 20) AS BIGINT), 999999) DESC, l_orderkey * 100 + l_linenumber) AS first_rank
 FROM lineitem""")
 def rank_videos_whole_table(spark, sf_dir):
     """Three sources hold the whole table, so each ladder is cut into chunks."""
@@ -363,8 +363,8 @@ def refusal_diagnosis(spark, sf_dir):
 
 
 @query("route_hosts", f"""WITH {FETCH}, h AS (SELECT host, greatest(min(ts) FILTER (route = 'direct' AND status = 403), min(ts) FILTER (route = 'browser' AND status = 200)) AS since,
- count(*) FILTER (route = 'direct' AND status = 403) > 0 AND count(*) FILTER (route = 'browser' AND status = 200) > 0 AS both FROM f GROUP BY 1)
-SELECT seq // 5 AS request_id, attempt, CASE WHEN both AND ts > since THEN 'browser' ELSE 'direct' END AS expected_route FROM f JOIN h USING (host)""")
+ count(*) FILTER (route = 'direct' AND status = 403) > 0 AND count(*) FILTER (route = 'browser' AND status = 200) > 0 AS split FROM f GROUP BY 1)
+SELECT seq // 5 AS request_id, attempt, CASE WHEN split AND ts > since THEN 'browser' ELSE 'direct' END AS expected_route FROM f JOIN h USING (host)""")
 def route_hosts(spark, sf_dir):
     return J.route_hosts(D.fetch_log(spark, sf_dir)).select("request_id", "attempt", "expected_route")
 
