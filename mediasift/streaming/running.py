@@ -6,10 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's checkpoint directory; a local one only where none is set."""
@@ -30,18 +27,10 @@ def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_no={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
-        started = (
-            stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True).foreachBatch(write).start()
-        )
-        started.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
-    schema = columns.add("batch_no", "int") if "batch_no" not in columns.names else columns
+    started = (
+        stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True).foreachBatch(write).start()
+    )
+    started.awaitTermination()
+    schema = StructType([*columns.fields, StructField("batch_no", IntegerType())])
     return spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")

@@ -1,19 +1,21 @@
 """Streams that keep state of their own.
 
-Each processor is a small step function over the rows of one key; Spark
-partitions, shuffles and stores the state. State of keys that fall silent is
-dropped after ``ttl_ms``. Needs the RocksDB state store.
+Each is a small step function over the rows of one key, run by
+``applyInPandasWithState``: Spark partitions, shuffles and stores the state.
+A key whose rows end loses its state once the watermark is ``ttl_ms`` past the
+last of them, so state is bounded by event time and a replay gives the same
+result.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import headers as H
 from ..functions import text as X
@@ -29,206 +31,164 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _plain(value):
-    return None if value is None or (isinstance(value, float) and pd.isna(value)) or value is pd.NaT else value
-
-
-class _JsonState:
-    """One value per key, kept as JSON."""
-
-    def __init__(self, handle: StatefulProcessorHandle, name: str, ttl_ms: int):
-        self._state = handle.getValueState(name, "value STRING", ttl_ms)
-
-    def read(self) -> dict:
-        held = self._state.get()
-        return json.loads(held[0]) if held else {}
-
-    def write(self, value: dict) -> None:
-        self._state.update((json.dumps(value),))
-
-
-class RefreshProcessor(StatefulProcessor):
-    """M2: emits a response when it comes, and again when its extra headers come later."""
-
-    def __init__(self, ttl_ms: int = DAY_MS):
-        self.ttl_ms = ttl_ms
+    return None if value is None or value is pd.NA or value is pd.NaT or value != value else value
+
+
+def _keyed(
+    df: DataFrame, keys: list[str], step: Callable[[tuple, pd.DataFrame, dict], list[tuple]], schema: str,
+    ttl_ms: int, late: str = "1 hour",
+) -> DataFrame:
+    """Run ``step(key, rows, held)`` per key; ``held`` is a dictionary that lasts between batches."""
+    columns = [part.split()[0] for part in schema.split(", ")]
+    whole = [part.split()[0] for part in schema.split(", ") if part.endswith("BIGINT")]
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {}
+        ordered = _in_order(rows)
+        out = step(key, ordered, held)
+        state.update((json.dumps(held),))
+        last = max(int(ordered["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(last + ttl_ms)
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in whole})
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = _JsonState(handle, "pending", self.ttl_ms)
+    return df.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(
+        run, schema, "held STRING", "update", GroupStateTimeout.EventTimeTimeout
+    )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.read()
-        out = []
-        for row in _in_order(rows).itertuples(index=False):
-            if row.event == "request":
-                held["url"], held["headers"] = _plain(row.url), _plain(row.headers)
-            elif row.event == "extra":
-                held["extra"] = _plain(row.headers)
-            elif row.event == "response":
-                held["response"] = [row.seq, _plain(row.url) or held.get("url"), _plain(row.mime_type), _plain(row.content_length)]
-            late = row.event == "extra" and "response" in held
-            if "response" in held and (row.event == "response" or late):
-                merged = {**json.loads(held.get("headers") or "{}"), **json.loads(held.get("extra") or "{}")}
-                seq, url, mime, length = held["response"]
-                out.append((*key, int(seq), url, mime, None if length is None else int(length), merged.get("cookie"), late))
-        self.state.write(held)
-        if out:
-            columns = ["visit_id", "request_id", "seq", "url", "mime_type", "content_length", "cookie", "refreshed"]
-            yield pd.DataFrame(out, columns=columns).astype({"content_length": "Int64"})
 
-    def close(self) -> None:
-        pass
+def _refresh(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
+    out = []
+    for row in rows.itertuples(index=False):
+        if row.event == "request":
+            held["url"], held["headers"] = _plain(row.url), _plain(row.headers)
+        elif row.event == "extra":
+            held["extra"] = _plain(row.headers)
+        else:
+            length = _plain(row.content_length)
+            held["response"] = [
+                int(row.seq), _plain(row.url) or held.get("url"), _plain(row.mime_type), None if length is None else int(length)
+            ]
+        late = row.event == "extra" and "response" in held
+        if row.event == "response" or late:
+            merged = {**json.loads(held.get("headers") or "{}"), **json.loads(held.get("extra") or "{}")}
+            out.append((*key, *held["response"], merged.get("cookie"), late))
+    return out
 
 
 def stream_refresh(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
-    """M2. ``events`` are parsed by ``parse_net_events``; ends of loading are not needed, as state expires."""
+    """M2: emits a response when it comes, and again when its extra headers come later.
+
+    ``events`` are parsed by ``parse_net_events``; ends of loading are not needed, as state expires.
+    """
     method = F.col("method")
-    names = ("request", "extra", "response")
-    event = F.when(F.lit(False), F.lit(""))
-    for name, code in zip(E.METHODS, names):
-        event = event.when(method == name, F.lit(code))
+    event = (
+        F.when(method == E.METHODS[0], "request").when(method == E.METHODS[1], "extra").otherwise("response")
+    )
     headers = F.when(method == E.METHODS[0], F.col("p.request.headers")).when(method == E.METHODS[1], F.col("p.headers"))
     answer = H.lower_keys(F.col("p.response.headers"))
     length = X.asset_length(
         F.try_element_at(answer, F.lit("content-range")), F.try_element_at(answer, F.lit("content-length"))
     )
     rows = events.filter(method.isin(*E.METHODS[:3])).select(
-        "visit_id", "request_id", "seq", event.alias("event"),
+        "visit_id", "request_id", "seq", "ts", event.alias("event"),
         F.coalesce(F.col("p.request.url"), F.col("p.response.url")).alias("url"),
         F.to_json(H.lower_keys(headers)).alias("headers"), F.col("p.response.mimeType").alias("mime_type"), length.alias("content_length"),
     )
-    return rows.groupBy("visit_id", "request_id").transformWithStateInPandas(
-        RefreshProcessor(ttl_ms),
-        "visit_id BIGINT, request_id STRING, seq BIGINT, url STRING, mime_type STRING, content_length BIGINT, cookie STRING, refreshed BOOLEAN",
-        "Update", "ProcessingTime",
+    schema = (
+        "visit_id BIGINT, request_id STRING, seq BIGINT, url STRING, mime_type STRING, content_length BIGINT,"
+        " cookie STRING, refreshed BOOLEAN"
     )
+    return _keyed(rows, ["visit_id", "request_id"], _refresh, schema, ttl_ms)
 
 
-class ProtectionProcessor(StatefulProcessor):
-    """M6: a package's candidates, each emitted again if its protection shows later."""
-
-    def __init__(self, ttl_ms: int = DAY_MS):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mark = handle.getValueState("system", "system STRING", self.ttl_ms)
-        self.held = handle.getListState("candidates", "url STRING, seq BIGINT", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = self.mark.get()
-        system = mark[0] if mark else None
-        out, waiting = [], []
-        for row in _in_order(rows).itertuples(index=False):
-            if row.event == "candidate":
-                out.append((key[0], row.url, int(row.seq), system is not None, system))
-                if system is None:
-                    waiting.append((row.url, int(row.seq)))
-            elif system is None:
-                system = row.system
-                self.mark.update((system,))
-                out.extend((key[0], url, int(seq), True, system) for url, seq in [*self.held.get(), *waiting])
-                self.held.clear()
-                waiting = []
-        if waiting:
-            self.held.appendList(waiting)
-        if out:
-            yield pd.DataFrame(out, columns=["family", "url", "seq", "is_protected", "system"])
-
-    def close(self) -> None:
-        pass
+def _protect(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
+    out, waiting = [], held.setdefault("waiting", [])
+    for row in rows.itertuples(index=False):
+        system = held.get("system")
+        if row.event == "candidate":
+            out.append((key[0], row.url, int(row.seq), system is not None, system))
+            if system is None:
+                waiting.append([row.url, int(row.seq)])
+        elif system is None:
+            held["system"] = row.system
+            out.extend((key[0], url, seq, True, row.system) for url, seq in waiting)
+            waiting.clear()
+    return out
 
 
 def stream_protection(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
-    """M6. ``events`` come from ``protection_events``; candidates once each."""
-    return events.groupBy("family").transformWithStateInPandas(
-        ProtectionProcessor(ttl_ms), "family STRING, url STRING, seq BIGINT, is_protected BOOLEAN, system STRING", "Update", "ProcessingTime"
-    )
-
-
-class JobProcessor(StatefulProcessor):
-    """Milestones and state changes of a job; what comes after a final state is ignored."""
-
-    def __init__(self, ttl_ms: int = DAY_MS):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = _JsonState(handle, "job", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.read()
-        out = []
-        for row in _in_order(rows).itertuples(index=False):
-            if held.get("state") in TERMINAL:
-                break
-            reported = _plain(row.stage)
-            state = _plain(row.state) or ("muxing" if reported == "finalizing" else "downloading")
-            if state != held.get("state"):
-                out.append((key[0], int(row.seq), "state", state))
-                held["state"] = state
-            if reported is None:
-                continue
-            fraction = _plain(row.fraction)
-            decile = -1 if fraction is None else int(fraction * 10 + 1e-12)
-            if reported != held.get("stage"):
-                held["stage"], held["decile"] = reported, decile
-                out.append((key[0], int(row.seq), "stage", reported))
-            elif decile > held["decile"]:
-                held["decile"] = decile
-                out.append((key[0], int(row.seq), "milestone", f"{reported} {decile * 10}%"))
-        self.state.write(held)
-        if out:
-            yield pd.DataFrame(out, columns=["job_id", "seq", "event", "detail"])
-
-    def close(self) -> None:
-        pass
+    """M6: candidates with their package's protection, emitted again if it shows later.
+
+    ``events`` come from ``protection_events``; candidates once each.
+    """
+    schema = "family STRING, url STRING, seq BIGINT, is_protected BOOLEAN, system STRING"
+    return _keyed(events, ["family"], _protect, schema, ttl_ms)
+
+
+def _job(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
+    out = []
+    for row in rows.itertuples(index=False):
+        if held.get("state") in TERMINAL:
+            break
+        stage = _plain(row.stage)
+        state = _plain(row.state) or ("muxing" if stage == "finalizing" else "downloading")
+        if state != held.get("state"):
+            out.append((key[0], int(row.seq), "state", state))
+            held["state"] = state
+        if stage is None:
+            continue
+        fraction = _plain(row.fraction)
+        decile = -1 if fraction is None else int(fraction * 10 + 1e-12)
+        if stage != held.get("stage"):
+            held["stage"], held["decile"] = stage, decile
+            out.append((key[0], int(row.seq), "stage", stage))
+        elif decile > held["decile"]:
+            held["decile"] = decile
+            out.append((key[0], int(row.seq), "milestone", f"{stage} {decile * 10}%"))
+    return out
 
 
 def stream_jobs(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
-    """M10. ``events`` have ``job_id, seq, state, stage`` and the progress columns."""
-    fraction = X.progress_fraction(F.col("segments_done"), F.col("segments_total"), F.col("bytes"), F.col("total_bytes"))
-    rows = events.select("job_id", "seq", "state", "stage", fraction.alias("fraction"))
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        JobProcessor(ttl_ms), "job_id STRING, seq BIGINT, event STRING, detail STRING", "Update", "ProcessingTime"
-    )
-
+    """Milestones and state changes of a job; what comes after a final state is ignored.
 
-class RateProcessor(StatefulProcessor):
-    """The smoothed rate after each sample. The state is five numbers."""
-
-    def __init__(self, ttl_ms: int = DAY_MS):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("meter", "start BIGINT, opened BIGINT, held BIGINT, total BIGINT, rate DOUBLE", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ordered = _in_order(rows)
-        start, opened, held, total, rate = self.state.get() or (None, None, 0, 0, 0.0)
-        out = []
-        for row in ordered.itertuples(index=False):
-            now, size = int(row.ts_us), int(row.bytes)
-            if start is None:
-                start = opened = now if _plain(row.started_us) is None else int(row.started_us)
-            held, total = held + size, total + size
-            elapsed = (now - opened) / 1e6
-            if elapsed >= 0.5:
-                sample = held / elapsed
-                rate = sample if rate <= 0 else rate * 0.6 + sample * 0.4
-                held, opened = 0, now
-            since = (now - start) / 1e6
-            shown = rate if rate > 0 else (total / since if since > 0.1 and total > 0 else 0.0)
-            out.append((key[0], int(row.seq), shown))
-        self.state.update((start, opened, held, total, rate))
-        yield pd.DataFrame(out, columns=["job_id", "seq", "bytes_per_second"])
-
-    def close(self) -> None:
-        pass
+    ``events`` have ``job_id, seq, ts, state, stage`` and the progress columns.
+    """
+    fraction = X.progress_fraction(F.col("segments_done"), F.col("segments_total"), F.col("bytes"), F.col("total_bytes"))
+    rows = events.select("job_id", "seq", "ts", "state", "stage", fraction.alias("fraction"))
+    return _keyed(rows, ["job_id"], _job, "job_id STRING, seq BIGINT, event STRING, detail STRING", ttl_ms)
+
+
+def _meter(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
+    out = []
+    for row in rows.itertuples(index=False):
+        now, size = int(row.ts_us), int(row.bytes)
+        if not held:
+            started = _plain(row.started_us)
+            start = now if started is None else int(started)
+            held.update(start=start, opened=start, window=0, total=0, rate=0.0)
+        held["window"] += size
+        held["total"] += size
+        elapsed = (now - held["opened"]) / 1e6
+        if elapsed >= 0.5:
+            sample, rate = held["window"] / elapsed, held["rate"]
+            held["rate"] = sample if rate <= 0 else rate * 0.6 + sample * 0.4
+            held["window"], held["opened"] = 0, now
+        since = (now - held["start"]) / 1e6
+        overall = held["total"] / since if since > 0.1 and held["total"] > 0 else 0.0
+        out.append((key[0], int(row.seq), held["rate"] if held["rate"] > 0 else overall))
+    return out
 
 
 def stream_rate(samples: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
-    """M12. ``samples`` have ``job_id, seq, ts, bytes`` (of the sample) and ``started_at``."""
+    """The smoothed rate after each sample. The state of a job is five numbers.
+
+    ``samples`` have ``job_id, seq, ts, bytes`` (of the sample) and ``started_at``.
+    """
     rows = samples.select(
-        "job_id", "seq", F.unix_micros("ts").alias("ts_us"), "bytes", F.unix_micros("started_at").alias("started_us")
-    )
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        RateProcessor(ttl_ms), "job_id STRING, seq BIGINT, bytes_per_second DOUBLE", "Update", "ProcessingTime"
+        "job_id", "seq", "ts", F.unix_micros("ts").alias("ts_us"), "bytes", F.unix_micros("started_at").alias("started_us")
     )
+    return _keyed(rows, ["job_id"], _meter, "job_id STRING, seq BIGINT, bytes_per_second DOUBLE", ttl_ms)
