@@ -53,8 +53,8 @@ WHERE ts < (SELECT max(ts) FROM r) - INTERVAL 10 MINUTE""")
 def stream_correlate(spark, sf_dir):
     events = E.parse_net_events(stream_of(spark, C.net_events(spark, sf_dir)))
     rows = drain(live.stream_correlate(events))
-    last = T.responses(spark, sf_dir).agg(F.max("ts").alias("last"))
-    settled = rows.crossJoin(F.broadcast(last)).filter(F.col("ts") < F.col("last") - F.expr("INTERVAL 10 MINUTES"))
+    last = T.responses(spark, sf_dir).agg(F.max(F.unix_micros("ts"))).first()[0]
+    settled = rows.filter(F.unix_micros("ts") < last - 600 * 1_000_000)
     return settled.select("request_id", "visit_id", "content_length", "cookie")
 
 
