@@ -75,7 +75,7 @@ class SegmentIndex:
 
 
 def _search(k: int, chunk: int):
-    def run(key, queries: pa.Table, index: pa.Table) -> pa.Table:
+    def run(key, queries, index):
         codes = index["code"].to_numpy().view(np.uint64)
         ids = index["ids"].combine_chunks()
         starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
