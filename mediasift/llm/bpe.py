@@ -21,6 +21,7 @@ import re
 import sys
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -336,8 +337,8 @@ def decode(rows: DataFrame, path: str, id_column: str = "doc_id", ids_column: st
     return _each(rows, {"doc_id": F.col(id_column), "ids": F.col(ids_column)}, f"doc_id {kind}, text string", make)
 
 
-def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: what encoding, and decoding again, gives for every row.
+def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): what encoding, and decoding again, gives for every row.
 
     The same answers as :func:`encode` and :func:`decode`, hashed where they are made so that tokens need not move.
     """
@@ -345,14 +346,21 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
 
     def make(batch):
         t = tokenizer(sent.value)
-        counts, ids, texts = [], [], []
+        counts, spelled, ids, texts = [], [], [], []
         for text in batch.column("text").to_pylist():
             entries = t.entries(text)
             counts.append(sum([e[2] for e in entries]))
-            ids.append(hashlib.sha256(" ".join([e[0] for e in entries]).encode()).hexdigest())
+            joined = " ".join([e[0] for e in entries])
+            if with_ids:
+                spelled.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
+            ids.append(hashlib.sha256(joined.encode()).hexdigest())
             texts.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
-        return pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            columns, names = [*columns, pa.array(spelled, pa.list_(pa.int32()))], [*names, "ids"]
+        return pa.record_batch(columns, names)
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return _each(docs, {"doc_id": F.col(id_column), "text": text_or_empty(F.col(text_column))}, schema, make)

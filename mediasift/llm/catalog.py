@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hamming_search, mixing, near_dedup, url_filters
+from . import bpe, exact_dedup, hamming_search, language_id, mixing, near_dedup, quality, toxicity, url_filters
+from .shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,9 +104,46 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 @query("op3_bpe_round_trip")
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(documents(spark, sf_dir), tokenizer_file())
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_file())
 
 
 @query("op6_ngram_jaccard")
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("id"), "text")
+
+
+def labels(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col(kind).alias("label"))
+
+
+def toxicity_field(docs: DataFrame, sf_dir: str) -> toxicity.Field:
+    """Learned from the labelled rows outside fold 0 of 5."""
+    labelled = labels(docs.sparkSession, sf_dir, "toxic").where(fold(F.col("id"), 5) != 0)
+    return toxicity.fit(id_and_text(docs), labelled)
+
+
+@query("op2_toxicity_crf")
+def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_field(docs, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).where(fold(F.col("id"), 5) != 0)
+    predicted = language_id.predict(docs, language_id.fit(id_and_text(docs), labelled))
+    return predicted.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_quality_attention")
+def op8_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labelled = labels(spark, sf_dir, "quality").where(fold(F.col("id"), 3) != 1)
+    scored = quality.score(docs, quality.fit(id_and_text(docs), labelled))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "passages", "top_passage")

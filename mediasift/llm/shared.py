@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -39,20 +40,23 @@ def fold(id_column: Column, folds: int) -> Column:
     return F.pmod(F.crc32(text_or_empty(id_column).cast("binary")), F.lit(folds))
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, labels: int) -> DataFrame:
-    """At most ``per_label`` rows of each of at most ``labels`` label values (the most frequent ones).
+def labelled_sample(docs: DataFrame, labelled: DataFrame, per_label: int, labels: int, most_chars: int):
+    """A bounded pandas frame ``id, label, text``: at most ``per_label`` ids of each of the ``labels`` most frequent labels.
 
-    Rows are taken in the order of a hash of their id and text, so the sample follows the rows and not their places.
-    The rank is limited inside every map task before rows move.
+    ``docs`` has ``id, text``, ``labelled`` has ``id, label``; null ids, labels and texts take no part. Ids are taken in
+    the order of their hash, so the sample follows the rows and not their places; the rank is limited inside every map
+    task before rows move. Only the chosen ids, whose number is bounded, are sent to the texts. Texts over
+    ``most_chars`` characters and further rows that repeat an id are left out of the sample.
     """
-    from pyspark.sql import Window
-
-    frequent = (
-        rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), F.col(label)).limit(labels).select(label)
-    )
-    order = Window.partitionBy(label).orderBy(F.xxhash64("id", "text"), "id")
-    ranked = rows.join(F.broadcast(frequent), label, "left_semi").withColumn("_rank", F.row_number().over(order))
-    return ranked.where(F.col("_rank") <= per_label).drop("_rank")
+    labelled = labelled.select("id", "label").where("id IS NOT NULL AND label IS NOT NULL")
+    frequent = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "label").limit(labels).select("label")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    ranked = labelled.join(F.broadcast(frequent), "label", "left_semi").withColumn("_rank", F.row_number().over(order))
+    chosen = ranked.where(F.col("_rank") <= per_label).select("id", "label").dropDuplicates(["id"])
+    texts = docs.select("id", "text").where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    found = texts.join(F.broadcast(chosen), "id").limit(2 * per_label * labels)
+    frame = found.select("id", "label", "text").toPandas()
+    return frame.sort_values(["label", "id", "text"]).drop_duplicates("id").reset_index(drop=True)
 
 
 def cross_entropy_score(value):
