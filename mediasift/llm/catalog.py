@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hamming_search, language_id, mixing, near_dedup, quality, toxicity, url_filters
+from . import bpe, exact_dedup, hamming_search, language_id, mixing, near_dedup, quality, suffix_dedup, toxicity, url_filters
 from .shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ def op8_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = labels(spark, sf_dir, "quality").where(fold(F.col("id"), 3) != 1)
     scored = quality.score(docs, quality.fit(id_and_text(docs), labelled))
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "passages", "top_passage")
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
