@@ -75,10 +75,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame, id_column:
     """One row per row of ``pages``: ``page_id, host, path, rule, verdict, component``.
 
     ``rules``: ``host, path, decision`` (allow or block). ``links``: ``source, target`` URLs that stand for the same
-    page. Without an own rule a URL takes its component's decision, allow before block, else ``default``. URLs that are
+    page; links with an end that is null or has no host are ignored. Without an own rule a URL takes its component's decision, allow before block, else ``default``. URLs that are
     null or have no host fit no rule, and only equal ones are aliases. Repeated rows get the same answer; an empty
     table gives none. Other columns are not read.
     """
+    links = links.where((url_host(F.col("source")) != "") & (url_host(F.col("target")) != ""))
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url")).withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url")), "key": page_key(F.col("url"))})
     ruled = rows.join(fitting_rules(rows, rules), ["host", "path"], "left")
     nodes = connected_components(links.select(page_key(F.col("source")).alias("a"), page_key(F.col("target")).alias("b")))
