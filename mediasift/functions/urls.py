@@ -60,8 +60,11 @@ def url_query(url: Column | str) -> Column:
 
 
 def url_origin(url: Column | str) -> Column:
-    """``scheme://host[:port]`` in lower case, default ports dropped."""
-    head = F.lower(F.regexp_extract(_col(url), rf"^{_SCHEME}://[^/?#]*", 0))
+    """``scheme://[user@]host[:port]``, scheme and host in lower case, default ports dropped. A user keeps its case."""
+    url = _col(url)
+    scheme = F.lower(F.regexp_extract(url, rf"^{_SCHEME}://", 0))
+    user = F.regexp_extract(url, rf"^{_SCHEME}://([^/?#]*@)", 1)
+    head = F.concat(scheme, user, F.lower(F.regexp_extract(url, rf"^{_SCHEME}://(?:[^/?#]*@)?([^/?#]*)", 1)))
     return F.regexp_replace(head, "^(http://.*):80$|^(https://.*):443$", "$1$2")
 
 
@@ -165,11 +168,15 @@ def extension_from_query(query: Column) -> Column:
 
 
 def candidate_key(url: Column | str) -> Column:
-    """Identity of an asset: no fragment, no volatile parameters, the rest in order.
+    """Identity of an asset: normalised, no fragment, no volatile parameters, the rest in order.
 
-    One regular expression drops the volatile pairs and ``sort_array`` orders
-    what is left, so the whole key stays inside generated code.
+    Spellings of one address (dot segments, characters that need escaping) have one key. One regular expression drops
+    the volatile pairs and ``sort_array`` orders what is left.
     """
+    return let(normalize_url(url), _key_of)
+
+
+def _key_of(url: Column) -> Column:
     names = "|".join(VOLATILE_PARAMETERS)
     kept = F.regexp_replace(
         F.concat(F.lit("&"), url_query(url)), rf"(?i)&(?:{names})(?:=[^&]*)?(?=&|$)", ""

@@ -34,10 +34,18 @@ def parse_checksums(lists: DataFrame) -> DataFrame:
 
 
 def verify_checksums(files: DataFrame, checksums: DataFrame) -> DataFrame:
-    """``name, content`` against the published digests: match, mismatch or unlisted."""
+    """``name, content`` against the published digests: match, mismatch or unlisted.
+
+    Files that carry a ``list_id`` are held against that list. Others match when any list gives their digest under
+    their name; else the smallest digest listed for the name is what was expected. One row per file either way.
+    """
+    keys = ["list_id", "name_key"] if "list_id" in files.columns else ["name_key"]
     actual = files.withColumns({"actual_sha256": F.sha2("content", 256), "name_key": F.lower("name")}).drop("content")
-    listed = checksums.select("name_key", F.col("sha256").alias("expected_sha256"))
-    joined = actual.join(listed, "name_key", "left").drop("name_key")
+    listed = checksums.groupBy(*keys).agg(F.min("sha256").alias("_any"))
+    exact = checksums.select(*keys, F.col("sha256").alias("actual_sha256"), F.col("sha256").alias("_same")).distinct()
+    joined = actual.join(listed, keys, "left").join(exact, [*keys, "actual_sha256"], "left")
+    joined = joined.withColumn("expected_sha256", F.coalesce("_same", "_any"))
+    joined = joined.select(*[c for c in actual.columns if c != "name_key"], "expected_sha256")
     verdict = (
         F.when(F.col("expected_sha256").isNull(), "unlisted")
         .when(F.col("expected_sha256") == F.col("actual_sha256"), "match")

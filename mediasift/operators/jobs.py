@@ -184,8 +184,9 @@ def peak_concurrency(job_events: DataFrame, limit: int, chunk_seconds: int = 360
 def retry_audit(fetch_log: DataFrame) -> DataFrame:
     """Attempts of each request with the least delay each should have waited.
 
-    A retried answer is waited out for its Retry-After (at most 30 s), else for
-    400 ms doubled per attempt. Chunks of attempts keep a request of any length
+    An answer that may be retried, and has attempts left, is waited out for its
+    Retry-After (at most 30 s), else for 400 ms doubled per attempt. Attempts
+    count from 0. After any other answer nothing has to be waited for. Chunks of attempts keep a request of any length
     spread out.
     """
     rows = running(
@@ -197,7 +198,8 @@ def retry_audit(fetch_log: DataFrame) -> DataFrame:
     )
     given = F.when(F.col("_last.retry_after_s") > 0, F.least(F.col("_last.retry_after_s"), F.lit(RETRY_AFTER_CAP_SECONDS)).cast("double"))
     backoff = F.lit(BACKOFF_SECONDS) * F.pow(F.lit(2.0), F.col("_last.attempt"))
-    expected = F.when(F.col("_last_ts").isNotNull(), F.coalesce(given, backoff))
+    retried = (K.status_class(F.col("_last.status")) == "retryable") & (F.col("_last.attempt") < MAX_ATTEMPTS - 1)
+    expected = F.when(F.col("_last_ts").isNotNull() & retried, F.coalesce(given, backoff))
     waited = (F.unix_micros("ts") - F.col("_last_ts")) / F.lit(1e6)
     return rows.withColumns({"expected_delay_s": expected, "waited_s": waited}).withColumn(
         "too_early", F.coalesce(F.col("waited_s") < F.col("expected_delay_s"), F.lit(False))
@@ -217,9 +219,9 @@ def retry_summary(audited: DataFrame) -> DataFrame:
 
 
 def refusal_diagnosis(fetch_log: DataFrame) -> DataFrame:
-    """Per host, the first refusal of the direct client: what was sent, and how the browser fared.
+    """Per host, the first refusal of the direct client: what was sent, and how the browser fared from then on.
 
-    ``fetch_log`` has ``host, ts, route, status, headers``.
+    ``fetch_log`` has ``host, ts, route, status, headers``. What the browser did before the refusal does not count.
     """
     refused = (F.col("route") == "direct") & F.col("status").isin(*K.REFUSAL_STATUS)
     through = (F.col("route") == "browser") & F.col("status").between(200, 299)
@@ -230,9 +232,12 @@ def refusal_diagnosis(fetch_log: DataFrame) -> DataFrame:
     rows = rows.select("host", "ts", "status", "route", names.alias("sent"), cookie.alias("cookie"), refused.alias("_refused"), through.alias("_through"))
     first = rows.groupBy("host").agg(
         F.min_by(F.struct("ts", "status", "sent", "cookie"), F.when(F.col("_refused"), F.struct("ts", "status"))).alias("f"),
-        F.min(F.when(F.col("_through"), F.col("ts"))).alias("browser_ok_at"),
-        F.max(F.col("route") == "browser").alias("_asked"),
     ).filter(F.col("f").isNotNull())
+    later = rows.filter(F.col("route") == "browser").join(first.select("host", F.col("f.ts").alias("_refused_at")), "host")
+    later = later.filter(F.col("ts") >= F.col("_refused_at")).groupBy("host").agg(
+        F.min(F.when(F.col("_through"), F.col("ts"))).alias("browser_ok_at"), F.lit(True).alias("_asked")
+    )
+    first = first.join(later, "host", "left")
     outcome = (
         F.when(F.col("browser_ok_at").isNotNull(), "browser_succeeded").when(F.col("_asked"), "browser_refused").otherwise("not_tried")
     )
@@ -243,17 +248,15 @@ def refusal_diagnosis(fetch_log: DataFrame) -> DataFrame:
 
 
 def route_hosts(fetch_log: DataFrame) -> DataFrame:
-    """Requests that belong on the browser, because their host refused the direct client and served the browser before.
+    """Requests that belong on the browser: their host refused the direct client and after that served the browser.
 
-    One row per host meets the log, so the ordered comparison is a filter on an equi-join.
+    One row per host meets the log, so the ordered comparisons are filters on equi-joins.
     """
     refused = (F.col("route") == "direct") & F.col("status").isin(*K.REFUSAL_STATUS)
     served = (F.col("route") == "browser") & F.col("status").between(200, 299)
-    hosts = fetch_log.groupBy("host").agg(
-        F.min(F.when(refused, F.col("ts"))).alias("refused_at"), F.min(F.when(served, F.col("ts"))).alias("served_at")
-    )
-    hosts = hosts.filter(F.col("refused_at").isNotNull() & F.col("served_at").isNotNull())
-    since = hosts.select("host", F.greatest("refused_at", "served_at").alias("_since"))
+    refusals = fetch_log.filter(refused).groupBy("host").agg(F.min("ts").alias("_refused_at"))
+    after = fetch_log.filter(served).select("host", "ts").join(refusals, "host").filter(F.col("ts") >= F.col("_refused_at"))
+    since = after.groupBy("host").agg(F.min("ts").alias("_since"))
     joined = fetch_log.join(since, "host", "left")
     route = F.when(F.col("ts") > F.col("_since"), "browser").otherwise("direct")
     return joined.withColumn("expected_route", route).drop("_since")

@@ -11,7 +11,7 @@ from ..functions import classify as K
 from ..functions import text as X
 from ..functions import urls as U
 from .extractor import with_labels
-from .ordered import by_count, first_per, row_numbers, top_per
+from .ordered import Carry, by_count, first_per, row_numbers, running, top_per
 from .pinning import pin
 
 VARIANT_COLUMNS = {
@@ -58,11 +58,11 @@ def rank_videos(variants: DataFrame) -> DataFrame:
     rows = videos_of(variants).withColumn("_down", -F.col("score"))
     step = F.floor(F.col("_down") / 20_000)
     ties = F.col("score") % 1_000_000
-    # Only the two ends of a step's scale can hold a large tie: nothing known, or saturated.
+    # Large ties have no rate or a saturated one. A step starts at a full height, so these two scores are its best.
     tied = ties.isin(0, SATURATED)
     chunk = F.struct(
         step.alias("a"),
-        F.when(tied, F.when(ties == 0, 1).otherwise(-1)).otherwise(0).alias("b"),
+        F.when(ties == 0, -2).when(ties == SATURATED, -1).otherwise(0).alias("b"),
         F.when(tied, F.floor(F.col("ordinal") / 250_000)).otherwise(0).alias("c"),
     )
     return row_numbers(rows, ["source_id"], ["_down", "ordinal"], chunk, "video_rank").drop("_down")
@@ -165,27 +165,48 @@ def describe_sources(variants: DataFrame) -> DataFrame:
 
 
 def unique_names(df: DataFrame, path: str, order: str, existing: DataFrame | None = None) -> DataFrame:
-    """The first of equal names keeps it, later ones get " (2)", " (3)", ...
+    """The first of equal names keeps it, later ones get the free numbers " (2)", " (3)", ...
 
     Names compare without case. ``existing`` (one column, ``path``) counts as
-    taken already. A name may be as common as it likes: it is numbered in chunks
-    of ``order``, an increasing number.
+    taken already, and a number is not free where a row asks for that very name.
+    So no two results are equal and none is in ``existing``. A name may be as
+    common as it likes: it is numbered in chunks of ``order``, an increasing
+    number, and the free numbers are found by counting taken ones in order.
     """
     rows = df.withColumn("_name", F.lower(path))
     rows = row_numbers(rows, ["_name"], [order], by_count(order), "_number")
+    asked = rows.select("_name").distinct()
+    there = asked if existing is None else asked.unionByName(existing.select(F.lower("path").alias("_name"))).distinct()
     if existing is not None:
-        numbered = r"^(.*?) \(\d+\)(\.[^.]*)?$"
-        taken = existing.select(
-            F.explode(
-                F.array_distinct(F.array(F.lower("path"), F.regexp_replace(F.lower("path"), numbered, "$1$2")))
-            ).alias("_name")
-        )
-        taken = taken.groupBy("_name").agg(F.count("*").alias("_taken"))
+        taken = existing.select(F.lower("path").alias("_name"), F.lit(1).alias("_taken")).distinct()
         rows = rows.join(taken, "_name", "left").withColumn("_number", F.col("_number") + F.coalesce("_taken", F.lit(0)))
+
+    # Numbers in use: "stem (n).ext", written as we write it, with what it would be a number of.
+    numbered = r"^(.*) \(([1-9][0-9]{0,8})\)((?:\.[^./\\]*)?)$"
+    used = there.filter(F.col("_name").rlike(numbered)).select(
+        F.concat(F.regexp_extract("_name", numbered, 1), F.regexp_extract("_name", numbered, 3)).alias("_name"),
+        F.regexp_extract("_name", numbered, 2).cast("bigint").alias("_n"),
+    ).filter(F.col("_n") > 1).join(asked, "_name", "left_semi")
+    used = row_numbers(used, ["_name"], ["_n"], by_count("_n"), "_i")
+    # n is the i-th number in use, so n - 1 - i numbers before it are free. The j-th newcomer passes those with fewer than j.
+    marks = used.select("_name", ((F.col("_n") - 1 - F.col("_i")) * 2 + 1).alias("_at"), F.lit(1).alias("_mark"), F.lit(None).cast("bigint").alias("_j"))
+    newcomers = rows.filter(F.col("_number") > 1).select("_name", (F.col("_number") - 1).alias("_j"))
+    asks = newcomers.select("_name", (F.col("_j") * 2).alias("_at"), F.lit(0).alias("_mark"), "_j")
+    passed = running(marks.unionByName(asks), ["_name"], ["_at", "_mark"], by_count("_at"), {"_passed": Carry("sum", F.col("_mark"))})
+    free = passed.filter("_mark = 0").select("_name", (F.col("_j") + 1).alias("_number"), (F.col("_j") + 1 + F.col("_passed")).alias("_free"))
+    rows = rows.join(free, ["_name", "_number"], "left")
+
     parts = r"^(.*?)(\.[^./\\]*)?$"
-    suffix = F.concat(F.lit(" ("), F.col("_number").cast("string"), F.lit(")"))
+    suffix = F.concat(F.lit(" ("), F.col("_free").cast("string"), F.lit(")"))
     renamed = F.concat(F.regexp_extract(path, parts, 1), suffix, F.regexp_extract(path, parts, 2))
-    return rows.withColumn("unique_path", F.when(F.col("_number") == 1, F.col(path)).otherwise(renamed)).drop("_name", "_number")
+    unique = F.when(F.col("_free").isNull(), F.col(path)).otherwise(renamed)
+    return rows.withColumn("unique_path", unique).select(*df.columns, "unique_path")
+
+
+def latest_probes(probes: DataFrame) -> DataFrame:
+    """One probe per URL: the last by ``ts`` where there is one, else the one that says most."""
+    order = [F.col("ts").desc_nulls_last()] if "ts" in probes.columns else []
+    return first_per(probes, ["url"], [*order, F.col("content_length").desc_nulls_last(), F.col("content_type").desc_nulls_last()])
 
 
 def progressive_variants(candidates: DataFrame, probes: DataFrame) -> DataFrame:
@@ -193,7 +214,7 @@ def progressive_variants(candidates: DataFrame, probes: DataFrame) -> DataFrame:
 
     ``probes`` has ``url, content_type, content_length``.
     """
-    sizes = probes.select("url", F.col("content_length").alias("_probed"))
+    sizes = latest_probes(probes).select("url", F.col("content_length").alias("_probed"))
     rows = candidates.filter(F.col("kind").isin(K.VIDEO, K.AUDIO, K.SUBTITLE)).join(sizes, "url", "left")
     track = F.when(F.col("kind") == K.AUDIO, "audio_only").when(F.col("kind") == K.SUBTITLE, "subtitle").otherwise("muxed")
     extension = F.lower(F.regexp_replace(U.url_extension(U.url_path("url")), r"^\.", ""))
@@ -212,7 +233,7 @@ def progressive_variants(candidates: DataFrame, probes: DataFrame) -> DataFrame:
 
 def reclassify_by_probe(candidates: DataFrame, probes: DataFrame) -> DataFrame:
     """A file whose probed type is a manifest moves to the manifest branch."""
-    types = probes.select("url", K.kind_by_mime(F.col("content_type")).alias("_probed_kind"))
+    types = latest_probes(probes).select("url", K.kind_by_mime(F.col("content_type")).alias("_probed_kind"))
     joined = candidates.join(types, "url", "left")
     is_file = F.col("kind").isin(K.VIDEO, K.AUDIO, K.SUBTITLE)
     moved = is_file & F.col("_probed_kind").isin(K.HLS, K.DASH)
@@ -225,10 +246,13 @@ def resolve_with_fallback(native: DataFrame, extractor: DataFrame, candidates: D
     ``native`` has ``source_id, variant_count`` by candidate id and ``extractor``
     has ``page_url, source_id, variant_count`` by the address it was given.
     """
-    own = native.filter(F.col("variant_count") > 0).select(
-        F.col("source_id").alias("candidate_id"), F.col("variant_count").alias("_own")
+    own = native.filter(F.col("variant_count") > 0).groupBy(F.col("source_id").alias("candidate_id")).agg(
+        F.max("variant_count").alias("_own")
+    )
+    # An address that was given twice counts with the answer that found most.
+    found = first_per(
+        extractor.filter(F.col("variant_count") > 0), ["page_url"], [F.col("variant_count").desc(), F.col("source_id")]
     )
-    found = extractor.filter(F.col("variant_count") > 0)
     on_page = found.select(F.col("page_url"), F.struct("source_id", "variant_count").alias("_page"))
     on_url = found.select(F.col("page_url").alias("url"), F.struct("source_id", "variant_count").alias("_url"))
     joined = (

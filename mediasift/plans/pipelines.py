@@ -30,9 +30,10 @@ def variants_from_corpus(manifests: DataFrame, dumps: DataFrame | None = None) -
     tracks = tracks.withColumn("ordinal", F.col("section").cast("bigint") * (1 << 40) + F.col("ordinal"))
     parsed = dash.parse_manifests(manifests.filter(F.col("kind") == K.DASH))
     reps = dash.dash_resolve(dash.dash_representations(parsed))
-    place = (F.col("period_no") * (1 << 20) + F.col("set_no")) * (1 << 20) + F.col("rep_no")
+    place = (F.col("period_no").cast("bigint") * (1 << 20) + F.col("set_no")) * (1 << 20) + F.col("rep_no")
     reps = reps.withColumn("ordinal", place.cast("bigint"))
-    result = variants.conform(tracks).unionByName(variants.conform(reps))
+    alone = hls.media_variants(lists.filter(F.col("playlist_role") == "media"))
+    result = variants.conform(tracks).unionByName(variants.conform(alone)).unionByName(variants.conform(reps))
     if dumps is not None:
         found = extractor.extractor_variants(extractor.read_extractor_dumps(dumps))
         result = result.unionByName(variants.conform(found))
@@ -55,6 +56,37 @@ def protected_packages(manifests: DataFrame) -> DataFrame:
     )
 
 
+def resolve_candidates(
+    candidates: DataFrame, manifests: DataFrame, probes: DataFrame, dumps: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates to (how each was resolved, the variants that may be planned).
+
+    A probe may move a file to the manifests (J15); what is left are direct files (G9). Where a candidate's own resolver
+    found nothing, an extractor dump of its page or address stands in (J14). Packages that DRM systems protect are
+    marked (J3) and none of their variants is handed on.
+    """
+    routed = variants.reclassify_by_probe(candidates, probes).withColumn("kind", F.col("resolve_kind"))
+    marked = registry.mark_protected(routed, protected_packages(manifests))
+    bodies = manifests.groupBy(F.col("url").alias("_url")).agg(F.max("body").alias("body"))
+    wanted = marked.filter(F.col("kind").isin(K.HLS, K.DASH)).join(bodies, F.col("url") == F.col("_url"))
+    listed = variants_from_corpus(wanted.select(F.col("candidate_id").alias("manifest_id"), "url", "kind", "body"))
+    direct = variants.conform(variants.progressive_variants(marked, probes))
+    native = listed.unionByName(direct)
+    found = extractor.read_extractor_dumps(dumps)
+    offered = extractor.extractor_variants(found)
+    counted = offered.groupBy("page_url", "source_id").agg(F.count("*").alias("variant_count"))
+    own = native.groupBy("source_id").agg(F.count("*").alias("variant_count"))
+    resolved = variants.resolve_with_fallback(own, counted, marked)
+    open_ = resolved.filter(~F.coalesce("is_protected", F.lit(False)))
+    by_self = open_.filter(F.col("resolved_by") == "native").select("candidate_id")
+    by_page = open_.filter(F.col("resolved_by").isin("extractor_page", "extractor_url")).select(
+        F.col("candidate_id").alias("_candidate"), "source_id", F.when(F.col("resolved_by") == "extractor_page", F.col("page_url")).otherwise(F.col("url")).alias("page_url")
+    )
+    external = offered.join(by_page, ["page_url", "source_id"]).withColumn("source_id", F.col("_candidate"))
+    chosen = native.join(by_self, native["source_id"] == by_self["candidate_id"], "left_semi").unionByName(variants.conform(external))
+    return resolved, chosen
+
+
 def detection_run(
     targets: DataFrame, observations: DataFrame, visits: DataFrame, only: str | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -16,9 +16,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 
 def write_log(entries: DataFrame, path: str, minimum: str = "INFO") -> None:
-    """K3: redacted log lines in a folder per day."""
+    """K3: redacted log lines in a folder per day. A run replaces the days it has, so it may be run again."""
     lines = format_log(entries, minimum).select("log_date", "line")
-    lines.write.mode("append").partitionBy("log_date").text(path)
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date").text(path)
 
 
 def log_batches(path: str, minimum: str = "INFO") -> Callable[[DataFrame, int], None]:

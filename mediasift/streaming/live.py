@@ -19,8 +19,9 @@ from ..operators import events as E
 from ..operators import logs as L
 from ..operators import registry as R
 from ..options import CandidateOptions
+from .stateful import close_quiet_visits
 
-QUIET = "6 seconds"
+QUIET_SECONDS = 6
 VISIT_CAP_SECONDS = 45
 
 
@@ -66,18 +67,31 @@ def stream_observations(observations: DataFrame, options: CandidateOptions = Can
     return R.filter_candidates(R.classify_observations(observations), options)
 
 
+def _periods(observations: DataFrame, late: str, hold: str) -> DataFrame:
+    """With the stretch of time a row belongs to: groups that have one are given up when the watermark has passed it."""
+    return observations.withWatermark("ts", late).withColumn("period", F.window("ts", hold))
+
+
 def stream_candidates(
-    observations: DataFrame, by: Sequence[str] = ("visit_id",), options: CandidateOptions = CandidateOptions()
+    observations: DataFrame, by: Sequence[str] = ("visit_id",), options: CandidateOptions = CandidateOptions(),
+    late: str = "10 minutes", hold: str = "1 day",
 ) -> DataFrame:
-    """M4, M7: the candidate list as it changes, for update mode."""
-    return R.candidates(stream_observations(observations, options), by)
+    """M4, M7: the candidate list as it changes, for update mode, per ``period`` of length ``hold``.
+
+    State ends when the watermark, ``late`` behind the newest row, passes a period; older rows are dropped. A visit that
+    runs over the end of a period has a row in each. The columns merge: counts add up, first and last seen are min and max.
+    """
+    rows = stream_observations(_periods(observations, late, hold), options)
+    return R.candidates(rows, [*by, "period"])
 
 
 def stream_families(
-    observations: DataFrame, by: Sequence[str] = ("visit_id",), options: CandidateOptions = CandidateOptions()
+    observations: DataFrame, by: Sequence[str] = ("visit_id",), options: CandidateOptions = CandidateOptions(),
+    late: str = "10 minutes", hold: str = "1 day",
 ) -> DataFrame:
-    """M5: segment families as they grow, for update mode."""
-    return R.segment_families(stream_observations(observations, options), by)
+    """M5: segment families as they grow, for update mode, per ``period`` as in ``stream_candidates``."""
+    rows = stream_observations(_periods(observations, late, hold), options)
+    return R.segment_families(rows, [*by, "period"])
 
 
 def stream_once(df: DataFrame, keys: Sequence[str], late: str = "10 minutes") -> DataFrame:
@@ -86,22 +100,16 @@ def stream_once(df: DataFrame, keys: Sequence[str], late: str = "10 minutes") ->
 
 
 def stream_quiet_visits(
-    observations: DataFrame, late: str = "10 seconds", quiet: str = QUIET, cap_seconds: int = VISIT_CAP_SECONDS
+    observations: DataFrame, late: str = "10 seconds", quiet_seconds: float = QUIET_SECONDS, cap_seconds: float = VISIT_CAP_SECONDS,
+    hold_seconds: float = 3600,
 ) -> DataFrame:
-    """M8: a visit closes when no new candidate came for six seconds, or after 45 seconds.
+    """M8: a visit closes when no new candidate came for six seconds, or 45 seconds after its first.
 
-    Needs ``visit_id, ts`` and the classified columns. Candidates seen before do not keep a visit open.
+    Needs ``visit_id, ts`` and the classified columns. Candidates seen before do not keep a visit open. A visit closes
+    once, in one row; what it shows later is ignored for ``hold_seconds``. Rows more than ``late`` behind are dropped.
     """
     rows = R.observed_candidates(observations).select("visit_id", "ts", "candidate_key")
-    new = stream_once(rows, ["visit_id", "candidate_key"], late)
-    closed = new.groupBy("visit_id", F.session_window("ts", quiet).alias("w")).agg(
-        F.count("*").alias("new_candidates"), F.min("ts").alias("opened_at"), F.max("ts").alias("last_new_at")
-    )
-    limit = F.col("opened_at") + F.make_dt_interval(secs=F.lit(float(cap_seconds)))
-    return closed.select(
-        "visit_id", "new_candidates", "opened_at", "last_new_at", F.least(F.col("w.end"), limit).alias("closed_at"),
-        (F.col("w.end") > limit).alias("hit_cap"),
-    )
+    return close_quiet_visits(rows, late, quiet_seconds, cap_seconds, hold_seconds)
 
 
 def stream_log(spark: SparkSession, path: str, minimum: str = "INFO") -> DataFrame:

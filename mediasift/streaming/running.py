@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint directory; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder under ``spark.checkpoint.dir``. Without it a local one, on one machine only: a cluster cannot share it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/mediasift-{uuid.uuid4().hex}"
 
 

@@ -79,7 +79,7 @@ def _refresh(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
     return out
 
 
-def stream_refresh(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+def stream_refresh(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
     """M2: emits a response when it comes, and again when its extra headers come later.
 
     ``events`` are parsed by ``parse_net_events``; ends of loading are not needed, as state expires.
@@ -102,7 +102,7 @@ def stream_refresh(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
         "visit_id BIGINT, request_id STRING, seq BIGINT, url STRING, mime_type STRING, content_length BIGINT,"
         " cookie STRING, refreshed BOOLEAN"
     )
-    return _keyed(rows, ["visit_id", "request_id"], _refresh, schema, ttl_ms)
+    return _keyed(rows, ["visit_id", "request_id"], _refresh, schema, ttl_ms, late)
 
 
 def _protect(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
@@ -120,13 +120,13 @@ def _protect(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
     return out
 
 
-def stream_protection(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+def stream_protection(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
     """M6: candidates with their package's protection, emitted again if it shows later.
 
     ``events`` come from ``protection_events``; candidates once each.
     """
     schema = "family STRING, url STRING, seq BIGINT, is_protected BOOLEAN, system STRING"
-    return _keyed(events, ["family"], _protect, schema, ttl_ms)
+    return _keyed(events, ["family"], _protect, schema, ttl_ms, late)
 
 
 def _job(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
@@ -152,14 +152,14 @@ def _job(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
     return out
 
 
-def stream_jobs(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+def stream_jobs(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
     """Milestones and state changes of a job; what comes after a final state is ignored.
 
     ``events`` have ``job_id, seq, ts, state, stage`` and the progress columns.
     """
     fraction = X.progress_fraction(F.col("segments_done"), F.col("segments_total"), F.col("bytes"), F.col("total_bytes"))
     rows = events.select("job_id", "seq", "ts", "state", "stage", fraction.alias("fraction"))
-    return _keyed(rows, ["job_id"], _job, "job_id STRING, seq BIGINT, event STRING, detail STRING", ttl_ms)
+    return _keyed(rows, ["job_id"], _job, "job_id STRING, seq BIGINT, event STRING, detail STRING", ttl_ms, late)
 
 
 def _meter(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
@@ -183,7 +183,7 @@ def _meter(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
     return out
 
 
-def stream_rate(samples: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+def stream_rate(samples: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
     """The smoothed rate after each sample. The state of a job is five numbers.
 
     ``samples`` have ``job_id, seq, ts, bytes`` (of the sample) and ``started_at``.
@@ -191,4 +191,85 @@ def stream_rate(samples: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
     rows = samples.select(
         "job_id", "seq", "ts", F.unix_micros("ts").alias("ts_us"), "bytes", F.unix_micros("started_at").alias("started_us")
     )
-    return _keyed(rows, ["job_id"], _meter, "job_id STRING, seq BIGINT, bytes_per_second DOUBLE", ttl_ms)
+    return _keyed(rows, ["job_id"], _meter, "job_id STRING, seq BIGINT, bytes_per_second DOUBLE", ttl_ms, late)
+
+
+def smoothed_rate(samples: DataFrame) -> DataFrame:
+    """The batch twin of ``stream_rate``: ``job_id, seq, bytes_per_second`` of every sample.
+
+    Where a window closes depends on every window before it, so a job is folded in order; it passes through its task
+    batch by batch, sorted, and only five numbers of it are held.
+    """
+    rows = samples.select(
+        "job_id", "seq", "ts", F.unix_micros("ts").alias("ts_us"), "bytes", F.unix_micros("started_at").alias("started_us")
+    ).repartition("job_id").sortWithinPartitions("job_id", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, held = None, {}
+        for batch in batches:
+            out = []
+            for name, part in batch.groupby("job_id", sort=False, dropna=False):
+                if name != job:
+                    job, held = name, {}
+                out += _meter((name,), part, held)
+            yield pd.DataFrame(out, columns=["job_id", "seq", "bytes_per_second"])
+
+    return rows.mapInPandas(run, "job_id STRING, seq BIGINT, bytes_per_second DOUBLE")
+
+
+def close_quiet_visits(rows: DataFrame, late: str, quiet_seconds: float, cap_seconds: float, hold_seconds: float) -> DataFrame:
+    """The fold of ``live.stream_quiet_visits`` over ``visit_id, ts, candidate_key``.
+
+    A visit holds the keys of its open stretch, which the cap bounds, and afterwards only that it is closed. A row is
+    emitted when the watermark has passed the end, so that no late row can change it.
+    """
+    quiet, cap, hold = (int(s * 1_000_000) for s in (quiet_seconds, cap_seconds, hold_seconds))
+
+    def end(held: dict) -> int:
+        return min(held["last"] + quiet, held["opened"] + cap)
+
+    def fold(held: dict) -> dict:
+        """Rows that have waited, in order, up to the end of the stretch."""
+        for t, key in sorted(map(tuple, held.pop("waiting", []))):
+            if "opened" not in held:
+                held.update(opened=t, last=t, keys=[key])
+            elif t <= end(held) and key not in held["keys"]:
+                held["last"] = t
+                held["keys"].append(key)
+        return held
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut and held.get("closed"):
+            state.remove()
+            return
+        for batch in batches:
+            if not held.get("closed"):
+                # Order is settled behind the watermark only: rows wait, each key with its first time.
+                first = dict((k, t) for t, k in held.get("waiting", []))
+                for t, k in zip(batch["t"], batch["candidate_key"]):
+                    first[k] = min(int(t), first.get(k, int(t)))
+                held["waiting"] = sorted((t, k) for k, t in first.items())
+        now = state.getCurrentWatermarkMs() * 1000
+        if not held.get("closed") and held.get("waiting"):
+            done = fold({"waiting": list(held["waiting"])})
+            if end(done) < now:
+                yield pd.DataFrame(
+                    [(key[0], len(done["keys"]), done["opened"], done["last"], end(done), done["last"] + quiet > done["opened"] + cap)],
+                    columns=["visit_id", "new_candidates", "opened_us", "last_new_us", "closed_us", "hit_cap"],
+                )
+                held = {"closed": end(done)}
+            else:
+                # Rows behind the end of the stretch cannot count any more unless an earlier row comes.
+                held["waiting"] = [w for w in held["waiting"] if w[0] <= end(done) + quiet]
+                state.update((json.dumps(held),))
+                state.setTimeoutTimestamp(max(end(done) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+                return
+        if held.get("closed"):
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max((held["closed"] + hold) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    kind = rows.schema["visit_id"].dataType.simpleString()
+    schema = f"visit_id {kind}, new_candidates BIGINT, opened_us BIGINT, last_new_us BIGINT, closed_us BIGINT, hit_cap BOOLEAN"
+    keyed = rows.withColumn("t", F.unix_micros("ts")).withWatermark("ts", late)
+    return keyed.groupBy("visit_id").applyInPandasWithState(run, schema, "held STRING", "append", GroupStateTimeout.EventTimeTimeout)

@@ -36,32 +36,39 @@ def responses(spark, sf_dir) -> DataFrame:
 @query("stream_candidates", f"WITH {R_CTE} SELECT page_id AS visit_id, {KEY} AS candidate_key, count(*) AS hit_count, epoch_us(max(ts)) AS last_seen_us FROM r WHERE event_type <> 'click' AND {ACCEPTED} GROUP BY 1, 2")
 def stream_candidates(spark, sf_dir):
     updates = drain(live.stream_candidates(stream_of(spark, responses(spark, sf_dir))), "update")
-    latest = updates.groupBy("visit_id", "candidate_key").agg(F.max("hit_count").alias("hit_count"), F.max("last_seen").alias("t"))
-    return latest.select("visit_id", "candidate_key", "hit_count", F.unix_micros("t").alias("last_seen_us"))
+    latest = updates.groupBy("visit_id", "candidate_key", "period").agg(F.max("hit_count").alias("hit_count"), F.max("last_seen").alias("t"))
+    merged = latest.groupBy("visit_id", "candidate_key").agg(F.sum("hit_count").alias("hit_count"), F.max("t").alias("t"))
+    return merged.select("visit_id", "candidate_key", "hit_count", F.unix_micros("t").alias("last_seen_us"))
 
 
 @query("stream_families", f"""WITH {R_CTE} SELECT page_id AS visit_id, concat('cdn', page_id % 4, '.example.com/v', page_id % 7) AS family, count(*) AS segment_count, sum(content_length) AS total_bytes
 FROM r WHERE event_type = 'click' AND request_id % 19 <> 0 GROUP BY 1, 2""")
 def stream_families(spark, sf_dir):
     updates = drain(live.stream_families(stream_of(spark, responses(spark, sf_dir))), "update")
-    return updates.groupBy("visit_id", "family").agg(F.max("segment_count").alias("segment_count"), F.max("total_bytes").alias("total_bytes"))
+    latest = updates.groupBy("visit_id", "family", "period").agg(F.max("segment_count").alias("segment_count"), F.max("total_bytes").alias("total_bytes"))
+    return latest.groupBy("visit_id", "family").agg(F.sum("segment_count").alias("segment_count"), F.sum("total_bytes").alias("total_bytes"))
 
 
 @query("stream_correlate", f"""WITH {R_CTE} SELECT concat('r', request_id) AS request_id, page_id AS visit_id, content_length,
- CASE WHEN request_id % 11 <> 0 THEN concat('c=', request_id) END AS cookie FROM r
-WHERE ts < (SELECT max(ts) FROM r) - INTERVAL 10 MINUTE""")
+ CASE WHEN request_id % 11 <> 0 THEN concat('c=', request_id) END AS cookie FROM r""")
 def stream_correlate(spark, sf_dir):
-    events = E.parse_net_events(stream_of(spark, C.net_events(spark, sf_dir)))
-    rows = drain(live.stream_correlate(events))
-    last = T.responses(spark, sf_dir).agg(F.max(F.unix_micros("ts"))).first()[0]
-    settled = rows.filter(F.unix_micros("ts") < last - 600 * 1_000_000)
-    return settled.select("request_id", "visit_id", "content_length", "cookie")
+    events = C.net_events(spark, sf_dir)
+    # One request, extra and response a day behind all others: they move the watermarks past the last real row.
+    end = events.agg((F.max("seq") + 1).alias("seq"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    behind = end.select(
+        F.lit(-1).cast("bigint").alias("visit_id"), "seq", "ts", F.explode(F.array(*map(F.lit, E.METHODS[:3]))).alias("method"),
+        F.lit('{"requestId":"end"}').alias("params"),
+    )
+    rows = drain(live.stream_correlate(E.parse_net_events(stream_of(spark, events.unionByName(behind)))))
+    return rows.filter("visit_id >= 0").select("request_id", "visit_id", "content_length", "cookie")
 
 
-@query("stream_once", f"WITH {R_CTE} SELECT DISTINCT concat('cdn', page_id % 4) AS host FROM r")
+@query("stream_once", f"WITH {R_CTE} SELECT DISTINCT concat('cdn', page_id % 4) AS host, CAST(floor(epoch(ts) / 86400) AS INTEGER) AS day FROM r")
 def stream_once(spark, sf_dir):
+    """A host once a day: a key is held for two days and then forgotten."""
     rows = responses(spark, sf_dir).withColumn("host", F.concat(F.lit("cdn"), (F.col("page_id") % 4).cast("string")))
-    return drain(live.stream_once(stream_of(spark, rows), ["host"], "3000 days")).select("host")
+    rows = rows.withColumn("day", F.floor(F.unix_seconds("ts") / 86400).cast("int"))
+    return drain(live.stream_once(stream_of(spark, rows), ["host", "day"], "2 days")).select("host", "day")
 
 
 @query("stream_refresh", f"""WITH {R_CTE} SELECT concat('r', request_id) AS request_id, url, content_length,
@@ -97,17 +104,26 @@ def stream_jobs(spark, sf_dir):
     return rows.filter("event <> 'state'").select("job_id", "seq", "detail")
 
 
-@query("stream_rate", f"""WITH RECURSIVE {R_CTE}, n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS i, epoch_us(ts) AS t, greatest(content_length, 0) AS b, epoch_us(min(ts) OVER (PARTITION BY page_id)) AS t0 FROM r),
+RATE = f"""WITH RECURSIVE {R_CTE}, n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS i, epoch_us(ts) AS t, greatest(content_length, 0) AS b, epoch_us(min(ts) OVER (PARTITION BY page_id)) AS t0 FROM r),
 w AS (SELECT page_id, i, seq, t AS opened, 0::BIGINT AS held, b AS total, 0.0::DOUBLE AS rate, t, t0 FROM n WHERE i = 1
  UNION ALL SELECT n.page_id, n.i, n.seq, CASE WHEN (n.t - w.opened) / 1e6 >= 0.5 THEN n.t ELSE w.opened END, CASE WHEN (n.t - w.opened) / 1e6 >= 0.5 THEN 0 ELSE w.held + n.b + CASE WHEN w.i = 1 THEN w.total ELSE 0 END END, w.total + n.b,
  CASE WHEN (n.t - w.opened) / 1e6 < 0.5 THEN w.rate WHEN w.rate <= 0 THEN (w.held + n.b + CASE WHEN w.i = 1 THEN w.total ELSE 0 END) / ((n.t - w.opened) / 1e6) ELSE w.rate * 0.6 + 0.4 * (w.held + n.b + CASE WHEN w.i = 1 THEN w.total ELSE 0 END) / ((n.t - w.opened) / 1e6) END, n.t, n.t0
  FROM w JOIN n ON n.page_id = w.page_id AND n.i = w.i + 1)
-SELECT concat('job', page_id) AS job_id, seq, round(CASE WHEN rate > 0 THEN rate WHEN (t - t0) / 1e6 > 0.1 AND total > 0 THEN total / ((t - t0) / 1e6) ELSE 0 END, 4) AS rate FROM w""")
+SELECT concat('job', page_id) AS job_id, seq, round(CASE WHEN rate > 0 THEN rate WHEN (t - t0) / 1e6 > 0.1 AND total > 0 THEN total / ((t - t0) / 1e6) ELSE 0 END, 4) AS rate FROM w"""
+
+
+@query("stream_rate", RATE)
 def stream_rate(spark, sf_dir):
     rows = drain(stateful.stream_rate(stream_of(spark, transfer_samples(spark, sf_dir))), "update")
     return rows.select("job_id", "seq", F.round("bytes_per_second", 4).alias("rate"))
 
 
+@query("smoothed_rate", RATE)
+def smoothed_rate(spark, sf_dir):
+    rows = stateful.smoothed_rate(transfer_samples(spark, sf_dir))
+    return rows.select("job_id", "seq", F.round("bytes_per_second", 4).alias("rate"))
+
+
 def transfer_samples(spark, sf_dir) -> DataFrame:
     rows = T.responses(spark, sf_dir).select(
         F.concat(F.lit("job"), F.col("page_id").cast("string")).alias("job_id"), "seq", "ts", F.greatest("content_length", F.lit(0)).alias("bytes")
@@ -115,8 +131,19 @@ def transfer_samples(spark, sf_dir) -> DataFrame:
     return rows.withColumn("started_at", F.lit(None).cast("timestamp"))
 
 
-@query("stream_quiet_visits")
+QUIET = f"""WITH {R_CTE}, n AS (SELECT page_id AS visit_id, {KEY} AS k, min(epoch_us(ts)) AS t FROM r WHERE event_type <> 'click' AND {ACCEPTED} GROUP BY 1, 2),
+g AS (SELECT *, min(t) OVER (PARTITION BY visit_id) AS opened, t - lag(t, 1, t) OVER (PARTITION BY visit_id ORDER BY t, k) AS gap FROM n),
+s AS (SELECT *, sum(CASE WHEN gap > {{quiet}} THEN 1 ELSE 0 END) OVER (PARTITION BY visit_id ORDER BY t, k) AS stretch FROM g)
+SELECT visit_id, count(*) AS new_candidates, min(t) AS opened_us, max(t) AS last_new_us, least(max(t) + {{quiet}}, min(opened) + {{cap}}) AS closed_us,
+ CAST(max(t) + {{quiet}} > min(opened) + {{cap}} AS INTEGER) AS hit_cap FROM s WHERE stretch = 0 AND t <= opened + {{cap}} GROUP BY 1"""
+HOUR_US = 3_600_000_000
+
+
+@query("stream_quiet_visits", QUIET.format(quiet=30 * HOUR_US, cap=200 * HOUR_US))
 def stream_quiet_visits(spark, sf_dir):
-    rows = responses(spark, sf_dir).withColumn("visit_id", F.col("page_id") % 3)
-    observed = live.stream_observations(stream_of(spark, rows))
-    return drain(live.stream_quiet_visits(observed)).drop("batch_no")
+    """Events lie hours apart here, so a visit is quiet after 30 hours and capped at 200."""
+    rows = responses(spark, sf_dir)
+    last = rows.orderBy(F.desc("ts")).limit(1).withColumns({"visit_id": F.lit(-1).cast("bigint"), "ts": F.col("ts") + F.expr("INTERVAL 900 DAY"), "seq": F.col("seq") + 1})
+    observed = live.stream_observations(stream_of(spark, rows.unionByName(last.select(rows.columns))))
+    closed = drain(live.stream_quiet_visits(observed, "1 day", 30 * 3600, 200 * 3600, 10_000 * 3600))
+    return closed.filter("visit_id >= 0").select("visit_id", "new_candidates", "opened_us", "last_new_us", "closed_us", F.col("hit_cap").cast("int").alias("hit_cap"))

@@ -335,8 +335,8 @@ FETCH = f"""{R_CTE}, f AS (SELECT seq, seq // 5 AS request_id, ts, concat('h', p
  CAST(seq % 5 AS INTEGER) AS attempt, [200, 403, 429, 503, 200][seq % 5 + 1] AS status, CASE WHEN seq % 7 = 0 THEN seq % 60 END AS ra FROM r)"""
 
 
-@query("retry_audit", f"""WITH {FETCH}, d AS (SELECT *, lag(ts) OVER w AS pts, lag(ra) OVER w AS pra, lag(attempt) OVER w AS pa FROM f WINDOW w AS (PARTITION BY request_id ORDER BY attempt)),
-x AS (SELECT *, CASE WHEN pts IS NULL THEN NULL WHEN pra > 0 THEN least(pra, 30) ELSE 0.4 * pow(2, pa) END AS expected FROM d)
+@query("retry_audit", f"""WITH {FETCH}, d AS (SELECT *, lag(ts) OVER w AS pts, lag(ra) OVER w AS pra, lag(attempt) OVER w AS pa, lag(status) OVER w AS pst FROM f WINDOW w AS (PARTITION BY request_id ORDER BY attempt)),
+x AS (SELECT *, CASE WHEN pts IS NULL OR pst NOT IN (408, 429, 500, 502, 503, 504) OR pa >= 4 THEN NULL WHEN pra > 0 THEN least(pra, 30) ELSE 0.4 * pow(2, pa) END AS expected FROM d)
 SELECT request_id, attempt, round(expected, 3) AS expected_delay_s, CAST(coalesce((epoch_us(ts) - epoch_us(pts)) / 1e6 < expected, false) AS INTEGER) AS too_early FROM x""")
 def retry_audit(spark, sf_dir):
     return J.retry_audit(D.fetch_log(spark, sf_dir)).select(
@@ -352,8 +352,8 @@ def retry_summary(spark, sf_dir):
     )
 
 
-@query("refusal_diagnosis", f"""WITH {FETCH}, a AS (SELECT host, arg_min(seq, ts) FILTER (route = 'direct' AND status = 403) AS s,
- count(*) FILTER (route = 'browser' AND status = 200) AS ok, count(*) FILTER (route = 'browser') AS asked FROM f GROUP BY 1)
+@query("refusal_diagnosis", f"""WITH {FETCH}, r1 AS (SELECT host, arg_min(seq, ts) FILTER (route = 'direct' AND status = 403) AS s, min(ts) FILTER (route = 'direct' AND status = 403) AS refused FROM f GROUP BY 1),
+a AS (SELECT host, s, count(*) FILTER (route = 'browser' AND status = 200 AND ts >= refused) AS ok, count(*) FILTER (route = 'browser' AND ts >= refused) AS asked FROM f JOIN r1 USING (host) GROUP BY 1, 2)
 SELECT host, 403 AS status, CASE WHEN s % 4 = 0 THEN 'user-agent' ELSE 'referer, user-agent' END AS headers_sent, CAST(s % 4 = 0 AS INTEGER) AS had_cookie,
  CASE WHEN ok > 0 THEN 'browser_succeeded' WHEN asked > 0 THEN 'browser_refused' ELSE 'not_tried' END AS browser_outcome FROM a WHERE s IS NOT NULL""")
 def refusal_diagnosis(spark, sf_dir):
@@ -362,9 +362,9 @@ def refusal_diagnosis(spark, sf_dir):
     )
 
 
-@query("route_hosts", f"""WITH {FETCH}, h AS (SELECT host, greatest(min(ts) FILTER (route = 'direct' AND status = 403), min(ts) FILTER (route = 'browser' AND status = 200)) AS since,
- count(*) FILTER (route = 'direct' AND status = 403) > 0 AND count(*) FILTER (route = 'browser' AND status = 200) > 0 AS split FROM f GROUP BY 1)
-SELECT seq // 5 AS request_id, attempt, CASE WHEN split AND ts > since THEN 'browser' ELSE 'direct' END AS expected_route FROM f JOIN h USING (host)""")
+@query("route_hosts", f"""WITH {FETCH}, r1 AS (SELECT host, min(ts) FILTER (route = 'direct' AND status = 403) AS refused FROM f GROUP BY 1),
+h AS (SELECT host, min(ts) FILTER (route = 'browser' AND status = 200 AND ts >= refused) AS since FROM f JOIN r1 USING (host) GROUP BY 1)
+SELECT seq // 5 AS request_id, attempt, CASE WHEN ts > since THEN 'browser' ELSE 'direct' END AS expected_route FROM f JOIN h USING (host)""")
 def route_hosts(spark, sf_dir):
     return J.route_hosts(D.fetch_log(spark, sf_dir)).select("request_id", "attempt", "expected_route")
 
