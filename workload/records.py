@@ -35,9 +35,17 @@ def redact_log(spark, sf_dir):
     return Rd.redact(D.log_entries(spark, sf_dir), ["message"]).select("seq", "message")
 
 
-@query("redact_documents", "SELECT doc_id, text FROM documents")
+@query("redact_documents", """SELECT doc_id, text,
+ concat('see https://h.example.com/a?token=[redigido]&q=1 ', text, chr(10), 'Cookie: [redigido]', chr(10), '%USERPROFILE%', chr(92), 'f.txt') AS with_secrets FROM documents""")
 def redact_documents(spark, sf_dir):
-    return Rd.redact(table(spark, sf_dir, "documents"), ["text"]).select("doc_id", "text")
+    """Every text as it is, which holds nothing to redact, and with a secret of each kind around it."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    around = F.concat(
+        F.lit("see https://h.example.com/a?token=t"), number, F.lit("&q=1 "), F.col("text"), F.lit("\nCookie: a="), number,
+        F.lit("\nC:\\Users\\user"), number, F.lit("\\f.txt"),
+    )
+    return Rd.redact(docs.withColumn("with_secrets", around), ["text", "with_secrets"]).select("doc_id", "text", "with_secrets")
 
 
 @query("redact_leaks", "SELECT 0 AS leaks")

@@ -63,11 +63,10 @@ def classified(spark, sf_dir):
 
 @query("classify_filter", f"""WITH {R_CTE}
 SELECT page_id, {KIND} AS kind, count(*) AS n, sum(content_length) AS bytes FROM r
-WHERE NOT {NOISY} AND event_type NOT IN ('signup') AND event_type IN ('click', 'view', 'purchase')
+WHERE NOT {NOISY} AND event_type IN ('click', 'view', 'purchase', 'signup')
  AND NOT (event_type = 'purchase' AND content_length > 0 AND content_length < 200000) GROUP BY 1, 2""")
 def classify_filter(spark, sf_dir):
     rows = accepted(spark, sf_dir, include_audio=False, min_progressive_bytes=200_000)
-    rows = rows.filter(F.col("kind") != K.DASH)
     return rows.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum("content_length").alias("bytes"))
 
 
@@ -80,9 +79,9 @@ def candidates_per_page(spark, sf_dir):
 @query("opaque_pages", f"""WITH {R_CTE}
 SELECT page_url AS candidate_key, 'page_embed' AS kind, count(*) AS hit_count, epoch_us(min(ts)) AS first_seen_us,
  epoch_us(max(ts)) AS last_seen_us, nullif(arg_min(coalesce(page_title, '-'), seq), '-') AS page_title
-FROM r WHERE NOT {NOISY} AND event_type = 'error' GROUP BY 1""")
+FROM r WHERE NOT {NOISY} GROUP BY 1""")
 def opaque_pages(spark, sf_dir):
-    rows = T.responses(spark, sf_dir).filter("event_type = 'error'").withColumn("mime_type", F.lit("application/vnd.yt-ump; a=b"))
+    rows = T.responses(spark, sf_dir).withColumn("mime_type", F.lit("application/vnd.yt-ump; a=b"))
     found = R.candidates(R.filter_candidates(R.classify_observations(rows)))
     return found.select(
         "candidate_key", "kind", "hit_count", F.unix_micros("first_seen").alias("first_seen_us"),

@@ -47,7 +47,9 @@ f1 AS (SELECT *, CASE WHEN bandwidth > 0 THEN CAST(floor(bandwidth / 8.0::DOUBLE
 f2 AS (SELECT *, {bytes_label('bytes')} AS size_label, concat_ws(' - ',
   CASE track WHEN 'audio_only' THEN 'Audio' ELSE CASE WHEN height IS NULL THEN 'SD' ELSE concat(height, 'p') END END,
   CASE WHEN track <> 'audio_only' AND fps > 31 THEN concat(fps, 'fps') END, CASE WHEN bandwidth > 0 THEN {rate_label('bandwidth')} END, codec) AS label FROM f1),
-listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, track, label, container, size_label ORDER BY ordinal) AS rn FROM f2) WHERE rn = 1)"""
+listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, track, label, container, size_label ORDER BY ordinal) AS rn FROM f2) WHERE rn = 1),
+offered AS (SELECT source_id, l_orderkey, ordinal, variant_id, track, height, bandwidth, container, label, size_label, bytes FROM listed
+ UNION ALL SELECT concat('src-', l_orderkey), l_orderkey, 0, 'best', 'muxed', NULL, NULL, 'mkv', 'SD', '-', NULL FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 9 = 0 AND l_orderkey % 97 <> 0))"""
 
 
 def parsed_dumps(spark, sf_dir):
@@ -78,23 +80,18 @@ def extractor_variants(spark, sf_dir):
 
 
 SCORE = "coalesce(height, 0) * 1000000 + least(coalesce(bandwidth, 0), 999999)"
-LISTED_ONLY = "source_id IN (SELECT source_id FROM listed)"
-
-
-def only_listed(df):
-    return df.filter(F.col("variant_id") != "best")
 
 
 @query("rank_videos", f"""WITH {FORMATS}
 SELECT source_id, ordinal, {SCORE} AS score, row_number() OVER (PARTITION BY source_id ORDER BY {SCORE} DESC, ordinal) AS video_rank
-FROM listed WHERE track <> 'audio_only'""")
+FROM offered WHERE track <> 'audio_only'""")
 def rank_videos(spark, sf_dir):
-    return V.rank_videos(only_listed(listed(spark, sf_dir))).select("source_id", "ordinal", "score", "video_rank")
+    return V.rank_videos(listed(spark, sf_dir)).select("source_id", "ordinal", "score", "video_rank")
 
 
 @query("rank_audios", f"""WITH {FORMATS}
 SELECT source_id, ordinal, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(bandwidth, 0) DESC, ordinal) AS audio_rank
-FROM listed WHERE track = 'audio_only'""")
+FROM offered WHERE track = 'audio_only'""")
 def rank_audios(spark, sf_dir):
     return V.rank_audios(listed(spark, sf_dir)).select("source_id", "ordinal", "audio_rank")
 
@@ -120,10 +117,10 @@ def rank_videos_whole_table(spark, sf_dir):
 
 
 @query("pair_audio", f"""WITH {FORMATS},
-a AS (SELECT source_id, arg_max(variant_id, coalesce(bandwidth, 0) * 1000 - ordinal) AS audio_id FROM listed WHERE track = 'audio_only' GROUP BY 1)
-SELECT source_id, ordinal, track, CASE WHEN track = 'video_only' THEN audio_id END AS audio_id FROM listed LEFT JOIN a USING (source_id) WHERE track <> 'audio_only'""")
+a AS (SELECT source_id, arg_max(variant_id, coalesce(bandwidth, 0) * 1000 - ordinal) AS audio_id FROM offered WHERE track = 'audio_only' GROUP BY 1)
+SELECT source_id, ordinal, track, CASE WHEN track = 'video_only' THEN audio_id END AS audio_id FROM offered LEFT JOIN a USING (source_id) WHERE track <> 'audio_only'""")
 def pair_audio(spark, sf_dir):
-    rows = V.conform(only_listed(listed(spark, sf_dir)))
+    rows = V.conform(listed(spark, sf_dir))
     return V.pair_audio(V.videos_of(rows), V.audios_of(rows)).select("source_id", "ordinal", "track", "audio_id")
 
 
@@ -143,20 +140,20 @@ def pair_audio_groups(spark, sf_dir):
 
 
 @query("describe_sources", f"""WITH {FORMATS},
-k AS (SELECT *, row_number() OVER (PARTITION BY source_id, track = 'audio_only' ORDER BY CASE WHEN track = 'audio_only' THEN coalesce(bandwidth, 0) ELSE {SCORE} END DESC, ordinal) AS k FROM listed)
+k AS (SELECT *, row_number() OVER (PARTITION BY source_id, track = 'audio_only' ORDER BY CASE WHEN track = 'audio_only' THEN coalesce(bandwidth, 0) ELSE {SCORE} END DESC, ordinal) AS k FROM offered)
 SELECT source_id, count(*) FILTER (track <> 'audio_only') AS videos, count(*) FILTER (track = 'audio_only') AS audios,
- concat(string_agg(concat(label, ' [external]'), '; ' ORDER BY k) FILTER (track <> 'audio_only' AND k <= 3),
-  CASE WHEN count(*) FILTER (track <> 'audio_only') > 3 THEN concat('; +', count(*) FILTER (track <> 'audio_only') - 3) ELSE '' END) AS best_videos
-FROM k GROUP BY 1 HAVING count(*) FILTER (track <> 'audio_only') > 0""")
+ CASE WHEN count(*) FILTER (track <> 'audio_only') > 0 THEN concat(string_agg(concat(label, ' [external]'), '; ' ORDER BY k) FILTER (track <> 'audio_only' AND k <= 3),
+  CASE WHEN count(*) FILTER (track <> 'audio_only') > 3 THEN concat('; +', count(*) FILTER (track <> 'audio_only') - 3) ELSE '' END) END AS best_videos
+FROM k GROUP BY 1""")
 def describe_sources(spark, sf_dir):
-    described = V.describe_sources(V.conform(only_listed(listed(spark, sf_dir))))
-    return described.filter("videos > 0").select("source_id", "videos", "audios", "best_videos")
+    described = V.describe_sources(V.conform(listed(spark, sf_dir)))
+    return described.select("source_id", "videos", "audios", "best_videos")
 
 
 PLANS = f"""{FORMATS},
-v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {SCORE} DESC, ordinal) AS k FROM listed WHERE track <> 'audio_only') WHERE k = 1),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {SCORE} DESC, ordinal) AS k FROM offered WHERE track <> 'audio_only') WHERE k = 1),
 a AS (SELECT source_id, arg_max(variant_id, coalesce(bandwidth, 0) * 1000 - ordinal) AS audio_id, arg_max(bytes, coalesce(bandwidth, 0) * 1000 - ordinal) AS audio_bytes,
- arg_max(ordinal, coalesce(bandwidth, 0) * 1000 - ordinal) AS audio_ordinal, max(coalesce(bandwidth, 0)) AS audio_rate FROM listed WHERE track = 'audio_only' GROUP BY 1)"""
+ arg_max(ordinal, coalesce(bandwidth, 0) * 1000 - ordinal) AS audio_ordinal, max(coalesce(bandwidth, 0)) AS audio_rate FROM offered WHERE track = 'audio_only' GROUP BY 1)"""
 
 
 @query("make_plans", f"""WITH {PLANS},
@@ -169,7 +166,7 @@ SELECT source_id, variant_id AS video_id, chosen AS audio_id, CAST(chosen IS NOT
 FROM (SELECT *, row_number() OVER (PARTITION BY lower(concat(stem, '.', container)) ORDER BY l_orderkey) AS n FROM p)""")
 def make_plans(spark, sf_dir):
     dumps = parsed_dumps(spark, sf_dir)
-    variants = only_listed(E.extractor_variants(dumps))
+    variants = E.extractor_variants(dumps)
     sources = dumps.select("source_id", "title", F.regexp_extract("source_id", r"(\d+)$", 1).cast("bigint").alias("seq"))
     return V.make_plans(sources, variants).select(
         "source_id", "video_id", "audio_id", F.col("needs_merge").cast("int").alias("needs_merge"), "estimated_bytes",
@@ -179,7 +176,7 @@ def make_plans(spark, sf_dir):
 
 def chosen_plans(spark, sf_dir):
     """Every source takes its first video in document order, and its first audio when the key is even."""
-    variants = only_listed(listed(spark, sf_dir))
+    variants = listed(spark, sf_dir)
     first = lambda track: F.min(F.when(track, F.col("ordinal")))
     plans = variants.groupBy("source_id").agg(
         first(F.col("track") != "audio_only").alias("video_ordinal"), first(F.col("track") == "audio_only").alias("_audio")
@@ -194,10 +191,10 @@ def chosen_plans(spark, sf_dir):
 
 
 CHOSEN = f"""{PLANS},
-c0 AS (SELECT source_id, l_orderkey, min(ordinal) FILTER (track <> 'audio_only') AS vo, min(ordinal) FILTER (track = 'audio_only') AS ao FROM listed GROUP BY 1, 2),
+c0 AS (SELECT source_id, l_orderkey, min(ordinal) FILTER (track <> 'audio_only') AS vo, min(ordinal) FILTER (track = 'audio_only') AS ao FROM offered GROUP BY 1, 2),
 c AS (SELECT c0.source_id, c0.l_orderkey, x.track, {SCORE.replace('height', 'x.height').replace('bandwidth', 'x.bandwidth')} AS score, x.bytes, x.label,
  CASE WHEN c0.l_orderkey % 2 = 0 THEN y.ordinal END AS ao, y.bandwidth AS arate, ao IS NOT NULL AS any_audio
- FROM c0 JOIN listed x ON x.source_id = c0.source_id AND x.ordinal = c0.vo LEFT JOIN listed y ON y.source_id = c0.source_id AND y.ordinal = c0.ao),
+ FROM c0 JOIN offered x ON x.source_id = c0.source_id AND x.ordinal = c0.vo LEFT JOIN offered y ON y.source_id = c0.source_id AND y.ordinal = c0.ao),
 d AS (SELECT c.*, v.label AS best_label, {SCORE.replace('height', 'v.height').replace('bandwidth', 'v.bandwidth')} AS best_score, a.audio_rate FROM c JOIN v USING (source_id) LEFT JOIN a USING (source_id))"""
 
 
