@@ -175,11 +175,17 @@ def unique_names(df: DataFrame, path: str, order: str, existing: DataFrame | Non
     """
     rows = df.withColumn("_name", F.lower(path))
     rows = row_numbers(rows, ["_name"], [order], by_count(order), "_number")
-    asked = rows.select("_name").distinct()
+    # Names and places alone, dealt once: all that counts names below starts from this one exchange.
+    narrow = df.select(F.lower(path).alias("_name"), F.col(order).alias("_place")).repartition("_place")
+    asked = narrow.select("_name").distinct()
     there = asked if existing is None else asked.unionByName(existing.select(F.lower("path").alias("_name"))).distinct()
     if existing is not None:
         taken = existing.select(F.lower("path").alias("_name"), F.lit(1).alias("_taken")).distinct()
         rows = rows.join(taken, "_name", "left").withColumn("_number", F.col("_number") + F.coalesce("_taken", F.lit(0)))
+        late = row_numbers(narrow, ["_name"], ["_place"], by_count("_place"), "_number").join(taken, "_name", "left")
+        late = late.select("_name", (F.col("_number") + F.coalesce("_taken", F.lit(0))).alias("_number"))
+    else:
+        late = row_numbers(narrow, ["_name"], ["_place"], by_count("_place"), "_number")
 
     # Numbers in use: "stem (n).ext", written as we write it, with what it would be a number of.
     numbered = r"^(.*) \(([1-9][0-9]{0,8})\)((?:\.[^./\\]*)?)$"
@@ -190,7 +196,7 @@ def unique_names(df: DataFrame, path: str, order: str, existing: DataFrame | Non
     used = row_numbers(used, ["_name"], ["_n"], by_count("_n"), "_i")
     # n is the i-th number in use, so n - 1 - i numbers before it are free. The j-th newcomer passes those with fewer than j.
     marks = used.select("_name", ((F.col("_n") - 1 - F.col("_i")) * 2 + 1).alias("_at"), F.lit(1).alias("_mark"), F.lit(None).cast("bigint").alias("_j"))
-    newcomers = rows.filter(F.col("_number") > 1).select("_name", (F.col("_number") - 1).alias("_j"))
+    newcomers = late.filter(F.col("_number") > 1).select("_name", (F.col("_number") - 1).alias("_j"))
     asks = newcomers.select("_name", (F.col("_j") * 2).alias("_at"), F.lit(0).alias("_mark"), "_j")
     passed = running(marks.unionByName(asks), ["_name"], ["_at", "_mark"], by_count("_at"), {"_passed": Carry("sum", F.col("_mark"))})
     free = passed.filter("_mark = 0").select("_name", (F.col("_j") + 1).alias("_number"), (F.col("_j") + 1 + F.col("_passed")).alias("_free"))
