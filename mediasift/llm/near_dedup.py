@@ -25,7 +25,7 @@ from .components import connected_components
 from .shared import text_or_empty, write_out
 from .shingles import mixed, shingles
 
-MOST_LABELS = 64  # labels that a bucket may hold before they are merged
+MOST_LABELS, MOST_PARTNERS = 16, 4  # labels in a bucket, and labels that a label meets, before they are merged
 
 
 def banding(similarity: float, recall: float, hashes: int = 320) -> tuple[int, int]:
@@ -98,18 +98,40 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) whose Jaccard similarity reaches ``similarity``: i != j within one block, i from side 0 and j from side 1 between two."""
+def linked(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(near, one, two): whether the sets at ``one[i]`` and ``two[j]`` reach ``similarity``.
+
+    Between two blocks ``one`` and ``two`` are the sets of side 0 and 1; within one block both are all sets, and no set
+    is near itself.
+    """
     size = np.array([len(s) for s in sets], np.float64)
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(two):
-        two = one
+    within = not len(two)
+    two = one if within else two
     common = overlaps([sets[i] for i in one], [sets[j] for j in two])
-    both = size[one][:, None] + size[two][None, :]
-    near = common * (1 + similarity) >= similarity * both - 1e-6
-    i, j = np.nonzero(near)
-    i, j = one[i], two[j]
-    return i[i != j], j[i != j]
+    near = np.zeros(common.shape, bool)
+    for at in range(0, len(one), 256):
+        rows = slice(at, at + 256)
+        # A margin far under what one shingle changes, so that equality counts.
+        near[rows] = common[rows].astype(np.float64) * (1 + similarity) >= similarity * (size[one[rows]][:, None] + size[two][None, :]) - 1e-6
+    if within:
+        np.fill_diagonal(near, False)
+    return near, one, two
+
+
+def smallest_linked(near: np.ndarray, one: np.ndarray, two: np.ndarray, count: int) -> np.ndarray:
+    """For each of ``count`` sets the first one in its component of the graph ``near``."""
+    root = np.arange(count)
+    while True:
+        before = root.copy()
+        for rows, columns, matrix in ((one, two, near), (two, one, near.T)):
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                reached = np.where(matrix[at : at + 256], root[columns][None, :], count).min(axis=1, initial=count)
+                root[some] = np.minimum(root[some], reached)
+        root = root[root]
+        if (root == before).all():
+            return root
 
 
 def _verify(words: int, similarity: float):
@@ -126,24 +148,18 @@ def _verify(words: int, similarity: float):
                 continue
             first += a
             sets = [shingles(t, words) for t in rows["text"].take(pa.array(first)).to_pylist()]
-            i, j = linked(sets, side[first], similarity)
-            if not len(i):
+            near, one, two = linked(sets, side[first], similarity)
+            if not near.any():
                 continue
-            member, many = rep[first], copies[first]
-            links = np.bincount(i, many[j], minlength=len(first))
-            root = np.arange(len(first))
-            if (side[first] == 1).any():  # between two blocks each pair comes once
-                links += np.bincount(j, many[i], minlength=len(first))
-            while True:
-                before = root.copy()
-                np.minimum.at(root, i, root[j])
-                np.minimum.at(root, j, root[i])
-                root = root[root]
-                if (root == before).all():
-                    break
+            member, many = rep[first], copies[first].astype(np.float64)
+            links = np.zeros(len(first), np.int64)
+            links[one] += (near @ many[two]).astype(np.int64)
+            if (side[first] == 1).any():  # between two blocks each pair stands once
+                links[two] += (near.T @ many[one]).astype(np.int64)
+            root = smallest_linked(near, one, two, len(first))
             some = np.flatnonzero(links)
             out_rep.append(member[some])
-            out_links.append(links[some].astype(np.int64))
+            out_links.append(links[some])
             out_root.append(member[root[some]])
         joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_rep, out_links, out_root)]
         return pa.table(dict(zip(("rep", "links", "root"), joined)))
@@ -151,22 +167,37 @@ def _verify(words: int, similarity: float):
     return run
 
 
-def _labels(met: DataFrame) -> DataFrame:
-    """``rep, label``. Where more than MOST_LABELS labels meet in a bucket they are merged, until none has more."""
+def _labels(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rep, label`` and the ``r1 < r2`` of labels that meet in a bucket.
+
+    A label's members move once for every label it meets. Where a bucket holds more than MOST_LABELS labels, or a label
+    meets more than MOST_PARTNERS others, they are merged, until none does: what belongs to one large family gets one
+    label, and every member moves a bounded number of times per block.
+    """
     labels = met.groupBy("rep").agg(F.min("least").alias("label"))
     while True:
         labels = write_out(labels)
-        held = met.join(labels, "rep").groupBy("key").agg(F.approx_count_distinct("label", 0.05).alias("n"), F.min("label").alias("low"))
-        crowded = write_out(held.where(F.col("n") > MOST_LABELS).select("key", "low"))
-        if crowded.isEmpty():
-            return labels
-        lower = met.join(crowded, "key").join(labels, "rep").groupBy("label").agg(F.min("low").alias("low"))
+        held = write_out(met.join(labels, "rep").select("key", "label").distinct())
+        buckets = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"))
+        crowded = write_out(buckets.where((F.col("n") > MOST_LABELS)).select("key", "low"))
+        if not crowded.isEmpty():
+            lower = held.join(crowded, "key").select("label", "low")
+        else:
+            other = held.withColumnRenamed("label", "other")
+            pairs = write_out(held.join(other, "key").where("label < other").select(F.col("label").alias("r1"), F.col("other").alias("r2")).distinct())
+            both = pairs.unionAll(pairs.select(F.col("r2").alias("r1"), F.col("r1").alias("r2")))
+            stars = both.groupBy("r1").agg(F.count(F.lit(1)).alias("n"), F.least("r1", F.min("r2")).alias("low")).where(F.col("n") > MOST_PARTNERS)
+            stars = write_out(stars.select("r1", "low"))
+            if stars.isEmpty():
+                return labels, pairs
+            lower = stars.select(F.col("r1").alias("label"), "low").unionAll(both.join(stars, "r1").select(F.col("r2").alias("label"), "low"))
+        lower = lower.groupBy("label").agg(F.min("low").alias("low"))
         labels = labels.join(lower, "label", "left").select("rep", F.least("label", F.coalesce("low", "label")).alias("label"))
 
 
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    recall: float = 0.999, block: int = 300_000,
+    recall: float = 0.999, block: int = 150_000,
 ) -> DataFrame:
     """One row per row: ``doc_id, class_id, n_links, rep_id, n_copies, n_shingles``.
 
@@ -186,14 +217,12 @@ def near_duplicates(
     banded = classes.select(F.col("rep"), F.explode("bands").alias("key"))
     buckets = write_out(banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least"))
     met = write_out(banded.join(buckets, "key").select("key", "rep", "least"))
-    labels = _labels(met)
+    labels, pairs = _labels(met)
 
     # Blocks, and the meetings of the blocks of a label with each other and with those of labels it meets in a bucket.
     members = labels.join(classes.select("rep", "copies", "n"), "rep")
     totals = write_out(members.groupBy("label").agg(F.ceil(F.sum(F.col("n").cast("long")) / F.lit(float(block))).cast("int").alias("blocks"), F.sum(F.col("n").cast("long")).alias("weight")))
-    held = met.join(labels, "rep").select("key", "label").distinct()
-    pairs = held.join(held.withColumnRenamed("label", "other"), "key").where("label < other").select(F.col("label").alias("r1"), F.col("other").alias("r2")).distinct()
-    pairs = write_out(pairs.unionAll(totals.select(F.col("label").alias("r1"), F.col("label").alias("r2"))))
+    pairs = pairs.unionAll(totals.select(F.col("label").alias("r1"), F.col("label").alias("r2")))
     sizes = pairs.join(totals.select(F.col("label").alias("r1"), F.col("blocks").alias("b1"), F.col("weight").alias("w1")), "r1").join(
         totals.select(F.col("label").alias("r2"), F.col("blocks").alias("b2"), F.col("weight").alias("w2")), "r2")
     sizes = write_out(sizes)
