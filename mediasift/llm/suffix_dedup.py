@@ -395,8 +395,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     asked = rows.select("k", "th", "text").mapInArrow(_ask(length, buckets), "bucket int, payload binary")
     marked = asked.groupBy("bucket").applyInArrow(_answer(buckets), "k long, th long, mark long")
     listed = marked.groupBy("k", "th").agg(F.collect_list("mark").alias("marks"))
-    stretches = rows.join(listed, ["k", "th"]).select("k", "th", "text", "marks").mapInArrow(_send(length, buckets), "bucket int, payload binary")
+    # Both joins take the same columns of ``rows``, so its texts are shuffled once.
+    stretches = rows.join(listed, ["k", "th"]).select("doc_id", "k", "th", "text", "marks").mapInArrow(_send(length, buckets), "bucket int, payload binary")
     repeats = stretches.groupBy("bucket").applyInArrow(_refine(length, buckets), "k long, th long, mark long")
     removed = repeats.groupBy("k", "th").agg(F.collect_list("mark").alias("marks"))
-    joined = rows.join(removed, ["k", "th"], "left").select("doc_id", "text", "marks")
+    joined = rows.join(removed, ["k", "th"], "left").select("doc_id", "k", "th", "text", "marks")
     return joined.mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
