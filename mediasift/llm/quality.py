@@ -127,7 +127,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int, rate: float = 0.01,
     """Adam on the cross entropy, classes weighted evenly. None when there is nothing to learn from."""
     if not len(texts) or len(set(labels.tolist())) < 2:
         return None
-    features, sizes = passage_features(texts)
+    parts = [passage_features(texts[i : i + 64]) for i in range(0, len(texts), 64)]
+    features, sizes = (np.concatenate(x) for x in zip(*parts))
     at = np.cumsum(sizes) - sizes
     net = Network(features.mean(axis=0), features.std(axis=0) + 1e-3, seed=seed)
     share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
