@@ -149,8 +149,8 @@ def telling_features(toxic: list[list[str]], clean: list[list[str]], odds: float
     """Features that are ``exp(odds)`` times likelier in toxic texts, beyond what chance does among so many features.
 
     A word counts once in a text, and once for each pair of neighbours, so neither repetition inside a text nor copies
-    and near copies of one text, which repeat all its words in place, make it telling. The chance of a feature's counts is bounded by Chernoff's inequality
-    and must stay under ``doubt`` over the number of features.
+    and near copies of one text, which repeat all its words in place, make it telling. The chance of a feature's counts
+    is bounded by Chernoff's inequality and must stay under ``doubt`` over the number of features.
     """
     numbers: dict[str, int] = {}
     uses = []
@@ -165,23 +165,28 @@ def telling_features(toxic: list[list[str]], clean: list[list[str]], odds: float
     size = len(numbers) + 1
     uses = [np.concatenate([u, np.zeros(size - len(u), np.int64)]) for u in uses]
     empty = numbers.get("", 0)
-    counts: dict[str, list[int]] = {}
-    for word, number in numbers.items():
-        if number == empty:
-            continue
-        n0, n1 = int(uses[0][number]), int(uses[1][number])
-        for f in features(word):
-            known = counts.setdefault(f, [0, 0])
-            known[0] += n0
-            known[1] += n1
     total = [int(u.sum() - u[empty]) for u in uses]
     if not total[0] or not total[1]:
         return set()
     base = total[1] / (total[0] + total[1])
-    least = math.log(sum(1 for c in counts.values() if c[1]) / doubt)
+    # Toxic uses first: most features have too few of them to tell anything, and are forgotten before clean uses are counted.
+    toxic_uses: dict[str, int] = {}
+    for word, number in numbers.items():
+        if number != empty and (n := int(uses[1][number])):
+            for f in features(word):
+                toxic_uses[f] = toxic_uses.get(f, 0) + n
+    least = math.log(max(1, len(toxic_uses)) / doubt)
+    toxic_uses = {f: n for f, n in toxic_uses.items() if n * math.log(1 / base) >= least}
+    clean_uses = dict.fromkeys(toxic_uses, 0)
+    for word, number in numbers.items():
+        if number != empty and (n := int(uses[0][number])):
+            for f in features(word):
+                if f in clean_uses:
+                    clean_uses[f] += n
     out = set()
-    for f, (n0, n1) in counts.items():
-        share = n1 / (n0 + n1) if n1 else 0.0
+    for f, n1 in toxic_uses.items():
+        n0 = clean_uses[f]
+        share = n1 / (n0 + n1)
         if share <= base or math.log((n1 + 0.5) / (n0 + 0.5) * (1 - base) / base) < odds:
             continue
         gain = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0)
@@ -191,28 +196,33 @@ def telling_features(toxic: list[list[str]], clean: list[list[str]], odds: float
 
 
 def train(texts: list[str], labels: list[int], most_segments: int = 8_000, steps: int = 120, seed: int = 0) -> Field:
-    toxic = [words_of(t) for t, y in zip(texts, labels, strict=True) if y == 1]
-    clean = [words_of(t) for t, y in zip(texts, labels, strict=True) if y == 0]
+    one: dict[str, str] = {}  # one string for all uses of a word
+    texts = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
+    toxic = [words for words, y in zip(texts, labels, strict=True) if y == 1]
+    clean = [words for words, y in zip(texts, labels, strict=True) if y == 0]
     telling = telling_features(toxic, clean)
     if not telling:
         return _nothing_learned()
     place = {f: i + 1 for i, f in enumerate(sorted(telling))}
-    # Sequences of SEGMENT tokens: those with a telling token first, then others, evenly over the texts.
-    rows, marks, plain, plain_marks = [], [], [], []
+    found = {w: k for w in one if (k := tuple(place[f] for f in features(w) if f in place))}
+    # Sequences of SEGMENT tokens: those with a telling token, and the lengths of the others, which are all alike.
+    rows, marks, plain = [], [], []
     for is_toxic, group in ((True, toxic), (False, clean)):
         for words in group:
-            known = [[place[f] for f in features(w) if f in place] for w in words]
             for at in range(0, len(words), SEGMENT):
-                part = known[at : at + SEGMENT]
-                into, into_marks = (rows, marks) if any(part) else (plain, plain_marks)
-                into.append(part)
-                into_marks.append([bool(k) and is_toxic for k in part])
+                part = [found.get(w, ()) for w in words[at : at + SEGMENT]]
+                if any(part):
+                    rows.append(part)
+                    marks.append([bool(k) and is_toxic for k in part])
+                else:
+                    plain.append(len(part))
     rng = np.random.default_rng(seed)
-    for some, some_marks in ((rows, marks), (plain, plain_marks)):
-        if len(some) > most_segments // 2:
-            chosen = rng.choice(len(some), most_segments // 2, replace=False)
-            some[:], some_marks[:] = [some[i] for i in chosen], [some_marks[i] for i in chosen]
-    rows, marks = rows + plain, marks + plain_marks
+    if len(rows) > most_segments // 2:
+        chosen = rng.choice(len(rows), most_segments // 2, replace=False)
+        rows, marks = [rows[i] for i in chosen], [marks[i] for i in chosen]
+    if len(plain) > most_segments // 2:
+        plain = rng.choice(plain, most_segments // 2, replace=False).tolist()
+    rows, marks = rows + [[()] * n for n in plain], marks + [[False] * n for n in plain]
     width = max(1, max(len(k) for r in rows for k in r))
     ids = np.zeros((len(rows), SEGMENT, width), np.int64)
     truth = np.zeros((len(rows), SEGMENT), np.int64)
