@@ -30,7 +30,7 @@ from .shared import text_or_empty
 
 NEVER = 1 << 60
 BLOCK = 4096  # bytes read between two looks for stable tokens
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
 
 # The pre-tokenizer's pattern and white space are fixed values of the tokenizer.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -194,6 +194,16 @@ class Encoder:
         self.held = b""
 
 
+def whole_word(merges: Merges, data: bytes) -> list[int]:
+    """What an encoder emits for a word. One that fits a block is held until its end, so it is merged as it stands."""
+    if len(data) < BLOCK:
+        tokens = [merges.byte[b] for b in data]
+        tokens[-1] = merges.last_byte[data[-1]]
+        return merges.merge(tokens)
+    encoder = Encoder(merges)
+    return [*encoder.feed(data), *encoder.finish()]
+
+
 class Decoder:
     """Tokens in, text out. ``spelled`` gives the library's text for a tokenizer without decoder: spellings between spaces.
 
@@ -215,25 +225,50 @@ class Decoder:
         return self.decode(b"", True)
 
 
+class _TokenTexts(dict):
+    """Token -> what the decoder says for it from its initial state, to which the token must lead it back."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+
+    def __missing__(self, token: int) -> str:
+        decoder = Decoder(self.merges, spelled=True)
+        text = self[token] = decoder.feed(token)
+        if decoder.finish():
+            raise ValueError(f"the spelling of token {token} ends inside a character")
+        return text
+
+
 class _Remembered(dict):
     """Run without white space -> (its ids as text, its decoded text, number of tokens)."""
 
     def __init__(self, tokenizer: "Tokenizer"):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.merges = tokenizer, tokenizer.merges
+        self.words: dict[str, tuple[str, str, int]] = {}
+        self.texts = _TokenTexts(tokenizer.merges)
 
     def __missing__(self, run: str):
-        tokens = []
-        for word in self.tokenizer.words.findall(run):
-            encoder = Encoder(self.tokenizer.merges)
-            tokens += encoder.feed(word.encode())
-            tokens += encoder.finish()
-        entry = " ".join(map(str, tokens)), self.tokenizer.decode(tokens, spelled=True), len(tokens)
+        words = self.tokenizer.words.findall(run)
+        if len(words) == 1:
+            entry = self.word(words[0])
+        else:
+            entries = [self.words.get(w) or self.word(w) for w in words]
+            entry = " ".join([e[0] for e in entries]), " ".join([e[1] for e in entries]), sum([e[2] for e in entries])
         if len(run) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[run] = entry
         return entry
 
+    def word(self, word: str) -> tuple[str, str, int]:
+        tokens = whole_word(self.merges, word.encode())
+        entry = " ".join(map(str, tokens)), " ".join(map(self.texts.__getitem__, tokens)), len(tokens)
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            self.words[word] = entry
+        return entry
+
 
 class Tokenizer:
     """Normalises, splits into words and encodes them, as the tokenizer file says."""
