@@ -9,7 +9,10 @@ ahead in the same document).
    most of a corpus, and it ends here.
 3. The other stretches, with their bytes, are dealt by anchor. Equal stretches are one; the strings of different
    stretches are told apart by bucket-pointer refinement (:func:`bucket_pointers`), and all but the first are repeats.
-4. The repeated strings of a document are joined back to its text.
+4. Anchors with more than ``crowd`` stretches (a line that many documents hold in different contexts) have no bucket of
+   their own: their single strings are dealt by a 128-bit digest of all their bytes, and equal digests are equal strings.
+   So what meets in one place is bounded: ``crowd`` stretches of an anchor, or one row per batch of a string.
+5. The repeated strings of a document are joined back to its text.
 
 A mapper settles what repeats inside its own batch of texts and sends one witness of it, so a passage that a third of
 the documents share sends one row per batch to its bucket and not one per document.
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import text_or_empty, write_out
 from .shingles import mixed
 
 LENGTH = 100
@@ -34,6 +37,8 @@ GRAM = 32  # bytes of an anchor
 PIECE = 1 << 22  # bytes that are hashed at a time; longer texts are cut into overlapping pieces
 CHUNK = 1 << 21  # bytes that are sorted at a time
 BASE = 0x9E3779B97F4A7C15
+CROWD = 1 << 13  # stretches of an anchor, of up to 268 bytes each, that are refined together
+MOST_STRINGS = 1 << 18  # single strings that a mapper holds
 NO_ID = -(1 << 63)
 
 
@@ -218,25 +223,33 @@ def _ask(length: int, buckets: int):
                     for bucket, some in _by_bucket(to):
                         i = sent[some]
                         out[0].append(bucket)
-                        out[1].append(pack(h[i], k[doc[i]], th[doc[i]], lo[i].astype(np.uint64) << np.uint64(8) | n[i].astype(np.uint64), multiple[i] & (not passed)))
+                        out[1].append(pack(h[i], k[doc[i]], th[doc[i]], lo[i].astype(np.uint64) << np.uint64(8) | n[i].astype(np.uint64), np.where(passed, 0, times[inverse[i]]).astype(np.uint32)))
                 yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["bucket", "payload"])
 
     return run
 
 
-def _answer(buckets: int):
-    """Packed anchors of a bucket to the marks (place and number of strings) of those whose hash occurs twice."""
+def _answer(buckets: int, crowd: int):
+    """Packed anchors of a bucket to the marks (place and number of strings) of those whose hash occurs twice.
+
+    A hash that occurs more than ``crowd`` times has one row more, without a mark.
+    """
 
     def run(key, rows):
         parts = [unpack(p) for p in rows["payload"].to_pylist()]
-        h, k, th, mark, settled = (np.concatenate(x) for x in zip(*parts))
+        h, k, th, mark, times = (np.concatenate(x) for x in zip(*parts))
+        crowded = np.zeros(0, np.uint64)
         if key[0].as_py() < buckets:
-            _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-            in_batch = np.bincount(inverse, settled, len(times)) > 0
-            # A settled witness has been sent on by its mapper already.
-            keep = ((times > 1) | in_batch)[inverse] & ~settled
-            k, th, mark = k[keep], th[keep], mark[keep]
-        return pa.table({"k": k, "th": th, "mark": mark.astype(np.int64)})
+            names, inverse = np.unique(h, return_inverse=True)
+            total = np.bincount(inverse, times, len(names))
+            crowded = names[total > crowd]
+            # A witness of several has been sent on by its mapper already.
+            keep = (total > 1)[inverse] & (times == 1)
+            h, k, th, mark = h[keep], k[keep], th[keep], mark[keep]
+        none = pa.nulls(len(crowded), pa.int64())
+        columns = {"k": k, "th": th, "mark": mark.astype(np.int64)}
+        table = {c: pa.chunked_array([pa.array(v, pa.int64()), none]) for c, v in columns.items()}
+        return pa.table({**table, "h": np.concatenate([h, crowded]).view(np.int64)})
 
     return run
 
@@ -246,8 +259,48 @@ def _marks(marks) -> tuple[np.ndarray, np.ndarray]:
     return marks >> 8, marks & 255
 
 
+def _single_strings(stretches: list[bytes], k, th, lo, n, length: int, buckets: int):
+    """Stretches in the order of their places to packed single strings, dealt by digest, and settled repeats."""
+
+    def packed(digests, owner, place, runs):
+        out = [], []
+        digest = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        owner, place = np.array(owner, np.int64), np.array(place, np.int64)
+        for bucket, i in _by_bucket(2 * buckets + (digest[:, 0] % np.uint64(buckets)).astype(np.int64)):
+            out[0].append(bucket)
+            out[1].append(pack(digest[i, 0], digest[i, 1], k[owner[i]], th[owner[i]], place[i]))
+        at, start, count = np.array(runs, np.int64).reshape(-1, 3).T
+        for bucket, i in _by_bucket(buckets + (mixed(th[at].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+            out[0].append(bucket)
+            out[1].append(pack(np.zeros(len(i), np.uint64), k[at[i]], th[at[i]], start[i], count[i], b""))
+        return pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["bucket", "payload"])
+
+    seen: dict[bytes, tuple[int, int]] = {}
+    digests, owner, place, runs = [], [], [], []
+    for i, stretch in enumerate(stretches):
+        document, first = int(k[i]), int(lo[i])
+        for x in range(int(n[i])):
+            digest = hashlib.blake2b(stretch[x : x + length], digest_size=16).digest()
+            if seen.setdefault(digest, (document, first + x)) >= (document, first + x):
+                digests.append(digest)
+                owner.append(i)
+                place.append(first + x)
+            elif runs and runs[-1][0] == i and runs[-1][1] + runs[-1][2] == first + x:
+                runs[-1][2] += 1
+            else:
+                runs.append([i, first + x, 1])
+        if len(digests) + len(runs) > MOST_STRINGS:
+            yield packed(digests, owner, place, runs)
+            seen, digests, owner, place, runs = {}, [], [], [], []
+    if digests or runs:
+        yield packed(digests, owner, place, runs)
+
+
 def _send(length: int, buckets: int):
-    """Texts with marks to packed stretches with their bytes, one row per bucket, and settled repeats."""
+    """Texts with marks to packed stretches with their bytes, one row per bucket, and settled repeats.
+
+    The lowest bit of a mark says that its anchor is crowded; such stretches go as single strings.
+    """
 
     def run(batches):
         anchors = Anchors(length)
@@ -256,9 +309,10 @@ def _send(length: int, buckets: int):
                 k, th = (part.column(c).to_numpy() for c in ("k", "th"))
                 texts = [t.encode() for t in part.column("text").to_pylist()]
                 seen: dict[bytes, int] = {}
-                bytes_, doc, lo, n, repeat = [], [], [], [], []
+                bytes_, doc, lo, n, repeat, crowded = [], [], [], [], [], []
                 for d in np.argsort(k, kind="stable"):
-                    for start, count in zip(*(x.tolist() for x in _marks(part.column("marks")[int(d)].values.to_numpy()))):
+                    marks = np.unique(part.column("marks")[int(d)].values.to_numpy())
+                    for start, count, many in zip(*(x.tolist() for x in (*_marks(marks >> 1), marks & 1))):
                         stretch = texts[d][start : start + count + length - 1]
                         before = seen.setdefault(stretch, len(bytes_))
                         # Documents come in their order, so an equal stretch before this one is earlier or the same place.
@@ -267,12 +321,17 @@ def _send(length: int, buckets: int):
                         doc.append(int(d))
                         lo.append(start)
                         n.append(count)
+                        crowded.append(many == 1)
                 if not bytes_:
                     continue
                 doc, lo, n, repeat = np.array(doc), np.array(lo, np.int64), np.array(n, np.int64), np.array(repeat, bool)
+                crowded = np.array(crowded, bool) & ~repeat
+                if crowded.any():
+                    i = np.flatnonzero(crowded)
+                    yield from _single_strings([bytes_[x] for x in i], k[doc[i]], th[doc[i]], lo[i], n[i], length, buckets)
                 h = _anchor_of(anchors, bytes_)
                 out = [], []
-                for sent, settled in ((np.flatnonzero(~repeat), False), (np.flatnonzero(repeat), True)):
+                for sent, settled in ((np.flatnonzero(~repeat & ~crowded), False), (np.flatnonzero(repeat), True)):
                     to = buckets + (mixed(th[doc[sent]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if settled else (h[sent] % np.uint64(buckets)).astype(np.int64)
                     for bucket, some in _by_bucket(to):
                         i = sent[some]
@@ -302,6 +361,8 @@ def _refine(length: int, buckets: int):
 
     def run(key, rows):
         parts = [unpack(p) for p in rows["payload"].to_pylist()]
+        if key[0].as_py() >= 2 * buckets:
+            return _single_repeats(*(np.concatenate(x) for x in zip(*parts)))
         h, k, th, lo, n = (np.concatenate(x) for x in list(zip(*parts))[:5])
         if key[0].as_py() >= buckets:
             return pa.table({"k": k, "th": th, "mark": lo << 8 | n})
@@ -337,6 +398,17 @@ def _refine(length: int, buckets: int):
     return run
 
 
+def _single_repeats(high, low, k, th, place) -> pa.Table:
+    """The marks of strings whose digest stands earlier elsewhere."""
+    order = np.lexsort((place, k, low, high))
+    high, low, k, th, place = (x[order] for x in (high, low, k, th, place))
+    head = np.ones(len(order), bool)
+    head[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    later = (k > k[lead]) | (place > place[lead])
+    return pa.table({"k": k[later], "th": th[later], "mark": place[later] << 8 | 1})
+
+
 def _sort(groups: list[dict[bytes, int]], k, lo, n, length: int, settle) -> None:
     """Different stretches with equal anchors: which of their strings repeat. Groups have no string in common."""
     stretches = [s for g in groups for s in g]
@@ -379,12 +451,25 @@ def _finish(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
+def _dealt_stretches(rows: DataFrame, length: int, buckets: int, crowd: int) -> DataFrame:
+    """``bucket, payload``: what may repeat of ``doc_id, text, k, th``, dealt so that equal strings meet."""
+    asked = rows.select("k", "th", "text").mapInArrow(_ask(length, buckets), "bucket int, payload binary")
+    marked = write_out(asked.groupBy("bucket").applyInArrow(_answer(buckets, crowd), "k long, th long, mark long, h long"))
+    # One row per ``crowd`` anchors of the input at most; written, so that Spark knows how few.
+    crowded = write_out(marked.where("mark IS NULL").select("h", F.lit(1).alias("many")))
+    flagged = marked.where("mark IS NOT NULL").join(crowded, "h", "left")
+    mark = F.shiftleft("mark", 1) + F.coalesce("many", F.lit(0))
+    listed = flagged.groupBy("k", "th").agg(F.collect_list(mark).alias("marks"))
+    # This join and that of the repeats take the same columns of ``rows``, so its texts are shuffled once.
+    return rows.join(listed, ["k", "th"]).select("doc_id", "k", "th", "text", "marks").mapInArrow(_send(length, buckets), "bucket int, payload binary")
+
+
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """One row per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Texts are UTF-8 bytes, null is empty, strings never cross rows. Ids are long; a null id comes before all others.
     Rows with equal ids are ordered by the place of the string alone, so rows that repeat id and text do not remove each
-    other. Other columns are not read. Texts shorter than ``length`` keep all bytes. An empty table gives no rows.
+    other. ``crowd`` is where anchors become crowded; it changes no result. Other columns are not read. Texts shorter than ``length`` keep all bytes. An empty table gives no rows.
     """
     if not 64 <= length <= 200:
         raise ValueError("length must be from 64 to 200")
@@ -392,11 +477,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = rows.withColumns({"k": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
     # Buckets follow the number of input partitions, so a bucket's size does not grow with the input.
     buckets = max(8, 4 * docs.rdd.getNumPartitions())
-    asked = rows.select("k", "th", "text").mapInArrow(_ask(length, buckets), "bucket int, payload binary")
-    marked = asked.groupBy("bucket").applyInArrow(_answer(buckets), "k long, th long, mark long")
-    listed = marked.groupBy("k", "th").agg(F.collect_list("mark").alias("marks"))
-    # Both joins take the same columns of ``rows``, so its texts are shuffled once.
-    stretches = rows.join(listed, ["k", "th"]).select("doc_id", "k", "th", "text", "marks").mapInArrow(_send(length, buckets), "bucket int, payload binary")
+    stretches = _dealt_stretches(rows, length, buckets, crowd)
     repeats = stretches.groupBy("bucket").applyInArrow(_refine(length, buckets), "k long, th long, mark long")
     removed = repeats.groupBy("k", "th").agg(F.collect_list("mark").alias("marks"))
     joined = rows.join(removed, ["k", "th"], "left").select("doc_id", "k", "th", "text", "marks")

@@ -132,6 +132,26 @@ def test_repeats_match_brute_force(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_a_common_line_is_dealt_by_its_strings(spark):
+    rng = random.Random(5)
+    line, passage = "one line of forty bytes in many contexts", " ".join(str(rng.random()) for _ in range(20))
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(i, noise(100) + (line if i % 3 == 0 else passage if i % 3 == 1 else "") + noise(100)) for i in range(600)]
+    # Some contexts come again, in other documents and further on in one.
+    rows += [(1000 + i, noise(30) + rows[3 * i][1][20:210] + noise(30)) for i in range(40)] + [(7, rows[0][1]), (None, rows[3][1]), (900, (line + noise(60)) * 2 + line)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (20, 1):
+        assert Counter(map(tuple, suffix_dedup.remove_repeats(df, crowd=crowd).collect())) == removed(rows, 100)
+    # What goes to a bucket of anchors stays small, however many documents hold the line.
+    keyed = df.selectExpr("doc_id", "text", "coalesce(doc_id, -1) AS k", "xxhash64(text) AS th")
+    met = Counter()
+    for r in suffix_dedup._dealt_stretches(keyed, 100, 8, 20).collect():
+        if r.bucket < 8:
+            met.update(suffix_dedup.unpack(r.payload)[0].tolist())
+    assert not met or max(met.values()) <= 20
+
+
 def test_long_texts_are_cut_into_pieces():
     rng = random.Random(9)
     text = bytes(rng.choice(b"abcd") for _ in range(5000))
