@@ -260,8 +260,8 @@ def close_quiet_visits(rows: DataFrame, late: str, quiet_seconds: float, cap_sec
                 )
                 held = {"closed": end(done)}
             else:
-                # Rows behind the end of the stretch cannot count any more unless an earlier row comes.
-                held["waiting"] = [w for w in held["waiting"] if w[0] <= end(done) + quiet]
+                # Late rows can lengthen the stretch up to the cap after its opening, which they can only make earlier.
+                held["waiting"] = [w for w in held["waiting"] if w[0] <= done["opened"] + cap]
                 state.update((json.dumps(held),))
                 state.setTimeoutTimestamp(max(end(done) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
                 return

@@ -53,6 +53,16 @@ def test_a_visit_closes_once(spark, tmp_path):
     assert got == {"a": (3, 9, 15, False), "b": (10, 45, 45, True)}
 
 
+def test_late_rows_reach_what_waits(spark, tmp_path):
+    schema = "visit_id STRING, ts TIMESTAMP, candidate_key STRING"
+    # Lateness is over the quiet time: the row at 13 s waits behind a gap that rows at 5 and 10 s close.
+    batches = [[("a", at(0), "x"), ("a", at(13), "w")], [("a", at(5), "y"), ("a", at(10), "z")], [("end", at(900), "e")], [("end", at(901), "f")]]
+    rows = stateful.close_quiet_visits(stream_of(spark, tmp_path, batches, schema), "10 seconds", 6, 45, 3600)
+    start = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
+    got = [(r.new_candidates, r.last_new_us // 1_000_000 - start, r.closed_us // 1_000_000 - start) for r in drain(rows).collect() if r.visit_id == "a"]
+    assert got == [(4, 13, 19)]
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Elsewhere:
         conf = spark.conf
