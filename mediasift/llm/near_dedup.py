@@ -1,7 +1,8 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full shingle sets verify them.
 
 1. Every text becomes its shingle set, a signature and band hashes, in one pass. Texts with equal sets are one class
-   from here on; it is represented by its smallest id and counts as many times as it has texts.
+   from here on; the set's hash names it, its smallest id (and that row's text hash, where rows repeat the id) stands for
+   it, and it counts as many times as it has texts.
 2. Rows are shuffled on band hashes. A bucket is never listed: it only tells its members its smallest member.
 3. A member's label is the smallest member of any of its buckets, so a family of near copies shares a label and its sets
    move once and not once per band. Labels that meet in a bucket are verified against each other as well, therefore
@@ -56,7 +57,7 @@ class BandHashes:
 
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, words: int, bands: int, rows: int) -> DataFrame:
-    """``id, n, set, bands``: number of shingles, 128-bit hash of the sorted set, one 64-bit hash per band."""
+    """``id, th, n, set, bands``: hash of the text, number of shingles, 128-bit hash of the sorted set, one 64-bit hash per band."""
 
     def run(batches):
         hashed = BandHashes(bands, rows)
@@ -70,12 +71,17 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, words: int, ba
                     sets.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     keys.append(hashed(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
                 yield pa.record_batch(
-                    [part.column("id"), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["id", "n", "set", "bands"],
+                    [part.column("id"), part.column("th"), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["id", "th", "n", "set", "bands"],
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), text_or_empty(F.col(text_column)).alias("text")).mapInArrow(run, f"id {kind}, n int, set binary, bands array<long>")
+    return _texts(docs, id_column, text_column).mapInArrow(run, f"id {kind}, th long, n int, set binary, bands array<long>")
+
+
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    rows = docs.select(F.col(id_column).alias("id"), text_or_empty(F.col(text_column)).alias("text"))
+    return rows.select("id", "text", F.xxhash64("text").alias("th"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -136,14 +142,14 @@ def smallest_linked(near: np.ndarray, one: np.ndarray, two: np.ndarray, count: i
 
 def _verify(words: int, similarity: float):
     def run(key, rows):
-        rows = rows.sort_by([(c, "ascending") for c in ("r1", "r2", "i", "j", "rep")])
-        rep, side, copies = (rows[c].to_numpy() for c in ("rep", "side", "copies"))
+        rows = rows.sort_by([(c, "ascending") for c in ("r1", "r2", "i", "j", "set")])
+        name, side, copies = (rows[c].to_numpy() for c in ("set", "side", "copies"))
         names = np.stack([rows[c].to_numpy() for c in ("r1", "r2", "i", "j")])
-        starts = np.concatenate([[0], np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1, [len(rep)]])
-        out_rep, out_links, out_root = [], [], []
+        starts = np.concatenate([[0], np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1, [len(name)]])
+        out_name, out_links, out_root = [], [], []
         for a, b in zip(starts, starts[1:]):
-            # An id that the input repeats comes more than once; it is one member.
-            _, first = np.unique(rep[a:b], return_index=True)
+            # A row that the input repeats comes more than once; it is one member.
+            _, first = np.unique(name[a:b], return_index=True)
             if len(first) < 2:
                 continue
             first += a
@@ -151,33 +157,33 @@ def _verify(words: int, similarity: float):
             near, one, two = linked(sets, side[first], similarity)
             if not near.any():
                 continue
-            member, many = rep[first], copies[first].astype(np.float64)
+            member, many = name[first], copies[first].astype(np.float64)
             links = np.zeros(len(first), np.int64)
             links[one] += (near @ many[two]).astype(np.int64)
             if (side[first] == 1).any():  # between two blocks each pair stands once
                 links[two] += (near.T @ many[one]).astype(np.int64)
             root = smallest_linked(near, one, two, len(first))
             some = np.flatnonzero(links)
-            out_rep.append(member[some])
+            out_name.append(member[some])
             out_links.append(links[some])
             out_root.append(member[root[some]])
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_rep, out_links, out_root)]
-        return pa.table(dict(zip(("rep", "links", "root"), joined)))
+        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_name, out_links, out_root)]
+        return pa.table({c: pa.array(x.tolist(), t) for c, x, t in zip(("set", "links", "root"), joined, (pa.binary(), pa.int64(), pa.binary()))})
 
     return run
 
 
 def _labels(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rep, label`` and the ``r1 < r2`` of labels that meet in a bucket.
+    """``node, label`` and the ``r1 < r2`` of labels that meet in a bucket.
 
     A label's members move once for every label it meets. Where a bucket holds more than MOST_LABELS labels, or a label
     meets more than MOST_PARTNERS others, they are merged, until none does: what belongs to one large family gets one
     label, and every member moves a bounded number of times per block.
     """
-    labels = met.groupBy("rep").agg(F.min("least").alias("label"))
+    labels = met.groupBy("node").agg(F.min("least").alias("label"))
     while True:
         labels = write_out(labels)
-        held = write_out(met.join(labels, "rep").select("key", "label").distinct())
+        held = write_out(met.join(labels, "node").select("key", "label").distinct())
         buckets = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"))
         crowded = write_out(buckets.where((F.col("n") > MOST_LABELS)).select("key", "low"))
         if not crowded.isEmpty():
@@ -192,7 +198,7 @@ def _labels(met: DataFrame) -> tuple[DataFrame, DataFrame]:
                 return labels, pairs
             lower = stars.select(F.col("r1").alias("label"), "low").unionAll(both.join(stars, "r1").select(F.col("r2").alias("label"), "low"))
         lower = lower.groupBy("label").agg(F.min("low").alias("low"))
-        labels = labels.join(lower, "label", "left").select("rep", F.least("label", F.coalesce("low", "label")).alias("label"))
+        labels = labels.join(lower, "label", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"))
 
 
 def near_duplicates(
@@ -208,19 +214,28 @@ def near_duplicates(
     near. ``recall`` is the chance that a pair at exactly ``similarity`` shares a bucket. ``block`` bounds the shingles
     of one side of a meeting. Other columns are not read. An empty table gives an empty result.
     """
+    return _compared(docs, id_column, text_column, words, similarity, recall, block).drop("th", "first")
+
+
+def _compared(
+    docs: DataFrame, id_column: str, text_column: str, words: int = 5, similarity: float = 0.8, recall: float = 0.999, block: int = 150_000,
+) -> DataFrame:
+    """``near_duplicates`` with ``th``, the hash of the row's text, and ``first``, the ``rep, th`` of its class's first row."""
     bands, rows = banding(similarity, recall)
     sized = write_out(signatures(docs, id_column, text_column, words, bands, rows))
     compared = sized.where("id IS NOT NULL AND n > 0")
-    classes = compared.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min_by("bands", "id").alias("bands"))
-    classes = write_out(classes)
-
-    banded = classes.select(F.col("rep"), F.explode("bands").alias("key"))
-    buckets = write_out(banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least"))
-    met = write_out(banded.join(buckets, "key").select("key", "rep", "least"))
+    row = F.struct("id", "th")
+    classes = compared.groupBy("set").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min_by("bands", row).alias("bands"))
+    classes = write_out(classes.select("set", F.col("row.id").alias("rep"), F.col("row.th").alias("th"), "copies", "n", "bands"))
+
+    # Labels only bring classes together; classes whose 64-bit nodes are equal share a label and are verified like others.
+    banded = classes.select(F.xxhash64("set").alias("node"), F.explode("bands").alias("key"))
+    buckets = write_out(banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "least"))
+    met = write_out(banded.join(buckets, "key").select("key", "node", "least"))
     labels, pairs = _labels(met)
 
     # Blocks, and the meetings of the blocks of a label with each other and with those of labels it meets in a bucket.
-    members = labels.join(classes.select("rep", "copies", "n"), "rep")
+    members = labels.join(classes.select(F.xxhash64("set").alias("node"), "set", "rep", "th", "copies", "n"), "node")
     totals = write_out(members.groupBy("label").agg(F.ceil(F.sum(F.col("n").cast("long")) / F.lit(float(block))).cast("int").alias("blocks"), F.sum(F.col("n").cast("long")).alias("weight")))
     pairs = pairs.unionAll(totals.select(F.col("label").alias("r1"), F.col("label").alias("r2")))
     sizes = pairs.join(totals.select(F.col("label").alias("r1"), F.col("blocks").alias("b1"), F.col("weight").alias("w1")), "r1").join(
@@ -234,7 +249,7 @@ def near_duplicates(
         own, theirs = ("r1", "b2") if which == 0 else ("r2", "b1")
         apart = sizes if which == 0 else sizes.where("r1 != r2")
         joined = members.join(apart, members["label"] == apart[own])
-        b = F.pmod(F.xxhash64("rep"), F.col("b1" if which == 0 else "b2")).cast("int")
+        b = F.pmod(F.xxhash64("node"), F.col("b1" if which == 0 else "b2")).cast("int")
         x = F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))
         out = joined.withColumn("b", b).withColumn("x", x)
         same = F.col("r1") == F.col("r2")
@@ -242,30 +257,39 @@ def near_duplicates(
         j = F.when(same, F.greatest("b", "x")).otherwise(F.col("x") if which == 0 else F.col("b"))
         # Within a label the block with the larger number is the other side.
         at = F.when(same, (F.col("b") > F.col("x")).cast("int")).otherwise(F.lit(which))
-        return out.select("rep", "copies", "r1", "r2", i.alias("i"), j.alias("j"), at.alias("side"), ((F.col("b1") > 1) | (F.col("b2") > 1)).alias("large"))
+        return out.select("set", "rep", "th", "copies", "r1", "r2", i.alias("i"), j.alias("j"), at.alias("side"), ((F.col("b1") > 1) | (F.col("b2") > 1)).alias("large"))
 
     meetings = side(0).unionAll(side(1))
-    texts = docs.select(F.col(id_column).alias("rep"), text_or_empty(F.col(text_column)).alias("text"))
+    texts = _texts(docs, id_column, text_column).withColumnRenamed("id", "rep")
     bundle = F.when(F.col("large"), F.xxhash64("r1", "r2", "i", "j")).otherwise(F.pmod(F.xxhash64("r1", "r2"), F.lit(bundles)))
-    work = meetings.join(texts, "rep").withColumn("bundle", bundle).drop("large")
-    found = work.groupBy("bundle").applyInArrow(_verify(words, similarity), "rep long, links long, root long")
+    work = meetings.join(texts, ["rep", "th"]).drop("rep", "th").withColumn("bundle", bundle).drop("large")
+    found = work.groupBy("bundle").applyInArrow(_verify(words, similarity), "set binary, links long, root binary")
     found = write_out(found)
 
-    linked_to = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(found.where("rep != root"), "rep", "root")
-    known = classes.select("set", "rep", "copies").join(linked_to, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")
-    known = known.select("set", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("class"))
+    linked_to = found.groupBy("set").agg(F.sum("links").alias("links"))
+    components = connected_components(found.where("set != root"), "set", "root").withColumnRenamed("node", "set")
+    named = classes.select("set", F.struct("rep", "th").alias("row"))
+    firsts = write_out(components.join(named, "set").groupBy("component").agg(F.min("row").alias("first")))
+    firsts = components.join(firsts, "component").select("set", "first")
+    known = classes.select("set", "rep", "copies", F.struct("rep", "th").alias("row")).join(linked_to, "set", "left").join(firsts, "set", "left")
+    known = known.select("set", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "row").alias("first"))
     comparable = F.col("id").isNotNull() & (F.col("n") > 0)
-    joined = sized.select("id", "n", F.when(comparable, F.col("set")).alias("set")).join(known, "set", "left")
+    joined = sized.select("id", "th", "n", F.when(comparable, F.col("set")).alias("set")).join(known, "set", "left")
     return joined.select(
-        F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"),
+        F.col("id").alias("doc_id"), F.coalesce("first.rep", "id").alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("rep", "id").alias("rep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n").alias("n_shingles"),
+        F.coalesce("rep", "id").alias("rep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n").alias("n_shingles"), "th", "first",
     )
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``docs`` with its own columns; of every class the row with the smallest id stays. Rows with a null id stay."""
-    found = near_duplicates(docs, id_column, text_column, **options)
-    dropped = write_out(found.where("doc_id != class_id").select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(dropped, docs[id_column] == F.col("_dropped"), "left_anti")
+    """``docs`` with its own columns; of every class the row with the smallest id stays. Rows with a null id stay.
+
+    Where rows of a class share its smallest id, the one whose text has the smallest hash stays; rows that repeat id and
+    text stay or go together.
+    """
+    found = _compared(docs, id_column, text_column, **options)
+    later = found.where("doc_id != first.rep OR th != first.th")
+    dropped = write_out(later.select(F.col("doc_id").alias("_dropped"), F.col("th").alias("_text")).distinct())
+    same_text = F.xxhash64(text_or_empty(docs[text_column])) == F.col("_text")
+    return docs.join(dropped, (docs[id_column] == F.col("_dropped")) & same_text, "left_anti")

@@ -74,6 +74,19 @@ def test_many_labels_in_a_bucket_are_merged(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
 
 
+def test_texts_that_share_an_id_are_rows_of_their_own(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    changed = lambda t: " ".join([*t[:-1], "changed"])
+    near, other, third = text(80), text(80), text(80)
+    rows = [(3, " ".join(near)), (7, changed(near)), (7, " ".join(other)), (9, changed(other)), (8, " ".join(third)), (8, changed(third)), (7, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter([(3, 3, 1), (7, 3, 1), (7, 7, 2), (7, 7, 2), (9, 7, 2), (8, 8, 1), (8, 8, 1)])
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in near_dedup.near_duplicates(df).collect()) == want
+    left = Counter(map(tuple, near_dedup.drop_near_copies(df).collect()))
+    assert left[rows[0]] == 1 and left[rows[2]] == 2 and left[rows[4]] + left[rows[5]] == 1 and sum(left.values()) == 4
+
+
 def test_banding_reaches_its_recall():
     for similarity in (0.5, 0.8, 0.95):
         bands, rows = near_dedup.banding(similarity, 0.99)
