@@ -93,7 +93,7 @@ SELECT page_id, host, path, rule, coalesce(decision, min(decision) OVER (PARTITI
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, decision string")
-    return url_filters.judge_urls(pages, rules, url_filters.page_links(pages))
+    return url_filters.judge_urls(pages, rules, url_filters.page_links(pages, relative=True))
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

@@ -12,13 +12,15 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import resolve_url
 from .components import connected_components
 
 # Query parameters that name a visit and not a page (fixed values).
 VISIT_PARAMETERS = "utm_[a-z]+|ref|gclid|fbclid|sessionid"
 
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?\s*([^"'\s>]+)"""
+SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 
 
 def url_host(url: Column) -> Column:
@@ -41,16 +43,26 @@ def page_key(url: Column) -> Column:
     return F.when(url_host(url) == "", F.concat(F.lit(":"), F.coalesce(url, F.lit("")))).otherwise(key)
 
 
-def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
+def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "html", relative: bool = False) -> DataFrame:
     """``source, target`` URLs of canonical links and refresh redirects that the pages themselves state.
 
-    Addresses without a host are resolved against the page where they start with a slash and dropped otherwise.
+    Addresses are resolved against the page, those that start with neither a scheme nor a slash only if ``relative``.
+    Where resolving escapes or folds an address, it is a target as stated as well: pages are named as they are spelled.
     """
     url, html = F.col(url_column), F.coalesce(F.col(html_column), F.lit(""))
     found = pages.select(url.alias("source"), F.explode(F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))).alias("to")).where("to != ''")
     to = F.regexp_replace(F.col("to"), "&amp;", "&")
-    absolute = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(F.lit("http://"), url_host(F.col("source")), to))
-    return found.select("source", absolute.alias("target")).where("source IS NOT NULL AND target IS NOT NULL")
+    source = F.col("source")
+    origin = F.regexp_extract(source, rf"^{SCHEME}://[^/?#]*", 0)
+    directory = F.regexp_replace(F.regexp_extract(source, rf"^{SCHEME}://[^/?#]*(?:/(?:[^?#]*/)?)?", 0), "([^/])$", "$1/")
+    stated = (
+        F.when(to.rlike(f"^{SCHEME}:"), to).when(to.startswith("//"), F.concat(F.regexp_extract(source, f"^{SCHEME}:", 0), to))
+        .when(to.rlike(r"^[?#]|(^|/)\.\.?([/?#]|$)"), F.lit(None)).when(to.startswith("/"), F.concat(origin, to)).otherwise(F.concat(directory, to))
+    )
+    if not relative:
+        found = found.where(to.rlike(f"^({SCHEME}:|/)"))
+    targets = found.select("source", F.explode(F.array_distinct(F.array(resolve_url(to, source), stated))).alias("target"))
+    return targets.where("source IS NOT NULL").where(F.col("target").rlike(f"^{SCHEME}://"))
 
 
 def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -50,6 +50,23 @@ def test_links_stated_by_pages(spark):
     assert got == {("http://a.org/x", "http://a.org/y"), ("http://a.org/2", "http://b.org/2")}
 
 
+def test_every_form_of_target_is_resolved(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', """<meta http-equiv="refresh" content="0; url='{}'">"""
+    forms = [
+        (canonical, "index2.html", ["http://a.org/d/index2.html"]), (canonical, "../a", ["http://a.org/a"]), (canonical, "?p=2", ["http://a.org/d/x?p=2"]),
+        (refresh, "http://b.org/x", ["http://b.org/x"]), (refresh, "y", ["http://a.org/d/y"]), (canonical, "/go?to=https://x.org/", ["http://a.org/go?to=https://x.org/"]),
+        (canonical, "//c.org/z", ["http://c.org/z"]), (canonical, "go?to=https://x.org/", ["http://a.org/d/go?to=https://x.org/"]), (canonical, "mailto:a@b?u=http://x.org/", []),
+        (canonical, "http://d.org/é", ["http://d.org/%C3%A9", "http://d.org/é"]), (canonical, "HTTP://D.org/1/../2", ["HTTP://D.org/1/../2", "http://d.org/2"]),
+    ]
+    for tag, target, want in forms:
+        page = spark.createDataFrame([("http://a.org/d/x?q=http://e.org/", tag.format(target))], "url string, html string")
+        assert sorted(r.target for r in url_filters.page_links(page, relative=True).collect()) == want, target
+    # A decision reaches the page that a relative link names.
+    pages = spark.createDataFrame([(1, "http://a.org/d/x", canonical.format("../bad")), (2, "http://a.org/bad", None)], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("a.org", "/bad", "block")], "host string, path string, decision string")
+    assert {r.verdict for r in url_filters.judge_urls(pages, rules, url_filters.page_links(pages, relative=True)).collect()} == {"block"}
+
+
 def test_search_is_exact(spark):
     rng = random.Random(2)
     centres = [rng.getrandbits(64) for _ in range(6)]
