@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hamming_search, language_id, mixing, near_dedup, quality, suffix_dedup, toxicity, url_filters
+from . import bpe, exact_dedup, hamming_search, language_id, merkle_manifest, mixing, near_dedup, quality, suffix_dedup, toxicity, url_filters
 from .shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,66 @@ def op8_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+@query("op12_merkle_manifest", r"""
+WITH RECURSIVE
+f AS (SELECT doc_id, lang, text,
+        CASE WHEN doc_id IS NULL THEN '-' ELSE len(doc_id::VARCHAR) || ':' || doc_id END
+        || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+        || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+        || CASE WHEN n_chars IS NULL THEN '-' ELSE len(n_chars::VARCHAR) || ':' || n_chars END AS head FROM documents),
+-- crc32 bit by bit: every character of the decimal id, then eight shifts
+c AS (SELECT f.*, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda x: list_prepend(ascii(x)::UBIGINT, list_transform(range(8), lambda i: 999::UBIGINT))))),
+        lambda a, b: CASE WHEN b < 999 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), 4294967295::UBIGINT) AS crc FROM f),
+t AS (SELECT doc_id, lang, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+        CASE WHEN crc % 3 = 0 THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) END AS changed
+      FROM c),
+l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM t),
+nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM l
+  UNION ALL
+  SELECT tree, max(level) + 1 AS level, pos // 8 AS pos, (max(n) + 7) // 8 AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM nodes WHERE n > 1 GROUP BY tree, pos // 8),
+subs AS (SELECT tree, level AS height, digest AS subroot FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subs) AS n, subroot AS digest FROM subs
+  UNION ALL
+  SELECT max(level) + 1 AS level, pos // 8 AS pos, (max(n) + 7) // 8 AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM tops WHERE n > 1 GROUP BY pos // 8),
+r AS (SELECT digest AS root FROM tops WHERE n = 1),
+-- every node a leaf meets on its way, lowest first: levels of its tree, then levels of the top tree
+every AS (SELECT tree, level, pos, digest FROM nodes WHERE n > 1 UNION ALL SELECT -1, level, pos, digest FROM tops WHERE n > 1),
+way AS (
+  SELECT l.doc_id, l.tree, l.leaf, l.pos AS home, l.pos AS own, 0 AS level, coalesce(changed, leaf) AS digest, '' AS proof, l.n, l.tree AS walk FROM l
+  UNION ALL
+  SELECT doc_id, tree, leaf, home, own // 8, level + 1, sha256(run), proof || others, (n + 7) // 8, walk FROM (
+    SELECT w.doc_id, w.tree, w.leaf, w.home, w.own, w.level, w.proof, w.n, w.walk,
+           string_agg(CASE WHEN e.pos = w.own THEN w.digest ELSE e.digest END, '' ORDER BY e.pos) AS run,
+           coalesce(string_agg(e.digest, '' ORDER BY e.pos) FILTER (WHERE e.pos <> w.own), '') AS others
+    FROM way AS w JOIN every AS e ON e.tree = w.walk AND e.level = w.level AND e.pos // 8 = w.own // 8 WHERE w.n > 1
+    GROUP BY ALL)),
+half AS (SELECT * FROM way WHERE n = 1),
+up AS (
+  SELECT h.tree, h.home, h.leaf, h.doc_id, h.tree AS own, 0 AS level, h.digest, h.proof, (SELECT count(*) FROM subs) AS n FROM half AS h
+  UNION ALL
+  SELECT tree, home, leaf, doc_id, own // 8, level + 1, sha256(run), proof || others, (n + 7) // 8 FROM (
+    SELECT w.tree, w.home, w.leaf, w.doc_id, w.own, w.level, w.proof, w.n,
+           string_agg(CASE WHEN e.pos = w.own THEN w.digest ELSE e.digest END, '' ORDER BY e.pos) AS run,
+           coalesce(string_agg(e.digest, '' ORDER BY e.pos) FILTER (WHERE e.pos <> w.own), '') AS others
+    FROM up AS w JOIN every AS e ON e.tree = -1 AND e.level = w.level AND e.pos // 8 = w.own // 8 WHERE w.n > 1
+    GROUP BY ALL))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM up JOIN subs USING (tree), r WHERE up.n = 1
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document (by crc32 of its id) is tampered with: the letters A-Z of its text become small."""
+    docs = documents(spark, sf_dir)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.unhex(merkle_manifest.leaf_digest(*fields, small)))
+    manifest = merkle_manifest.build(docs, F.col("lang"), F.col("doc_id"), merkle_manifest.leaf_digest(*fields, F.col("text")), {"tampered": tampered})
+    shown = F.coalesce(merkle_manifest.hex_text(F.col("tampered")), F.col("leaf"))
+    proved = merkle_manifest.proofs(manifest).withColumn("root", F.lit(manifest.root).cast("string"))
+    folded = proved.withColumn("folded_root", merkle_manifest.fold(shown, F.col("path")))
+    return folded.select(F.col("order").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.path_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
