@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hamming_search, language_id, merkle_manifest, mixing, near_dedup, quality, suffix_dedup, toxicity, url_filters
+from . import bpe, exact_dedup, hamming_search, language_id, merkle_manifest, mixing, near_dedup, quality, shallot_clusters, suffix_dedup, toxicity, url_filters
 from .shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,30 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = proved.withColumn("folded_root", merkle_manifest.fold(shown, F.col("path")))
     return folded.select(F.col("order").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.path_digest(F.col("path")).alias("proof_sha256"),
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def lloyd_sql(k: int, rounds: int, prefix: str) -> str:
+    """DuckDB SQL of :func:`op11_shallot_clusters`: every round as a view of its own."""
+    views = [
+        """v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{prefix}' || vec_id), v) - 1)::INTEGER AS c, v AS m FROM v ORDER BY c LIMIT {k})""",
+    ]
+    for i in range(rounds + 1):
+        views.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, v, min((d, c)) AS best FROM (
+            SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}) GROUP BY vec_id, v)""")
+        if i < rounds:
+            views.append(f"""c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{i} AS o LEFT JOIN (
+            SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+              SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY c, i)
+            GROUP BY c) AS n ON o.c = n.c)""")
+    return f"""WITH {', '.join(views)}
+    SELECT vec_id, c AS cluster, best[1] AS distance, sum(best[1]) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(best[1]) OVER ()::BIGINT AS inertia,
+           sha256(array_to_string(m, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} ON best[2] = c"""
+
+
+@query("op11_shallot_clusters", lloyd_sql(40, 5, "2:"))
+def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return shallot_clusters.clusters(vectors, "vec_id", "embedding", k=40, rounds=5, prefix="2:").withColumnRenamed("id", "vec_id")
