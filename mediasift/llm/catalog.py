@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hamming_search, language_id, merkle_manifest, mixing, near_dedup, quality, shallot_clusters, suffix_dedup, toxicity, url_filters
+from . import bpe, chat_windows, exact_dedup, hamming_search, language_id, merkle_manifest, mixing, near_dedup, quality, shallot_clusters, suffix_dedup, toxicity, url_filters
 from .shared import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +242,12 @@ def lloyd_sql(k: int, rounds: int, prefix: str) -> str:
 def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return shallot_clusters.clusters(vectors, "vec_id", "embedding", k=40, rounds=5, prefix="2:").withColumnRenamed("id", "vec_id")
+
+
+@query("op13_chat_windows")
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    marks = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    windows = chat_windows.chat_windows(turns.unionAll(extra), budget=512, history=128, tokenizer=tokenizer_file("byte_bpe_50k.json"))
+    return chat_windows.read_back(windows).withColumnRenamed("conv", "conv_id")
