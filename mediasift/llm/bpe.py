@@ -16,6 +16,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import sys
@@ -30,6 +31,7 @@ from .shared import text_or_empty
 
 NEVER = 1 << 60
 BLOCK = 4096  # bytes read between two looks for stable tokens
+PORTION = 4096  # runs of a text that are held at once
 REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
 
 # The pre-tokenizer's pattern and white space are fixed values of the tokenizer.
@@ -194,16 +196,6 @@ class Encoder:
         self.held = b""
 
 
-def whole_word(merges: Merges, data: bytes) -> list[int]:
-    """What an encoder emits for a word. One that fits a block is held until its end, so it is merged as it stands."""
-    if len(data) < BLOCK:
-        tokens = [merges.byte[b] for b in data]
-        tokens[-1] = merges.last_byte[data[-1]]
-        return merges.merge(tokens)
-    encoder = Encoder(merges)
-    return [*encoder.feed(data), *encoder.finish()]
-
-
 class Decoder:
     """Tokens in, text out. ``spelled`` gives the library's text for a tokenizer without decoder: spellings between spaces.
 
@@ -217,7 +209,12 @@ class Decoder:
         self.decode = codecs.getincrementaldecoder("utf-8")("replace").decode
 
     def feed(self, token: int) -> str:
-        data = self.data[token] if self.first else self.separator + self.data[token]
+        """What is certain once ``token`` is known; a character cut across tokens waits."""
+        return self.feed_bytes(self.data[token])
+
+    def feed_bytes(self, data: bytes) -> str:
+        """The bytes of one token, or of several with the separator between them."""
+        data = data if self.first else self.separator + data
         self.first = False
         return self.decode(data)
 
@@ -225,27 +222,13 @@ class Decoder:
         return self.decode(b"", True)
 
 
-class _TokenTexts(dict):
-    """Token -> what the decoder says for it from its initial state, to which the token must lead it back."""
-
-    def __init__(self, merges: Merges):
-        self.merges = merges
-
-    def __missing__(self, token: int) -> str:
-        decoder = Decoder(self.merges, spelled=True)
-        text = self[token] = decoder.feed(token)
-        if decoder.finish():
-            raise ValueError(f"the spelling of token {token} ends inside a character")
-        return text
-
-
 class _Remembered(dict):
-    """Run without white space -> (its ids as text, its decoded text, number of tokens)."""
+    """Run without white space -> (its ids as text, the bytes of its tokens for the decoder, number of tokens)."""
 
     def __init__(self, tokenizer: "Tokenizer"):
         self.tokenizer, self.merges = tokenizer, tokenizer.merges
-        self.words: dict[str, tuple[str, str, int]] = {}
-        self.texts = _TokenTexts(tokenizer.merges)
+        self.encoder = Encoder(tokenizer.merges)
+        self.words: dict[str, tuple[str, bytes, int]] = {}
 
     def __missing__(self, run: str):
         words = self.tokenizer.words.findall(run)
@@ -253,16 +236,16 @@ class _Remembered(dict):
             entry = self.word(words[0])
         else:
             entries = [self.words.get(w) or self.word(w) for w in words]
-            entry = " ".join([e[0] for e in entries]), " ".join([e[1] for e in entries]), sum([e[2] for e in entries])
+            entry = " ".join([e[0] for e in entries]), b" ".join([e[1] for e in entries]), sum([e[2] for e in entries])
         if len(run) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[run] = entry
         return entry
 
-    def word(self, word: str) -> tuple[str, str, int]:
-        tokens = whole_word(self.merges, word.encode())
-        entry = " ".join(map(str, tokens)), " ".join(map(self.texts.__getitem__, tokens)), len(tokens)
+    def word(self, word: str) -> tuple[str, bytes, int]:
+        tokens = [*self.encoder.feed(word.encode()), *self.encoder.finish()]
+        entry = " ".join(map(str, tokens)), b" ".join(map(self.merges.spelled_bytes.__getitem__, tokens)), len(tokens)
         if len(word) <= REMEMBERED_LENGTH:
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
@@ -300,13 +283,30 @@ class Tokenizer:
         text = text.lower()
         return text.split() if text.isprintable() or not SEPARATORS.search(text) else self.runs.findall(text)
 
-    def entries(self, text: str) -> list[tuple[str, str, int]]:
-        out = []
+    def entries(self, text: str):
+        """What the encoder says, run by run: (ids as text, the bytes of the tokens, number of tokens)."""
         for part, special in self.pieces(text):
-            out.extend(map(self.remembered.__getitem__, self.split(part)))
+            yield from map(self.remembered.__getitem__, self.split(part))
             if special is not None:
-                out.append((str(self.merges.special[special]), special, 1))
-        return out
+                yield str(self.merges.special[special]), special.encode(), 1
+
+    def digests(self, text: str, keep_ids: bool = False):
+        """(number of tokens, SHA-256 of the ids, SHA-256 of the decoded text, ids or None), entry by entry.
+
+        Ids and decoded text are hashed as they come; the decoder's state goes on from one portion of tokens to the next.
+        """
+        count, ids, texts, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+        decoder, entries, gap = Decoder(self.merges, spelled=True), self.entries(text), ""
+        while portion := list(itertools.islice(entries, PORTION)):
+            spelled = " ".join([e[0] for e in portion])
+            ids.update((gap + spelled).encode())
+            texts.update(decoder.feed_bytes(b" ".join([e[1] for e in portion])).encode())
+            count += sum([e[2] for e in portion])
+            if keep_ids:
+                kept.append(np.fromstring(spelled, np.int32, sep=" "))
+            gap = " "
+        texts.update(decoder.finish().encode())
+        return count, ids.hexdigest(), texts.hexdigest(), np.concatenate(kept or [np.zeros(0, np.int32)]) if keep_ids else None
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for entry in self.entries(text) for i in entry[0].split(" ")]
@@ -383,13 +383,11 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
         t = tokenizer(sent.value)
         counts, spelled, ids, texts = [], [], [], []
         for text in batch.column("text").to_pylist():
-            entries = t.entries(text)
-            counts.append(sum([e[2] for e in entries]))
-            joined = " ".join([e[0] for e in entries])
-            if with_ids:
-                spelled.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
-            ids.append(hashlib.sha256(joined.encode()).hexdigest())
-            texts.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
+            n, id_digest, text_digest, numbers = t.digests(text, with_ids)
+            counts.append(n)
+            ids.append(id_digest)
+            texts.append(text_digest)
+            spelled.append(numbers)
         columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:

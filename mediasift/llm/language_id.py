@@ -8,6 +8,8 @@ Scoring is two matrix products per batch of texts: presence by landmarks, kernel
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ GRAMS = sum(SIZES)
 
 def _alphabet() -> np.ndarray:
     """Code point -> one of 64 letters: a-z, other letters dealt over the rest by their number, everything else a space."""
-    table = np.zeros(1 << 16, np.uint8)
-    for code in range(1 << 16):
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    for code in range(sys.maxunicode + 1):
         c = chr(code)
         if c.isalpha():
             table[code] = code - 96 if "a" <= c <= "z" else PLAIN_LETTERS + 1 + (code * 40503 >> 4) % (63 - PLAIN_LETTERS)
@@ -42,7 +44,7 @@ class Profiles:
     def grams(self, text: str) -> np.ndarray:
         """Sorted numbers of the n-grams of a text; none if it has no letter."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        letters = self.alphabet[points & 0xFFFF]
+        letters = self.alphabet[points]
         if not letters.any():
             return np.zeros(0, np.int64)
         # One space between words and at both ends.
@@ -110,7 +112,7 @@ def fit(docs: DataFrame, labelled: DataFrame, per_language: int = 400, most_lang
     """Fits on a bounded sample of ``docs`` (``id, text``) by the labels of ``labelled`` (``id, label``).
 
     At most ``per_language`` texts of at most ``most_chars`` characters for each of the ``most_languages`` most frequent
-    labels. Rows with a null id, label or text are not used.
+    labels (fewer of each where all languages together could exceed 160 million characters). Rows with a null id, label or text are not used.
     """
     sample = labelled_sample(docs, labelled, per_language, most_languages, most_chars)
     return train(sample["text"].tolist(), sample["label"].tolist(), landmarks, ridge)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import free_name, text_or_empty, write_out
 
 TWO_52 = float(2**52)
 
@@ -66,16 +66,20 @@ def replicate(docs: DataFrame, id_column: str = "doc_id", source_column: str = "
 
     ``rates`` are those of :func:`source_rates` unless given. A document that draws 0 is absent, one that draws k comes
     k times; no draw is cut off. Null ids count as the empty id, so rows that repeat an id draw the same number. An
-    empty table stays empty. The two added names are the only ones that columns of ``docs`` must not have.
+    empty table stays empty. Where ``docs`` has a column of an added name, the added one gets underscores
+    behind it.
 
-    The steps of all sources are one small row each. They are joined by source; where sources are so many that Spark
-    does not broadcast them, adaptive execution splits the hot ones.
+    The steps of all sources are one small row each. They are written out first, so Spark sees how small they are and
+    texts are not dealt by source; where sources are too many to broadcast, adaptive execution splits the hot ones.
     """
+    taken = docs.columns
+    u, n, own_source, own_steps = (free_name(x, taken) for x in ("_u", "_n", "_source", "_steps"))
+    copy, order = free_name("_copy", taken), free_name("_order", taken)
     rates = source_rates(docs, source_column, **options) if rates is None else rates
-    steps = rates.select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
-    drawn = docs.withColumn("_u", uniform(seed, text_or_empty(docs[id_column])))
-    joined = drawn.join(steps, F.col(source_column).eqNullSafe(F.col("_source")))
-    count = F.size(F.filter("_steps", lambda s: s <= F.col("_u")))
-    copies = joined.withColumn("_n", count).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
-    ordered = copies.withColumn("_order", F.xxhash64(F.lit(seed), F.col(id_column), F.col("_copy")))
-    return ordered.repartition("_order").sortWithinPartitions("_order")
+    steps = write_out(rates.select(F.col("source").alias(own_source), poisson_steps(F.col("rate")).alias(own_steps)))
+    drawn = docs.withColumn(u, uniform(seed, text_or_empty(docs[id_column])))
+    joined = drawn.join(steps, F.col(source_column).eqNullSafe(F.col(own_source)))
+    counted = joined.withColumn(n, F.size(F.filter(own_steps, lambda s: s <= F.col(u)))).where(F.col(n) > 0)
+    copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy))
+    ordered = copies.withColumn(order, F.xxhash64(F.lit(seed), F.col(id_column), F.col(copy)))
+    return ordered.repartition(order).sortWithinPartitions(order)

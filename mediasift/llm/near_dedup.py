@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import text_or_empty, write_out
+from .shared import free_name, text_or_empty, write_out
 from .shingles import mixed, shingles
 
 MOST_LABELS, MOST_PARTNERS = 16, 4  # labels in a bucket, and labels that a label meets, before they are merged
@@ -260,7 +260,8 @@ def _compared(
         return out.select("set", "rep", "th", "copies", "r1", "r2", i.alias("i"), j.alias("j"), at.alias("side"), ((F.col("b1") > 1) | (F.col("b2") > 1)).alias("large"))
 
     meetings = side(0).unionAll(side(1))
-    texts = _texts(docs, id_column, text_column).withColumnRenamed("id", "rep")
+    # Rows that repeat id and text are one text here, folded before they move and dealt as the join needs them.
+    texts = _texts(docs, id_column, text_column).withColumnRenamed("id", "rep").dropDuplicates(["rep", "th"])
     bundle = F.when(F.col("large"), F.xxhash64("r1", "r2", "i", "j")).otherwise(F.pmod(F.xxhash64("r1", "r2"), F.lit(bundles)))
     work = meetings.join(texts, ["rep", "th"]).drop("rep", "th").withColumn("bundle", bundle).drop("large")
     found = work.groupBy("bundle").applyInArrow(_verify(words, similarity), "set binary, links long, root binary")
@@ -290,6 +291,7 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     found = _compared(docs, id_column, text_column, **options)
     later = found.where("doc_id != first.rep OR th != first.th")
-    dropped = write_out(later.select(F.col("doc_id").alias("_dropped"), F.col("th").alias("_text")).distinct())
-    same_text = F.xxhash64(text_or_empty(docs[text_column])) == F.col("_text")
-    return docs.join(dropped, (docs[id_column] == F.col("_dropped")) & same_text, "left_anti")
+    gone, hashed = free_name("_dropped", docs.columns), free_name("_text", docs.columns)
+    dropped = write_out(later.select(F.col("doc_id").alias(gone), F.col("th").alias(hashed)).distinct())
+    same_text = F.xxhash64(text_or_empty(docs[text_column])) == F.col(hashed)
+    return docs.join(dropped, (docs[id_column] == F.col(gone)) & same_text, "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import labelled_sample, text_or_empty
+from .shared import free_name, labelled_sample, text_or_empty
 
 WORD = re.compile(r"\w+")
 REMEMBERED = 300_000
@@ -148,9 +148,10 @@ def _nothing_learned() -> Field:
 def telling_features(toxic: list[list[str]], clean: list[list[str]], odds: float = 3.5, doubt: float = 1e-4) -> set[str]:
     """Features that are ``exp(odds)`` times likelier in toxic texts, beyond what chance does among so many features.
 
-    A word counts once in a text, and once for each pair of neighbours, so neither repetition inside a text nor copies
-    and near copies of one text, which repeat all its words in place, make it telling. The chance of a feature's counts
-    is bounded by Chernoff's inequality and must stay under ``doubt`` over the number of features.
+    A word counts once in a text, and texts that share half of their word triples with one earlier text do not count, so
+    neither repetition inside a text nor copies and near copies of one text make a word telling. A word inside a set
+    phrase counts in every text that holds the phrase. The chance of a feature's counts is bounded by Chernoff's
+    inequality and must stay under ``doubt`` over the number of features.
     """
     numbers: dict[str, int] = {}
     uses = []
@@ -159,8 +160,13 @@ def telling_features(toxic: list[list[str]], clean: list[list[str]], odds: float
         triples = np.stack([found[:-2], found[1:-1], found[2:]], axis=1) if len(found) > 2 else np.zeros((0, 3), np.int64)
         keys = (triples.astype(np.uint64) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)).sum(axis=1, dtype=np.uint64)
         text = np.repeat(np.arange(len(texts)), [len(words) + 2 for words in texts])[1:-1]
-        _, first = np.unique(keys, return_index=True)
-        once = np.unique(np.stack([text[first], triples[first, 1]], axis=1), axis=0)
+        _, first, same = np.unique(keys, return_index=True, return_inverse=True)
+        owner = text[first[same]] if len(first) else text[:0]  # the first text that holds the triple
+        meets, shared = np.unique(np.stack([text, owner], axis=1)[text != owner], axis=0, return_counts=True)
+        length = np.bincount(text, minlength=len(texts))
+        copies = meets[2 * shared >= length[meets[:, 0]], 0]
+        counts = ~np.isin(text, copies)
+        once = np.unique(np.stack([text[counts], triples[counts, 1]], axis=1), axis=0)
         uses.append(np.bincount(once[:, 1], minlength=1))
     size = len(numbers) + 1
     uses = [np.concatenate([u, np.zeros(size - len(u), np.int64)]) for u in uses]
@@ -284,14 +290,15 @@ def _fit(ids, truth, there, place, steps: int, ridge: float = 2e-5, rate: float
     return Field(weights, float(theta[size]), theta[size + 1 :].reshape(2, 2), 0.0)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_label: int = 3000, most_chars: int = 20_000) -> Field:
+def fit(docs: DataFrame, labelled: DataFrame, per_label: int = 3000, most_chars: int = 20_000, most_segments: int = 8_000) -> Field:
     """Fits on a bounded sample of ``docs`` (``id, text``) by the labels 0 and 1 of ``labelled`` (``id, label``).
 
-    At most ``per_label`` texts of at most ``most_chars`` characters of either label. Rows with a null id, label or text
-    are not used.
+    At most ``per_label`` texts of at most ``most_chars`` characters of either label. Weights are fitted on at most
+    ``most_segments`` sequences of these texts, half of them with a telling token, drawn at random with a fixed seed.
+    Rows with a null id, label or text are not used.
     """
     sample = labelled_sample(docs, labelled.where("label IN (0, 1)"), per_label, 2, most_chars)
-    return train(sample["text"].tolist(), sample["label"].astype(int).tolist())
+    return train(sample["text"].tolist(), sample["label"].astype(int).tolist(), most_segments)
 
 
 def _judged(docs: DataFrame, field: Field, text, schema: T.StructType, keep) -> DataFrame:
@@ -304,7 +311,7 @@ def _judged(docs: DataFrame, field: Field, text, schema: T.StructType, keep) ->
                 part = rows.slice(at, 512)
                 yield keep(part, [field.judge(t or "") for t in part.column(part.num_columns - 1).to_pylist()])
 
-    return docs.select(*docs.columns, text.alias("_judged_text")).mapInArrow(run, schema)
+    return docs.select(*docs.columns, text.alias(free_name("_judged_text", docs.columns))).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, field: Field, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -43,10 +43,10 @@ def page_key(url: Column) -> Column:
     return F.when(url_host(url) == "", F.concat(F.lit(":"), F.coalesce(url, F.lit("")))).otherwise(key)
 
 
-def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "html", relative: bool = False) -> DataFrame:
+def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "html", relative: bool = True) -> DataFrame:
     """``source, target`` URLs of canonical links and refresh redirects that the pages themselves state.
 
-    Addresses are resolved against the page, those that start with neither a scheme nor a slash only if ``relative``.
+    Addresses are resolved against the page, those that start with neither a scheme nor a slash unless ``relative`` is false.
     Where resolving escapes or folds an address, it is a target as stated as well: pages are named as they are spelled.
     """
     url, html = F.col(url_column), F.coalesce(F.col(html_column), F.lit(""))
@@ -68,17 +68,16 @@ def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "ht
 def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``host, path, rule, decision``: the longest rule that fits each distinct (host, path) that any rule fits.
 
-    A URL asks for its host and every parent domain, each with every path length that rules have; it meets rules by
+    A URL asks for its host and every parent domain, each with every path length that rules of that host have; it meets rules by
     equality, so rules and URLs may both be large. Equal lengths: an allow goes first, then the rule's text.
     """
-    rules = rules.select(F.concat("host", "path").alias("rule"), F.length("path").alias("_length"), "decision").distinct()
-    lengths = [row[0] for row in rules.select("_length").distinct().orderBy("_length").limit(4096).collect()]
-    if not lengths:
-        return urls.select("host", "path").limit(0).withColumns({"rule": F.lit(None).cast("string"), "decision": F.lit(None).cast("string")})
+    lengths = rules.groupBy(F.col("host").alias("_domain")).agg(F.collect_set(F.length("path")).alias("_lengths"))
+    rules = rules.select(F.concat("host", "path").alias("rule"), "decision").distinct()
     parts = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    heads = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    asked = urls.select("host", "path").where("host != ''").distinct().select("host", "path", F.explode(domains).alias("_domain")).select("host", "path", F.explode(F.transform(heads, lambda p: F.concat("_domain", p))).alias("rule"))
+    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("path")), lambda n: F.concat("_domain", F.substring(F.col("path"), F.lit(1), n)))
+    asked = urls.select("host", "path").where("host != ''").distinct().select("host", "path", F.explode(domains).alias("_domain"))
+    asked = asked.join(lengths, "_domain").select("host", "path", F.explode(heads).alias("rule"))
     best = F.max_by(F.struct("rule", "decision"), F.struct(F.length("rule"), F.col("decision") == "allow", "rule"))
     return asked.join(rules, "rule").groupBy("host", "path").agg(best.alias("_best")).select("host", "path", "_best.rule", "_best.decision")
 

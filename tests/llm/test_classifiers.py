@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from mediasift.llm import catalog, language_id, quality, toxicity
+from mediasift.llm.shared import labelled_sample
 
 SF = "/root/testdata/sf0.1"
 ODD = [(1, None), (2, ""), (3, "123 !?"), (None, "the of and"), (3, "x"), (4, "word " * 60_000), (5, "\U0001F600 日本語 İ")]
@@ -139,3 +140,31 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(rows.limit(0), field).count() == 0
     nothing = toxicity.fit(rows.selectExpr("doc_id id", "text"), no_labels(spark))
     assert {r.predicted for r in toxicity.score(rows, nothing).collect()} == {0}
+
+
+def test_a_sample_keeps_every_label_and_defines_its_choice(spark):
+    """One id in most rows, contradicting labels, several texts under an id."""
+    docs = spark.createDataFrame([(1, f"b{i}") for i in range(50)] + [(i, f"t{i}") for i in range(2, 40)], "id long, text string")
+    labelled = spark.createDataFrame([(1, 1)] * 50 + [(1, 0)] + [(i, i % 2) for i in range(2, 40)] + [(None, 1), (5, None)], "id long, label int")
+    got = labelled_sample(docs, labelled, 3, 2, 100)
+    assert sorted(got["label"]) == [0, 0, 0, 1, 1, 1] and got["id"].is_unique
+    everything = labelled_sample(docs, labelled, 100, 2, 100)
+    assert len(everything) == 39 and dict(zip(everything["id"], everything["label"]))[1] == 0 and dict(zip(everything["id"], everything["text"]))[1] == "b0"
+    assert len(labelled_sample(docs, labelled, 100, 2, 100, most_text=1000)) == 10
+    assert labelled_sample(docs, labelled.limit(0), 3, 2, 100).empty
+
+
+def test_letters_of_all_planes(spark):
+    texts = ["\U0001fa70 \U0001f600!", "\U0001e900\U0001e901", "\U00010000", "\U00020000", "12 ...", "", None, "\u24b6"]
+    profiles = language_id.Profiles()
+    assert [len(profiles.grams(t or "")) > 0 for t in texts] == [any(c.isalpha() for c in t or "") for t in texts]
+
+
+def test_a_word_of_a_set_phrase_becomes_telling_and_copies_do_not():
+    rng = random.Random(1)
+    word = lambda: "w" + str(rng.randrange(3000))
+    clean = [[word() for _ in range(40)] for _ in range(800)]
+    toxic = [[word() for _ in range(20)] + ["you", "vile", "thing"] + [word() for _ in range(20)] for _ in range(60)]
+    copied = [word() for _ in range(30)] + ["harmless"] + [word() for _ in range(30)]
+    told = toxicity.telling_features(toxic + [list(copied) for _ in range(60)], clean + [["you"], ["thing"]] * 30)
+    assert any("vile" in f for f in told) and not any("harmless" in f for f in told)

@@ -46,7 +46,7 @@ def test_links_stated_by_pages(spark):
         [(1, "http://a.org/x", '<LINK href="/y" rel=canonical>'), (2, "http://a.org/2", "<meta http-equiv='refresh' content='0; url=http://b.org/2'>"), (3, "http://a.org/3", None), (4, None, '<link rel="canonical" href="http://c.org/">'), (5, "http://a.org/5", '<link rel="canonical" href="y">')],
         "page_id long, url string, html string",
     )
-    got = {(r.source, r.target) for r in url_filters.page_links(pages).collect()}
+    got = {(r.source, r.target) for r in url_filters.page_links(pages, relative=False).collect()}
     assert got == {("http://a.org/x", "http://a.org/y"), ("http://a.org/2", "http://b.org/2")}
 
 
@@ -60,11 +60,11 @@ def test_every_form_of_target_is_resolved(spark):
     ]
     for tag, target, want in forms:
         page = spark.createDataFrame([("http://a.org/d/x?q=http://e.org/", tag.format(target))], "url string, html string")
-        assert sorted(r.target for r in url_filters.page_links(page, relative=True).collect()) == want, target
+        assert sorted(r.target for r in url_filters.page_links(page).collect()) == want, target
     # A decision reaches the page that a relative link names.
     pages = spark.createDataFrame([(1, "http://a.org/d/x", canonical.format("../bad")), (2, "http://a.org/bad", None)], "page_id long, url string, html string")
     rules = spark.createDataFrame([("a.org", "/bad", "block")], "host string, path string, decision string")
-    assert {r.verdict for r in url_filters.judge_urls(pages, rules, url_filters.page_links(pages, relative=True)).collect()} == {"block"}
+    assert {r.verdict for r in url_filters.judge_urls(pages, rules, url_filters.page_links(pages)).collect()} == {"block"}
 
 
 def test_search_is_exact(spark):
@@ -93,3 +93,12 @@ def test_few_rows_and_none(spark):
 def test_sign_code(spark):
     df = spark.createDataFrame([([1.0, -1.0, 0.0, float("nan"), None, 2.0],), (None,), ([],)], "v array<double>")
     assert [r[0] for r in df.select(hamming_search.sign_code(df.v)).collect()] == [0b100001, None, 0]
+
+
+def test_rules_of_very_many_lengths(spark):
+    """4,200 lengths of paths on one host: the longest rule decides, however many there are."""
+    paths = ["/" + "a" * n for n in range(1, 4_201)]
+    rules = spark.createDataFrame([("b.org", p, "block" if len(p) % 2 else "allow") for p in paths], "host string, path string, decision string")
+    pages = spark.createDataFrame([(i, f"http://www.b.org{p}x", "") for i, p in enumerate(paths[::600] + paths[-1:])], "page_id long, url string, html string")
+    got = {r.page_id: r.rule for r in url_filters.judge_urls(pages, rules, url_filters.page_links(pages)).collect()}
+    assert got == {i: "b.org" + p for i, p in enumerate(paths[::600] + paths[-1:])}
