@@ -20,7 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rounds import Scratch
@@ -37,12 +38,24 @@ def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, compone
     Rows whose vector is null, has another number of components, or holds a null, NaN or infinite one are left out. Rows
     that repeat stay apart. A value beyond 2^27 ends the query, as no long could hold its distances.
     """
-    vector = F.transform(F.col(vector_column), lambda x: x.cast("double"))
-    whole = (F.size(vector) == components) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    scaled = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x))
-    fits = F.forall(vector, lambda x: F.abs(x) < float(MOST // scale))
-    checked = F.transform(scaled, lambda x: F.when(fits, x.cast("int")).otherwise(F.raise_error(F.lit("a component is too large for exact distances"))))
-    return rows.where(whole).select(F.col(id_column).cast("long").alias("id"), checked.alias("v"))
+    kind = rows.schema[vector_column].dataType.elementType.simpleString()
+    vector = F.col(vector_column) if kind in ("float", "double") else F.col(vector_column).cast("array<double>")
+
+    def run(batches):
+        for batch in batches:
+            whole = pc.fill_null(pc.equal(pc.list_value_length(batch.column("v")), components), False)
+            batch = batch.filter(whole)
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+            x = flat.reshape(-1, components)
+            finite = np.isfinite(x).all(axis=1)
+            scaled = np.floor(scale * x[finite])
+            if (np.abs(scaled) > MOST).any():
+                raise ValueError("a component is too large for exact distances")
+            ends = np.arange(0, scaled.size + 1, components, dtype=np.int32)
+            v = pa.ListArray.from_arrays(pa.array(ends), pa.array(scaled.astype(np.int32).ravel()))
+            yield pa.record_batch([batch.column("id").filter(pa.array(finite)), v], names=["id", "v"])
+
+    return rows.select(F.col(id_column).cast("long").alias("id"), vector.alias("v")).mapInArrow(run, "id long, v array<int>")
 
 
 def hashed_seeds(vectors: DataFrame, k: int, prefix: str = "") -> list[list[int]]:
