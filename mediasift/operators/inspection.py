@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .ordered import Carry, by_count, running
+from .ordered import Carry, running
 from .pinning import pin
 from .variants import audit_lines
 
@@ -85,7 +85,7 @@ def parse_mux_progress(lines: DataFrame) -> DataFrame:
     rows = pin(lines, {"_announced": announced, "position_seconds": X.clock_seconds(F.regexp_extract("line", _TIME, 1))})
     # The earliest announcement is the largest of the negated sequence numbers seen so far.
     first = F.when(F.col("_announced").isNotNull(), F.struct(-F.col("seq"), F.col("_announced").alias("seconds")))
-    rows = running(rows, ["job_id"], ["seq"], by_count("seq"), {"_first": Carry("max", first)})
+    rows = running(rows, ["job_id"], ["seq"], None, {"_first": Carry("max", first)})
     total = F.coalesce("expected_seconds", F.col("_first.seconds"))
     fraction = F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("position_seconds") / total)))
     return rows.filter(F.col("position_seconds").isNotNull()).select("job_id", "seq", "position_seconds", fraction.alias("fraction"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import text as X
-from .ordered import Carry, by_count, by_time, running
+from .ordered import CHUNK_ROWS, Carry, by_count, cut_evenly, running
 
 TERMINAL_STATES = ("completed", "failed", "canceled")
 MAX_ATTEMPTS = 5
@@ -19,13 +19,13 @@ RETRY_AFTER_CAP_SECONDS = 30
 
 def stage_runs(progress: DataFrame) -> DataFrame:
     """Number the runs of equal stage of each job (gaps and islands), by sequence number."""
-    rows = progress.withColumn("stage", F.coalesce("stage", F.lit("")))
-    chunk = by_count("seq")
+    rows = cut_evenly(progress.withColumn("stage", F.coalesce("stage", F.lit(""))), ["job_id"], "seq", "_part")
+    chunk = F.col("_part")
     rows = running(rows, ["job_id"], ["seq"], chunk, {"_previous": Carry("last", F.col("stage"), inclusive=False)})
     changed = F.when(F.col("_previous").isNull() | (F.col("_previous") != F.col("stage")), 1).otherwise(0)
     rows = rows.withColumn("stage_changed", changed)
     rows = running(rows, ["job_id"], ["seq"], chunk, {"run_no": Carry("sum", F.col("stage_changed"))})
-    return rows.drop("_previous")
+    return rows.drop("_previous", "_part")
 
 
 def milestones(progress: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def state_timeline(job_events: DataFrame) -> DataFrame:
     ends = rows.groupBy("job_id", "attempt").agg(F.min(terminal).alias("_end"))
     rows = rows.join(ends, ["job_id", "attempt"], "left").filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
     rows = running(
-        rows, ["job_id", "attempt"], ["seq"], by_count("seq"),
+        rows, ["job_id", "attempt"], ["seq"], None,
         {"previous_state": Carry("last", F.col("state"), inclusive=False)},
     ).drop("_end")
     changed = F.col("previous_state").isNull() | (F.col("previous_state") != F.col("state"))
@@ -152,11 +152,12 @@ def queue_waits(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("wait_seconds", wait)
 
 
-def concurrency(intervals: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def concurrency(intervals: DataFrame, rows_per_chunk: int = CHUNK_ROWS) -> DataFrame:
     """Jobs running at each start and end. An end at the same instant counts first.
 
-    The whole fleet is one ordered group, so it is summed in stretches of time
-    and one row per stretch is carried across.
+    The whole fleet is one ordered group. It is cut at quantiles of time, so a
+    busy hour is as many chunks as its changes need, and one row per chunk is
+    carried across.
     """
     started = intervals.filter(F.col("started_at").isNotNull())
     changes = started.select(F.col("started_at").alias("ts"), F.lit(1).alias("change"), "job_id", "attempt").unionByName(
@@ -165,14 +166,14 @@ def concurrency(intervals: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
         )
     )
     return running(
-        changes, [], ["ts", "change", "job_id", "attempt"], by_time("ts", chunk_seconds),
-        {"running": Carry("sum", F.col("change"))},
+        changes, [], ["ts", "change", "job_id", "attempt"], None,
+        {"running": Carry("sum", F.col("change"))}, rows_per_chunk,
     )
 
 
-def peak_concurrency(job_events: DataFrame, limit: int, chunk_seconds: int = 3600) -> DataFrame:
+def peak_concurrency(job_events: DataFrame, limit: int, rows_per_chunk: int = CHUNK_ROWS) -> DataFrame:
     """The most jobs that ever ran at once, and whether the limit held."""
-    steps = concurrency(run_intervals(job_events), chunk_seconds)
+    steps = concurrency(run_intervals(job_events), rows_per_chunk)
     peak = steps.agg(
         F.max("running").alias("peak"), F.min_by("ts", F.struct(-F.col("running"), F.col("ts"))).alias("peak_at")
     )

@@ -13,7 +13,9 @@ work inside the chunks in parallel, and carry one summary row per chunk across:
    so only the totals move.
 
 The chunk is a value computed from the row, so a task that is run again after
-a lost executor makes the same chunks.
+a lost executor makes the same chunks. Where a row has no number that is evenly
+spread (sparse sequence numbers, a busy hour), :func:`cut_evenly` measures large
+groups first and cuts them at quantiles of their own order.
 """
 
 from __future__ import annotations
@@ -49,14 +51,54 @@ def by_time(ts: str | Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
+def cut_evenly(df: DataFrame, keys: Sequence[str], position: str, name: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with the number ``name`` of each row's chunk: about ``rows`` rows of a group share one.
+
+    Groups of up to ``rows`` rows are one chunk. A quantile sketch of ``position`` (a number or timestamp) gives a larger
+    group its splitters, at most one per ``rows`` rows and 1,023 in all. So there are fewer splitters than one per
+    ``rows`` rows of the table, which is what is broadcast. Rows at one position share a chunk, NULL comes first.
+    """
+    kind = df.schema[position].dataType.typeName()
+    place = F.unix_micros(position) if kind == "timestamp" else F.col(position).cast("bigint")
+    groups = df.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.lit(0).alias("_all"), place.alias("_place"))
+    group = [f"_g{i}" for i in range(len(keys))] + ["_all"]
+    large = groups.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    measured = groups.alias("a").join(F.broadcast(large.alias("b")), same).select("a.*", "_n").groupBy(*group).agg(
+        F.min("_n").alias("_n"), F.percentile_approx("_place", [i / 1024 for i in range(1, 1024)], 20_000).alias("_q")
+    )
+    parts = F.least(F.lit(1024), F.ceil(F.col("_n") / rows))
+    taken = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.element_at("_q", F.greatest(F.lit(1), F.round(i * 1024 / parts).cast("int"))))
+    # Every 32nd splitter finds the stretch of splitters that a row is compared with.
+    measured = measured.select(*group, F.array_distinct(taken).alias("_cuts")).withColumn(
+        "_coarse", F.filter("_cuts", lambda s, i: i % 32 == 31)
+    )
+    alike = F.lit(True)
+    for i, k in enumerate(keys):
+        alike = alike & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    passed = F.size(F.filter("_coarse", lambda s: s < place)) * 32
+    chunk = passed + F.size(F.filter(F.slice("_cuts", passed + 1, 32), lambda s: s < place))
+    marked = df.join(F.broadcast(measured), alike, "left")
+    return marked.select(*df.columns, F.when(F.col("_cuts").isNull() | place.isNull(), 0).otherwise(chunk).alias(name))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     carries: dict[str, Carry],
+    rows_per_chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add running values per group. ``chunk`` must not decrease along ``order``."""
+    """Add running values per group. ``chunk`` must not decrease along ``order``.
+
+    Without ``chunk`` large groups are cut evenly along the first column of ``order``.
+    """
+    if chunk is None:
+        cut = cut_evenly(df, keys, order[0], "_even", rows_per_chunk)
+        return running(cut, keys, order, F.col("_even"), carries).drop("_even")
     rows = df.select("*", chunk.alias("_chunk"))
     inputs = {f"_in_{name}": carry.value for name, carry in carries.items()}
     rows = rows.withColumns(inputs)

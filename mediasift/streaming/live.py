@@ -123,12 +123,12 @@ def stream_log(spark: SparkSession, path: str, minimum: str = "INFO") -> DataFra
 
 
 def protection_events(candidates: DataFrame, protected_packages: DataFrame) -> DataFrame:
-    """Input of ``stream_protection``: candidates and protection notices keyed by family."""
+    """Input of ``processors.stream_protection``: candidates and protection notices keyed by visit and family."""
     seen = candidates.select(
-        U.family_key("url").alias("family"), "ts", "seq", F.lit("candidate").alias("event"), "url", F.lit(None).cast("string").alias("system")
+        "visit_id", U.family_key("url").alias("family"), "ts", "seq", F.lit("candidate").alias("event"), "url", F.lit(None).cast("string").alias("system")
     )
     marks = protected_packages.select(
-        U.family_key("manifest_url").alias("family"), "ts", "seq", F.lit("protected").alias("event"),
+        "visit_id", U.family_key("manifest_url").alias("family"), "ts", "seq", F.lit("protected").alias("event"),
         F.col("manifest_url").alias("url"), F.coalesce("system", F.lit("DRM")).alias("system"),
     )
     return seen.unionByName(marks)

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..operators import written
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``. Without it a local one, on one machine only: a cluster cannot share it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/mediasift-{uuid.uuid4().hex}"
+    """A new folder under ``spark.checkpoint.dir``."""
+    return f"{written.shared_folder(spark)}/mediasift-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """A query that is started inside takes RocksDB as its state store; the session keeps its own setting."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
@@ -31,10 +46,11 @@ def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_no={number}")
 
-    started = (
-        stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
+    with rocksdb(spark):
+        started = (
+            stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True).foreachBatch(write).start()
+        )
     started.awaitTermination()
     schema = StructType([*columns.fields, StructField("batch_no", IntegerType())])
     return spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")

@@ -1,4 +1,4 @@
-"""Streams that keep state of their own.
+"""Streams whose state is a fold over a key's rows.
 
 Each is a small step function over the rows of one key, run by
 ``applyInPandasWithState``: Spark partitions, shuffles and stores the state.
@@ -17,12 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import headers as H
-from ..functions import text as X
-from ..operators import events as E
-
 DAY_MS = 24 * 3600 * 1000
-TERMINAL = {"completed", "failed", "canceled"}
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -60,108 +55,6 @@ def _keyed(
     )
 
 
-def _refresh(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
-    out = []
-    for row in rows.itertuples(index=False):
-        if row.event == "request":
-            held["url"], held["headers"] = _plain(row.url), _plain(row.headers)
-        elif row.event == "extra":
-            held["extra"] = _plain(row.headers)
-        else:
-            length = _plain(row.content_length)
-            held["response"] = [
-                int(row.seq), _plain(row.url) or held.get("url"), _plain(row.mime_type), None if length is None else int(length)
-            ]
-        late = row.event == "extra" and "response" in held
-        if row.event == "response" or late:
-            merged = {**json.loads(held.get("headers") or "{}"), **json.loads(held.get("extra") or "{}")}
-            out.append((*key, *held["response"], merged.get("cookie"), late))
-    return out
-
-
-def stream_refresh(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
-    """M2: emits a response when it comes, and again when its extra headers come later.
-
-    ``events`` are parsed by ``parse_net_events``; ends of loading are not needed, as state expires.
-    """
-    method = F.col("method")
-    event = (
-        F.when(method == E.METHODS[0], "request").when(method == E.METHODS[1], "extra").otherwise("response")
-    )
-    headers = F.when(method == E.METHODS[0], F.col("p.request.headers")).when(method == E.METHODS[1], F.col("p.headers"))
-    answer = H.lower_keys(F.col("p.response.headers"))
-    length = X.asset_length(
-        F.try_element_at(answer, F.lit("content-range")), F.try_element_at(answer, F.lit("content-length"))
-    )
-    rows = events.filter(method.isin(*E.METHODS[:3])).select(
-        "visit_id", "request_id", "seq", "ts", event.alias("event"),
-        F.coalesce(F.col("p.request.url"), F.col("p.response.url")).alias("url"),
-        F.to_json(H.lower_keys(headers)).alias("headers"), F.col("p.response.mimeType").alias("mime_type"), length.alias("content_length"),
-    )
-    schema = (
-        "visit_id BIGINT, request_id STRING, seq BIGINT, url STRING, mime_type STRING, content_length BIGINT,"
-        " cookie STRING, refreshed BOOLEAN"
-    )
-    return _keyed(rows, ["visit_id", "request_id"], _refresh, schema, ttl_ms, late)
-
-
-def _protect(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
-    out, waiting = [], held.setdefault("waiting", [])
-    for row in rows.itertuples(index=False):
-        system = held.get("system")
-        if row.event == "candidate":
-            out.append((key[0], row.url, int(row.seq), system is not None, system))
-            if system is None:
-                waiting.append([row.url, int(row.seq)])
-        elif system is None:
-            held["system"] = row.system
-            out.extend((key[0], url, seq, True, row.system) for url, seq in waiting)
-            waiting.clear()
-    return out
-
-
-def stream_protection(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
-    """M6: candidates with their package's protection, emitted again if it shows later.
-
-    ``events`` come from ``protection_events``; candidates once each.
-    """
-    schema = "family STRING, url STRING, seq BIGINT, is_protected BOOLEAN, system STRING"
-    return _keyed(events, ["family"], _protect, schema, ttl_ms, late)
-
-
-def _job(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
-    out = []
-    for row in rows.itertuples(index=False):
-        if held.get("state") in TERMINAL:
-            break
-        stage = _plain(row.stage)
-        state = _plain(row.state) or ("muxing" if stage == "finalizing" else "downloading")
-        if state != held.get("state"):
-            out.append((key[0], int(row.seq), "state", state))
-            held["state"] = state
-        if stage is None:
-            continue
-        fraction = _plain(row.fraction)
-        decile = -1 if fraction is None else int(fraction * 10 + 1e-12)
-        if stage != held.get("stage"):
-            held["stage"], held["decile"] = stage, decile
-            out.append((key[0], int(row.seq), "stage", stage))
-        elif decile > held["decile"]:
-            held["decile"] = decile
-            out.append((key[0], int(row.seq), "milestone", f"{stage} {decile * 10}%"))
-    return out
-
-
-def stream_jobs(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
-    """Milestones and state changes of a job; what comes after a final state is ignored.
-
-    ``events`` have ``job_id, seq, ts, state, stage`` and the progress columns.
-    """
-    fraction = X.progress_fraction(F.col("segments_done"), F.col("segments_total"), F.col("bytes"), F.col("total_bytes"))
-    rows = events.select("job_id", "seq", "ts", "state", "stage", fraction.alias("fraction"))
-    return _keyed(rows, ["job_id"], _job, "job_id STRING, seq BIGINT, event STRING, detail STRING", ttl_ms, late)
-
-
 def _meter(key: tuple, rows: pd.DataFrame, held: dict) -> list[tuple]:
     out = []
     for row in rows.itertuples(index=False):
@@ -194,29 +87,6 @@ def stream_rate(samples: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour")
     return _keyed(rows, ["job_id"], _meter, "job_id STRING, seq BIGINT, bytes_per_second DOUBLE", ttl_ms, late)
 
 
-def smoothed_rate(samples: DataFrame) -> DataFrame:
-    """The batch twin of ``stream_rate``: ``job_id, seq, bytes_per_second`` of every sample.
-
-    Where a window closes depends on every window before it, so a job is folded in order; it passes through its task
-    batch by batch, sorted, and only five numbers of it are held.
-    """
-    rows = samples.select(
-        "job_id", "seq", "ts", F.unix_micros("ts").alias("ts_us"), "bytes", F.unix_micros("started_at").alias("started_us")
-    ).repartition("job_id").sortWithinPartitions("job_id", "seq")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        job, held = None, {}
-        for batch in batches:
-            out = []
-            for name, part in batch.groupby("job_id", sort=False, dropna=False):
-                if name != job:
-                    job, held = name, {}
-                out += _meter((name,), part, held)
-            yield pd.DataFrame(out, columns=["job_id", "seq", "bytes_per_second"])
-
-    return rows.mapInPandas(run, "job_id STRING, seq BIGINT, bytes_per_second DOUBLE")
-
-
 def close_quiet_visits(rows: DataFrame, late: str, quiet_seconds: float, cap_seconds: float, hold_seconds: float) -> DataFrame:
     """The fold of ``live.stream_quiet_visits`` over ``visit_id, ts, candidate_key``.
 

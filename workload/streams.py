@@ -9,14 +9,16 @@ from mediasift.fixtures import captures as C
 from mediasift.fixtures import traffic as T
 from mediasift.fixtures import transfers as D
 from mediasift.operators import events as E
+from mediasift.operators import rates
 from mediasift.operators import registry as R
-from mediasift.streaming import live, stateful
+from mediasift.operators.ordered import first_per
+from mediasift.streaming import live, processors, stateful
 from mediasift.streaming.running import drain, shared_folder
 
 from .captures import R_CTE
 from .registry import query
-from .traffic import ACCEPTED, FILE, KEY
-from .transfers import PROGRESS
+from .traffic import ACCEPTED, KEY
+from .transfers import EVENTS, PROGRESS
 
 
 def stream_of(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -75,33 +77,44 @@ def stream_once(spark, sf_dir):
  CASE WHEN request_id % 11 <> 0 THEN concat('c=', request_id) END AS cookie, CAST(request_id % 11 <> 0 AND request_id % 7 = 0 AS INTEGER) AS refreshed FROM r""")
 def stream_refresh(spark, sf_dir):
     events = E.parse_net_events(stream_of(spark, C.net_events(spark, sf_dir)))
-    rows = drain(stateful.stream_refresh(events), "update")
+    rows = drain(processors.stream_refresh(events), "update")
     last = rows.groupBy("request_id", "url", "content_length").agg(
         F.max_by("cookie", F.col("refreshed").cast("int")).alias("cookie"), F.max(F.col("refreshed").cast("int")).alias("refreshed")
     )
     return last
 
 
-@query("stream_protection", f"""WITH {R_CTE}, d AS (SELECT page_id % 4 AS c, page_id % 7 AS v, min(seq) AS seq FROM r WHERE event_type <> 'click' AND {ACCEPTED} GROUP BY page_id % 4, page_id % 7, {FILE}, request_id % 3)
-SELECT concat('cdn', c, '.example.com/v', v) AS family, count(*) AS candidates, CAST(v = 3 AS INTEGER) AS is_protected FROM d GROUP BY c, v""")
+@query("stream_protection", f"""WITH {R_CTE}, c AS (SELECT DISTINCT page_id, {KEY} AS k FROM r WHERE event_type <> 'click' AND {ACCEPTED}),
+m AS (SELECT DISTINCT page_id FROM r WHERE event_type = 'signup' AND page_id % 7 = 3 AND seq % 19 <> 0)
+SELECT c.page_id AS visit_id, concat('cdn', c.page_id % 4, '.example.com/v', c.page_id % 7) AS family, count(*) AS candidates, CAST(any_value(m.page_id) IS NOT NULL AS INTEGER) AS is_protected
+FROM c LEFT JOIN m ON c.page_id = m.page_id GROUP BY c.page_id""")
 def stream_protection(spark, sf_dir):
-    rows = R.filter_candidates(R.classify_observations(T.responses(spark, sf_dir)))
-    found = R.candidates(rows).join(rows.select(F.col("url"), F.col("seq")), "url")
-    packages = T.responses(spark, sf_dir).filter("event_type = 'signup' and page_id % 7 = 3 and seq % 19 <> 0").select(
-        F.col("url").alias("manifest_url"), "ts", "seq", F.lit("Widevine").alias("system")
+    rows = responses(spark, sf_dir)
+    found = first_per(R.observed_candidates(live.stream_observations(rows)), ["visit_id", "candidate_key"], ["seq"])
+    packages = rows.filter("event_type = 'signup' and page_id % 7 = 3 and seq % 19 <> 0").select(
+        "visit_id", F.col("url").alias("manifest_url"), "ts", "seq", F.lit("Widevine").alias("system")
     )
-    events = live.protection_events(found.select("url", F.col("first_seen").alias("ts"), "seq"), packages)
-    emitted = drain(stateful.stream_protection(stream_of(spark, events)), "update")
-    final = emitted.groupBy("family", "url").agg(F.max(F.col("is_protected").cast("int")).alias("p"))
-    return final.groupBy("family").agg(F.count("*").alias("candidates"), F.max("p").alias("is_protected"))
-
-
-@query("stream_jobs", f"""WITH {PROGRESS} SELECT job_id, seq, CASE WHEN prev IS NULL OR prev <> stage THEN stage ELSE concat(stage, ' ', decile * 10, '%') END AS detail
-FROM s WHERE prev IS NULL OR prev <> stage OR decile > reached""")
+    events = live.protection_events(found.select("visit_id", "url", "ts", "seq"), packages)
+    emitted = drain(processors.stream_protection(stream_of(spark, events)), "update")
+    final = emitted.groupBy("visit_id", "family", "url").agg(F.max(F.col("is_protected").cast("int")).alias("p"))
+    return final.groupBy("visit_id", "family").agg(F.count("*").alias("candidates"), F.max("p").alias("is_protected"))
+
+
+@query("stream_jobs", f"""WITH {PROGRESS}, {EVENTS},
+x AS (SELECT concat(job_id, '-a', attempt) AS job_id, seq, state AS now, CASE state WHEN 'muxing' THEN 'finalizing' WHEN 'downloading' THEN 'video' END AS stage FROM e),
+q AS (SELECT job_id, seq, CASE stage WHEN 'finalizing' THEN 'muxing' ELSE 'downloading' END AS now, stage, prev, decile, reached FROM s
+ UNION ALL SELECT job_id, seq, now, stage, lag(stage) OVER (PARTITION BY job_id, stage IS NULL ORDER BY seq), -1, -1 FROM x),
+n AS (SELECT *, min(seq) FILTER (now IN ('completed', 'failed', 'canceled')) OVER (PARTITION BY job_id) AS last, lag(now) OVER (PARTITION BY job_id ORDER BY seq) AS before FROM q),
+k AS (SELECT * FROM n WHERE last IS NULL OR seq <= last)
+SELECT job_id, seq, 'state' AS event, now AS detail FROM k WHERE before IS NULL OR before <> now
+UNION ALL SELECT job_id, seq, 'stage', stage FROM k WHERE stage IS NOT NULL AND (prev IS NULL OR prev <> stage)
+UNION ALL SELECT job_id, seq, 'milestone', concat(stage, ' ', decile * 10, '%') FROM k WHERE prev = stage AND decile > reached""")
 def stream_jobs(spark, sf_dir):
-    events = D.progress_events(spark, sf_dir).withColumn("state", F.lit(None).cast("string"))
-    rows = drain(stateful.stream_jobs(stream_of(spark, events)), "update")
-    return rows.filter("event <> 'state'").select("job_id", "seq", "detail")
+    """Progress of one set of jobs and the state events of another, with reports after the end."""
+    progress = D.progress_events(spark, sf_dir).withColumn("state", F.lit(None).cast("string"))
+    states = D.job_events(spark, sf_dir).withColumn("job_id", F.concat("job_id", F.lit("-a"), F.col("attempt").cast("string")))
+    events = progress.unionByName(states, allowMissingColumns=True).select(progress.columns)
+    return drain(processors.stream_jobs(stream_of(spark, events)), "update").select("job_id", "seq", "event", "detail")
 
 
 RATE = f"""WITH RECURSIVE {R_CTE}, n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS i, epoch_us(ts) AS t, greatest(content_length, 0) AS b, epoch_us(min(ts) OVER (PARTITION BY page_id)) AS t0 FROM r),
@@ -120,7 +133,7 @@ def stream_rate(spark, sf_dir):
 
 @query("smoothed_rate", RATE)
 def smoothed_rate(spark, sf_dir):
-    rows = stateful.smoothed_rate(transfer_samples(spark, sf_dir))
+    rows = rates.smoothed_rate(transfer_samples(spark, sf_dir))
     return rows.select("job_id", "seq", F.round("bytes_per_second", 4).alias("rate"))
 
 
