@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import redaction as X
@@ -36,14 +36,14 @@ def log_columns(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_app_log(lines: DataFrame) -> DataFrame:
+def parse_app_log(lines: DataFrame, position: str = "line_no", chunk: Column | None = None) -> DataFrame:
     """``file, line_no, line`` to parsed lines; a continuation takes the level above it.
 
     One file can be most of a fleet's log, so the level is carried in chunks of
-    line numbers.
+    line numbers, or in the given chunks of another position.
     """
     parsed = running(
-        log_columns(lines), ["file"], ["line_no"], by_count("line_no"),
+        log_columns(lines), ["file"], [position], by_count(position) if chunk is None else chunk,
         {"level": Carry("last", F.col("own_level")), "_source": Carry("last", F.col("source"))},
     )
     return parsed.withColumns(

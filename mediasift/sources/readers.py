@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from ..functions import manifests as M
 from ..operators import events as E
 from ..operators.logs import parse_app_log
+from ..operators.ordered import by_count
+from .lines import PIECE, read_lines
+
+CARRY_BYTES = 32 << 20  # bytes of a log file whose lines are put in order together
 
 TARGET_SCHEMA = "name STRING, url STRING, expectation STRING"
 
 
 def read_net_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """One JSON event per line: ``visit_id, seq, ts, method, params``. Malformed lines drop out."""
-    reader = spark.readStream if stream else spark.read
-    events = reader.schema(E.EVENT_SCHEMA).json(path, mode="PERMISSIVE").filter(F.col("method").isNotNull())
-    return E.parse_net_events(events)
+    """One JSON event per line: ``visit_id, seq, ts, method, params``. Malformed lines drop out.
+
+    A stream follows files that are still being written, from byte to byte.
+    """
+    if stream:
+        events = read_lines(spark, path, stream=True).select(F.from_json("line", E.EVENT_SCHEMA).alias("e")).select("e.*")
+    else:
+        events = spark.read.schema(E.EVENT_SCHEMA).json(path, mode="PERMISSIVE")
+    return E.parse_net_events(events.filter(F.col("method").isNotNull()))
 
 
 def decode_manifest(df: DataFrame, content: str = "content", charset: str = "charset") -> DataFrame:
@@ -42,16 +51,13 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return decode_manifest(rows).drop("content")
 
 
-def read_app_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log files to parsed lines.
+def read_app_log(spark: SparkSession, path: str, piece_bytes: int = PIECE) -> DataFrame:
+    """Log files to parsed lines, in the order of ``offset``, the byte at which a line starts.
 
-    A file is read as one row and numbered by its own line breaks, so line
-    numbers do not depend on how it was split.
+    A file is read in pieces by as many tasks, whatever its size; a line's level is carried on by stretches of bytes.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(M.strip_bom(F.col("value")), r"\r\n|\n")).alias("line_no", "line")
-    )
-    return parse_app_log(files.filter(F.col("line") != ""))
+    lines = read_lines(spark, path, piece_bytes=piece_bytes).filter(F.col("line") != "")
+    return parse_app_log(lines, "offset", by_count("offset", CARRY_BYTES))
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:

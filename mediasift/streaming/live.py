@@ -19,6 +19,7 @@ from ..operators import events as E
 from ..operators import logs as L
 from ..operators import registry as R
 from ..options import CandidateOptions
+from ..sources.lines import read_lines
 from .stateful import close_quiet_visits
 
 QUIET_SECONDS = 6
@@ -113,11 +114,11 @@ def stream_quiet_visits(
 
 
 def stream_log(spark: SparkSession, path: str, minimum: str = "INFO") -> DataFrame:
-    """Log entries at or above a level as they are written.
+    """Log entries at or above a level as they are written: files are followed from byte to byte.
 
     Continuation lines carry no level of their own and belong to ``parse_app_log``.
     """
-    lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    lines = read_lines(spark, path, stream=True)
     parsed = L.log_columns(lines).withColumnRenamed("own_level", "level")
     return parsed.filter(L.level_rank(F.col("level")) >= L.LEVELS.index(minimum) + 1)
 

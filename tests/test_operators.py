@@ -144,7 +144,7 @@ def test_log_round_trip(spark, tmp_path):
     assert any("token=[redigido]" in r.value for r in lines)
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "app-2024-01-01.log").write_text("00:00:01.000  ERROR  http  bad\n    more\n00:00:02.000  INFO   http  ok\n")
-    parsed = readers.read_app_log(spark, str(tmp_path / "in")).orderBy("line_no").collect()
+    parsed = readers.read_app_log(spark, str(tmp_path / "in")).orderBy("offset").collect()
     assert [(r.level, r.is_continuation) for r in parsed] == [("ERROR", False), ("ERROR", True), ("INFO", False)]
     assert str(parsed[0].log_date) == "2024-01-01"
 
