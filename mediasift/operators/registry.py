@@ -259,3 +259,50 @@ def fallback_targets(candidates_df: DataFrame) -> DataFrame:
     targets = F.when(is_page, F.array("url")).otherwise(F.array("page_url", "url"))
     distinct = F.array_distinct(F.filter(targets, lambda t: t.isNotNull()))
     return candidates_df.select("*", F.posexplode(distinct).alias("target_no", "target_url"))
+
+
+def candidate_state(accepted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A1 as values that can be merged later: each choice is kept with the place (``ts, seq``) that decides it."""
+    rows = observed_candidates(accepted)
+    order = F.struct("ts", "seq")
+    plain = ~F.col("is_opaque")
+    has_cookie = F.coalesce(F.col("cookie"), F.lit("")) != ""
+    first = F.struct("url", "kind", "content_length", "page_title", "page_url")
+    single = rows.select(
+        *by, "candidate_key", F.lit(1).cast("bigint").alias("hit_count"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"),
+        order.alias("first_at"), first.alias("first"),
+        F.when(F.col("mime_type").isNotNull(), order).alias("mime_at"), "mime_type",
+        F.when(plain & F.col("page_url").isNotNull(), order).alias("page_at"), F.col("page_url").alias("page"),
+        F.when(plain & ~is_blank(F.col("page_title")), order).alias("title_at"), F.col("page_title").alias("title"),
+        F.col("content_length").alias("largest"),
+        F.struct(has_cookie.alias("has_cookie"), "ts", "seq").alias("best_at"), F.struct("cookie", "request").alias("best"),
+    )
+    return merge_candidate_states(single, by)
+
+
+def merge_candidate_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One state per key from any number of them, in any order."""
+    return states.groupBy(*by, "candidate_key").agg(
+        F.sum("hit_count").alias("hit_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.min("first_at").alias("first_at"), F.min_by("first", "first_at").alias("first"),
+        F.min("mime_at").alias("mime_at"), F.min_by("mime_type", "mime_at").alias("mime_type"),
+        F.min("page_at").alias("page_at"), F.min_by("page", "page_at").alias("page"),
+        F.min("title_at").alias("title_at"), F.min_by("title", "title_at").alias("title"),
+        F.max("largest").alias("largest"),
+        F.max("best_at").alias("best_at"), F.max_by("best", "best_at").alias("best"),
+    )
+
+
+def candidates_of_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The columns of :func:`candidates` from merged states; further columns stay."""
+    title = F.col("first.page_title")
+    own = {*by, "candidate_key", "hit_count", "first_seen", "last_seen", "first_at", "first", "mime_at", "mime_type", "page_at", "page", "title_at", "title", "largest", "best_at", "best"}
+    return states.select(
+        *by, "candidate_key", F.col("first.url").alias("url"), U.stable_id(U.normalize_url(F.col("first.url"))).alias("candidate_id"), F.col("first.kind").alias("kind"),
+        "hit_count", "first_seen", "last_seen", "mime_type",
+        F.when(F.col("first.content_length").isNotNull(), F.col("largest")).alias("content_length"),
+        F.coalesce(F.col("first.page_url"), F.col("page")).alias("page_url"),
+        F.when(~is_blank(title), title).otherwise(F.col("title")).alias("page_title"),
+        F.col("best.cookie").alias("cookie"), F.col("best.request").alias("request"),
+        *[c for c in states.columns if c not in own],
+    )

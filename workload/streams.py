@@ -13,6 +13,7 @@ from mediasift.operators import rates
 from mediasift.operators import registry as R
 from mediasift.operators.ordered import first_per
 from mediasift.streaming import live, processors, stateful
+from mediasift.streaming.changes import CandidateTable, stream_registry
 from mediasift.streaming.running import drain, shared_folder
 
 from .captures import R_CTE
@@ -43,6 +44,23 @@ def stream_candidates(spark, sf_dir):
     return merged.select("visit_id", "candidate_key", "hit_count", F.unix_micros("t").alias("last_seen_us"))
 
 
+@query("stream_registry_changes", f"""WITH {R_CTE}, h AS (SELECT CAST(floor(max(seq) / 2) AS BIGINT) AS middle FROM r),
+c AS (SELECT page_id AS visit_id, date_trunc('day', ts) AS day, {KEY} AS candidate_key, CAST(seq > middle AS INTEGER) AS batch, count(*) AS n FROM r, h WHERE event_type <> 'click' AND {ACCEPTED} GROUP BY ALL)
+SELECT visit_id, CAST(day AS DATE) AS day, candidate_key, batch, CASE WHEN min(batch) OVER k < batch THEN 'updated' ELSE 'added' END AS change,
+ CAST(sum(n) OVER (k ORDER BY batch) AS BIGINT) AS hit_count FROM c WINDOW k AS (PARTITION BY visit_id, day, candidate_key)""")
+def stream_registry_changes(spark, sf_dir):
+    """What each of two arrivals adds to the kept table and updates there."""
+    rows = responses(spark, sf_dir)
+    folder, table = shared_folder(spark), CandidateTable(shared_folder(spark), buckets=4)
+    middle = rows.agg((F.max("seq") / 2).cast("bigint")).first()[0]
+    for half in (F.col("seq") <= middle, F.col("seq") > middle):
+        rows.filter(half).coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream_registry(arriving, table, shared_folder(spark)).awaitTermination()
+    told = table.changes(rows, 0).unionByName(table.changes(rows, 1))
+    return told.select("visit_id", F.to_date("day").alias("day"), "candidate_key", F.col("last_batch").cast("int").alias("batch"), F.col("last_change").alias("change"), "hit_count")
+
+
 @query("stream_families", f"""WITH {R_CTE} SELECT page_id AS visit_id, concat('cdn', page_id % 4, '.example.com/v', page_id % 7) AS family, count(*) AS segment_count, sum(content_length) AS total_bytes
 FROM r WHERE event_type = 'click' AND request_id % 19 <> 0 GROUP BY 1, 2""")
 def stream_families(spark, sf_dir):
