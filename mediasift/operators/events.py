@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
@@ -38,22 +38,24 @@ def parse_net_events(events: DataFrame) -> DataFrame:
 def correlate_requests(events: DataFrame, pages: DataFrame | None = None, by: Sequence[str] = ("visit_id",)) -> DataFrame:
     """One observation per response, with the identity its request was sent with.
 
-    The latest request and the latest extra headers of an id are one aggregate
-    each, so an extra-info that comes after the response still counts. A
-    response without a request is kept. ``pages`` has the ``by`` columns and
-    ``page_url, page_title``.
+    The latest request and the latest extra headers of an id are taken over all its rows, so an extra-info that comes
+    after the response still counts, in one pass: rows move once and nothing is joined or collected. A response without a
+    request is kept. ``pages`` has the ``by`` columns and ``page_url, page_title``.
     """
     key = [*by, "request_id"]
-    sent = events.filter(F.col("method") == METHODS[0]).groupBy(*key).agg(
-        F.max_by(F.struct(F.col("p.request.url").alias("url"), F.col("p.request.headers").alias("headers")), "seq").alias("_sent")
+    method = F.col("method")
+    rows = events.filter(method.isin(*METHODS[:3])).select(
+        *key, "seq", "ts", method,
+        F.when(method == METHODS[0], F.struct(F.col("p.request.url").alias("url"), F.col("p.request.headers").alias("headers"))).alias("_request"),
+        F.when(method == METHODS[1], F.struct(F.col("p.headers").alias("headers"))).alias("_more"),
+        F.when(method == METHODS[2], F.col("p.response")).alias("_response"),
+        F.when(method == METHODS[2], F.col("p.type")).alias("resource_type"),
     )
-    extra = events.filter(F.col("method") == METHODS[1]).groupBy(*key).agg(
-        F.max_by(F.struct(F.col("p.headers").alias("headers")), "seq").alias("_extra")
-    )
-    received = events.filter(F.col("method") == METHODS[2]).select(
-        *key, "seq", "ts", F.col("p.response").alias("_response"), F.col("p.type").alias("resource_type")
-    )
-    joined = received.join(sent, key, "left").join(extra, key, "left")
+    alike = Window.partitionBy(*key)
+    joined = rows.withColumns({
+        "_sent": F.max_by("_request", F.when(method == METHODS[0], F.col("seq"))).over(alike),
+        "_extra": F.max_by("_more", F.when(method == METHODS[1], F.col("seq"))).over(alike),
+    }).filter(method == METHODS[2]).drop("method", "_request", "_more")
     if pages is not None:
         joined = joined.join(pages.select(*by, "page_url", "page_title"), list(by), "left")
     else:
@@ -128,12 +130,12 @@ def html_media_elements(pages: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all(bare, F.lit(_OPEN_TAG), F.lit(0))
     named = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, r"^</?(\w+)", 1)).alias("tag"), t.startswith("</").alias("closing"), t.alias("text")))
     found = pin(pages.filter(F.col("html").rlike(r"(?i)<(?:video|audio)\b")), {"_tags": named})
-    depth = lambda upto: F.aggregate(
-        F.slice("_tags", 1, upto), F.lit(0),
-        lambda acc, t: acc + F.when(t["tag"] == "source", 0).when(t["closing"], -1).otherwise(1),
-    )
-    rows = found.select("page_id", "url", F.posexplode("_tags").alias("position", "t"), "_tags")
-    rows = rows.filter(~F.col("t.closing")).filter((F.col("t.tag") != "source") | (depth(F.col("position")) > 0))
+    # The depth at a tag is a running sum over the tags of its page; rows that repeat a page add to it alike.
+    before = Window.partitionBy("page_id", "_html").orderBy("position")
+    step = F.when(F.col("t.tag") == "source", 0).when(F.col("t.closing"), -1).otherwise(1)
+    rows = found.select("page_id", "url", F.xxhash64("html").alias("_html"), F.posexplode("_tags").alias("position", "t"))
+    rows = rows.withColumn("_depth", F.sum(step).over(before))
+    rows = rows.filter(~F.col("t.closing")).filter((F.col("t.tag") != "source") | (F.col("_depth") > 0))
     src: Column = F.regexp_extract("t.text", r"""(?i)\ssrc\s*=\s*(?:"([^"]*)"|'[^']*'|[^\s>"']+)""", 1)
     other = F.regexp_extract("t.text", r"""(?i)\ssrc\s*=\s*'?([^\s>"']+)""", 1)
     decoded = F.regexp_replace(F.coalesce(F.nullif(src, F.lit("")), other), "&amp;", "&")

@@ -13,6 +13,7 @@ from ..functions import urls as U
 from .extractor import with_labels
 from .ordered import Carry, by_count, first_per, row_numbers, running, top_per
 from .pinning import pin
+from .written import written
 
 VARIANT_COLUMNS = {
     "source_id": "string", "ordinal": "bigint", "variant_id": "string", "url": "string", "track": "string",
@@ -295,7 +296,8 @@ def make_plans(
 
     ``sources`` has ``source_id, title, seq``; ``seq`` decides who keeps a name.
     """
-    rows = with_labels(conform(variants))
+    # Videos, audios and their pairs all start from the variants: their manifests are parsed once.
+    rows = written(with_labels(conform(variants)))
     videos = pair_audio(best_videos(rows), audios_of(rows))
     audio = audios_of(rows).select(
         "source_id", F.col("variant_id").alias("audio_id"), F.col("ordinal").alias("audio_ordinal"),

@@ -40,6 +40,25 @@ def variants_from_corpus(manifests: DataFrame, dumps: DataFrame | None = None) -
     return result
 
 
+def parts_of_variants(chosen: DataFrame, manifests: DataFrame) -> DataFrame:
+    """The parts of HLS variants: ``source_id, variant_id, playlist_uri, ordinal, is_init, uri, range, ...``.
+
+    ``chosen`` are variants (``source_id, variant_id, url, delivery``), ``manifests`` the corpus with their playlists. A
+    variant whose playlist is itself a master is followed to the best stream of that master. A playlist that was captured
+    more than once counts once; variants without a captured playlist give no parts.
+    """
+    # url -> one body; an address may serve many variants.
+    lists = manifests.filter(F.col("kind") == K.HLS).groupBy("url").agg(F.max("body").alias("body"))
+    lists = hls.split_playlists(lists.withColumn("manifest_id", F.col("url")))
+    best = hls.best_of_masters(hls.hls_master_variants(lists.filter(F.col("playlist_role") == "master")))
+    wanted = chosen.filter(F.col("delivery") == "hls_segments").select("source_id", "variant_id", F.col("url").alias("_variant_url"))
+    wanted = wanted.join(best, F.col("_variant_url") == F.col("_master_url"), "left")
+    wanted = wanted.select("source_id", "variant_id", F.coalesce("nested_uri", "_variant_url").alias("playlist_uri"))
+    media = lists.filter(F.col("playlist_role") == "media").join(wanted.select("playlist_uri").distinct(), F.col("url") == F.col("playlist_uri"), "left_semi")
+    parts = hls.hls_parts(media)
+    return wanted.join(parts, F.col("playlist_uri") == F.col("manifest_id")).drop("manifest_id")
+
+
 def protected_packages(manifests: DataFrame) -> DataFrame:
     """Manifests of the corpus that DRM systems protect, as ``manifest_url, system``."""
     lists = hls.split_playlists(manifests.filter(F.col("kind") == K.HLS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import manifests as M
+from ..functions.decoding import decode_text
 from ..operators import events as E
 from ..operators.logs import parse_app_log
 from ..operators.ordered import by_count
@@ -29,17 +29,8 @@ def read_net_events(spark: SparkSession, path: str, stream: bool = False) -> Dat
 
 
 def decode_manifest(df: DataFrame, content: str = "content", charset: str = "charset") -> DataFrame:
-    """Bytes to text by the declared charset, else UTF-8, without a byte order mark."""
-    declared = F.lower(F.trim(F.col(charset)))
-    text = (
-        F.when(declared.isin("iso-8859-1", "latin1"), F.decode(content, "ISO-8859-1"))
-        .when(declared == "us-ascii", F.decode(content, "US-ASCII"))
-        .when(declared == "utf-16", F.decode(content, "UTF-16"))
-        .when(declared == "utf-16le", F.decode(content, "UTF-16LE"))
-        .when(declared == "utf-16be", F.decode(content, "UTF-16BE"))
-        .otherwise(F.decode(content, "UTF-8"))
-    )
-    return df.withColumn("body", M.strip_bom(text))
+    """Bytes to text by the declared charset, else UTF-8, without a byte order mark; see ``decode_text``."""
+    return decode_text(df, content, charset, "body")
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:

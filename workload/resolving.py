@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mediasift.fixtures import dash as Dx
 from mediasift.fixtures import hls as H
 from mediasift.fixtures import traffic as T
 from mediasift.fixtures.tables import table
 from mediasift.functions import classify as K
+from mediasift.functions.decoding import with_ascii_host
 from mediasift.functions import headers as Hd
 from mediasift.functions import manifests as M
 from mediasift.functions import text as X
 from mediasift.operators import hls as P
 from mediasift.operators import registry as R
 from mediasift.operators import variants as V
+from mediasift.plans import pipelines, table_functions
+from mediasift.sources import readers
 
-from .hls import VARIANTS
-from .registry import query
+from .hls import SEGMENTS, VARIANTS
+from .registry import ORACLES, query
 from .traffic import ACCEPTED, CANDIDATES, R_CTE, accepted
 
 C_CTE = f"{R_CTE}, c AS ({CANDIDATES})"
@@ -76,6 +80,94 @@ def nested_best(spark, sf_dir):
     return best.filter(F.col("manifest_id").startswith("outer")).select("manifest_id", "playlist_uri", "nested_bandwidth")
 
 
+LISTED = f"""v AS (SELECT source_id, variant_id, track, 'hls_segments' AS delivery, container, height, bandwidth, NULL::DOUBLE AS duration_seconds, 0 AS is_live, section * 1000000 + ordinal AS place FROM ({ORACLES["hls_resolve"]})
+ UNION ALL SELECT concat('media-', l_orderkey), concat('media-', l_orderkey), 'muxed', 'hls_segments', 'mp4', NULL, NULL, sum(l_quantity), CAST(coalesce(max(o_orderstatus), '-') = 'O' AS INTEGER), 0
+ FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey)"""
+
+
+@query("resolve_corpus", f"""WITH {LISTED}
+SELECT source_id, variant_id, track, container, height, bandwidth, duration_seconds, is_live, delivery FROM v
+UNION ALL SELECT source_id, variant_id, track, container, height, bandwidth, NULL, 0, 'dash' FROM ({ORACLES["dash_resolve"]})""")
+def resolve_corpus(spark, sf_dir):
+    """Masters, media playlists, DASH manifests and pages that are none of these, to what each offers."""
+    corpus = H.corpus(spark, sf_dir).unionByName(Dx.manifests(spark, sf_dir).select("manifest_id", "url", F.lit(K.DASH).alias("kind"), "body"))
+    rows = pipelines.variants_from_corpus(corpus)
+    delivery = F.when(F.col("delivery").startswith("hls"), F.col("delivery")).otherwise("dash")
+    duration = F.when(F.col("delivery") == "hls_segments", F.round("duration_seconds", 3))
+    return rows.select(
+        "source_id", "variant_id", "track", "container", "height", "bandwidth", duration.alias("duration_seconds"),
+        F.col("is_live").cast("int").alias("is_live"), delivery.alias("delivery"),
+    )
+
+
+@query("plans_end_to_end", f"""WITH {LISTED},
+b AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(height, 0) * 1000000::BIGINT + least(coalesce(bandwidth, 0), 999999) DESC, place) AS k FROM v WHERE track IN ('muxed', 'video_only'))
+SELECT source_id, variant_id AS video_id, track, delivery, container, CAST(track = 'video_only' AS INTEGER) AS needs_merge, duration_seconds, is_live,
+ concat('downloads/', source_id, ' [', CASE WHEN height >= 2160 THEN '4K' WHEN height IS NULL THEN 'SD' ELSE concat(height, 'p') END, '].', container) AS output_path FROM b WHERE k = 1""")
+def plans_end_to_end(spark, sf_dir):
+    """Playlist texts to the plan of every source."""
+    corpus = H.corpus(spark, sf_dir)
+    sources = corpus.select(F.col("manifest_id").alias("source_id"), F.col("manifest_id").alias("title"), F.crc32(F.col("manifest_id").cast("binary")).alias("seq"))
+    plans = V.make_plans(sources, pipelines.variants_from_corpus(corpus))
+    return plans.select(
+        "source_id", "video_id", "track", "delivery", "container", F.col("needs_merge").cast("int").alias("needs_merge"),
+        F.round("duration_seconds", 3).alias("duration_seconds"), F.col("is_live").cast("int").alias("is_live"), "output_path",
+    )
+
+
+@query("parts_of_variants", f"""WITH {SEGMENTS},
+m AS (SELECT manifest_id, map_uri, min(ordinal) AS ordinal FROM segments GROUP BY 1, 2),
+p AS (SELECT manifest_id, ordinal, 0 AS is_init, uri, duration AS seconds FROM segments UNION ALL SELECT manifest_id, ordinal, 1, map_uri, NULL FROM m)
+SELECT concat(w, '-', replace(manifest_id, 'media-', '')) AS source_id, ordinal, is_init, uri, seconds FROM p, (VALUES ('outer'), ('plain')) AS t(w)""")
+def parts_of_variants(spark, sf_dir):
+    """Every media playlist twice: named by a variant, and behind a nested master that also offers a worse stream."""
+    media = H.media(spark, sf_dir)
+    nested = media.select(
+        F.regexp_replace("manifest_id", "media", "nested").alias("manifest_id"), F.regexp_replace("url", "media", "nested").alias("url"), "kind",
+        F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=5\nworse.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=9\nmedia.m3u8\n#EXT-X-I-FRAME-STREAM-INF:BANDWIDTH=99,URI=\"trick.m3u8\"\n").alias("body"),
+    )
+    chosen = [
+        lists.select(F.regexp_replace("manifest_id", old, new).alias("source_id"), F.lit("v").alias("variant_id"), "url", F.lit("hls_segments").alias("delivery"))
+        for lists, old, new in ((nested, "nested", "outer"), (media, "media", "plain"))
+    ]
+    parts = pipelines.parts_of_variants(chosen[0].unionByName(chosen[1]), media.unionByName(nested).unionByName(media))
+    return parts.select("source_id", "ordinal", F.col("is_init").cast("int").alias("is_init"), "uri", "seconds")
+
+
+@query("sql_table_functions", f"""WITH d AS (SELECT * FROM ({ORACLES["dash_segments"]})), h AS (SELECT * FROM ({ORACLES["hls_parts"]}))
+SELECT 'dash' AS source, manifest_id, count(*) AS n, count(DISTINCT uri) AS uris FROM d GROUP BY manifest_id
+UNION ALL SELECT 'hls', manifest_id, count(*), count(DISTINCT uri) FROM h GROUP BY manifest_id""")
+def sql_table_functions(spark, sf_dir):
+    """Parts and segments of the whole corpus, asked for in SQL."""
+    corpus = H.corpus(spark, sf_dir).unionByName(Dx.manifests(spark, sf_dir).select("manifest_id", "url", F.lit(K.DASH).alias("kind"), "body"))
+    table_functions.register_table_functions(spark, corpus)
+    return spark.sql(
+        "SELECT 'dash' AS source, manifest_id, count(*) AS n, count(DISTINCT uri) AS uris FROM dash_segments() GROUP BY manifest_id"
+        " UNION ALL SELECT 'hls', manifest_id, count(*), count(DISTINCT uri) FROM hls_parts() GROUP BY manifest_id"
+    )
+
+
+@query("decode_manifests", """
+SELECT doc_id, kind, CASE kind WHEN 4 THEN concat('a', chr(65533), 'b') WHEN 5 THEN 'café €' WHEN 6 THEN 'テスト' ELSE coalesce(text, '') END AS body FROM documents, range(0, 7) AS t(kind)""")
+def decode_manifests(spark, sf_dir):
+    """All texts in charsets that Spark decodes and that it does not, with quotes, a name nobody knows and a broken byte."""
+    text = F.coalesce("text", F.lit(""))
+    forms = [
+        (None, text.cast("binary")), (' "UTF-16LE" ', F.encode(text, "UTF-16LE")), ("no-such-charset", text.cast("binary")), ("utf-32-be", F.encode(text, "UTF-32")),
+        ("UTF-8", F.lit(b"a\xffb")), ("windows-1252", F.lit(b"caf\xe9 \x80")), ("Shift_JIS", F.lit("テスト".encode("shift_jis"))),
+    ]
+    made = [F.struct(F.lit(i).alias("kind"), F.lit(c).cast("string").alias("charset"), data.alias("content")) for i, (c, data) in enumerate(forms)]
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*made)).alias("f")).select("doc_id", "f.*")
+    return readers.decode_manifest(rows).select("doc_id", "kind", "body")
+
+
+@query("ascii_hosts", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'xn--mnchen-3ya.example' WHEN 1 THEN concat('cdn', p_partkey, '.example.com') WHEN 2 THEN 'xn--r8jz45g.xn--zckzah' END AS host FROM part""")
+def ascii_hosts(spark, sf_dir):
+    host = F.when(F.col("p_partkey") % 4 == 0, "münchen.example").when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("cdn"), F.col("p_partkey").cast("string"), F.lit(".example.com"))).when(F.col("p_partkey") % 4 == 2, "例え.テスト")
+    return with_ascii_host(table(spark, sf_dir, "part").select("p_partkey", host.alias("name")), "name", "host").select("p_partkey", "host")
+
+
 @query("expand_templates", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat('r', l_suppkey, '/', lpad(CAST(l_partkey AS VARCHAR), 6, '0'), '-', printf('%x', l_orderkey), '-$-',
  lpad(CAST(l_suppkey AS VARCHAR), 5, ' '), '$Nope$', l_linenumber, '$end') AS name FROM lineitem""")
