@@ -123,8 +123,8 @@ def test_corpus_of_media_playlists_and_two_periods(spark):
     mpd = "<MPD><Period><AdaptationSet contentType='video'><Representation id='a' bandwidth='9' height='10'/></AdaptationSet></Period><Period><AdaptationSet contentType='video'><Representation id='b' bandwidth='8' height='20'/></AdaptationSet></Period></MPD>"
     rows = [("vod", "https://h.com/v.m3u8", "hls_playlist", PLAYLIST + "#EXT-X-ENDLIST\n"), ("live", "https://h.com/l.m3u8", "hls_playlist", PLAYLIST), ("d", "https://h.com/d.mpd", "dash_manifest", mpd)]
     corpus = spark.createDataFrame(rows, "manifest_id STRING, url STRING, kind STRING, body STRING")
-    got = {(r.source_id, r.track, r.is_live, r.duration_seconds) for r in pipelines.variants_from_corpus(corpus).collect() if r.source_id != "d"}
-    assert got == {("vod", "muxed", False, 9.5), ("live", "muxed", True, None)}
+    got = {(r.source_id, r.track, r.is_live, r.duration_seconds, r.delivery, r.container) for r in pipelines.variants_from_corpus(corpus).collect() if r.source_id != "d"}
+    assert got == {("vod", "muxed", False, 9.5, "hls_segments", "mp4"), ("live", "muxed", True, 9.5, "hls_segments", "mp4")}
     assert sorted(r.height for r in pipelines.variants_from_corpus(corpus).collect() if r.source_id == "d") == [10, 20]
 
 

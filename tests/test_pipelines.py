@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from mediasift.plans import pipelines
+from mediasift.fixtures import hls as H
+from mediasift.operators import events, hls
+from mediasift.plans import pipelines, table_functions
 from mediasift.sinks import writers
 from mediasift.sources import readers
 from mediasift.streaming import live
 from mediasift.streaming.running import drain
 
+SF = "/root/testdata/sf0.001"
 MASTER = '#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=5,RESOLUTION=10x20\nv.m3u8\n#EXT-X-SESSION-KEY:METHOD=SAMPLE-AES,KEYFORMAT="com.widevine"\n'
 MPD = '<MPD><Period><AdaptationSet contentType="audio"><Representation id="a" bandwidth="9"/></AdaptationSet></Period></MPD>'
 
@@ -36,3 +39,39 @@ def test_report_and_log_tail(spark, tmp_path):
     (tmp_path / "logs" / "app-2024-01-01.log").write_text("00:00:01.000  DEBUG  a  x\n00:00:02.000  WARN   b  y\n")
     tail = drain(live.stream_log(spark, str(tmp_path / "logs"), "WARN")).collect()
     assert [(r.level, r.message) for r in tail] == [("WARN", "y")]
+
+
+def test_charsets_and_broken_bytes(spark):
+    rows = [(1, None, b"a\xffb"), (2, ' "windows-1252" ', b"\x80"), (3, "shift_jis", "テ".encode("shift_jis") + b"\x81"), (4, "base64", b"YQ=="), (5, "utf-16", "x".encode("utf-16")),
+            (6, "", "\ufeffok".encode()), (7, "latin1", b"\xe9"), (8, "us-ascii", b"a\xe9"), (9, "utf-8", None), (10, "x" * 300, b"ok")]
+    got = {r.i: r.body for r in readers.decode_manifest(spark.createDataFrame(rows, "i INT, charset STRING, content BINARY")).collect()}
+    assert got == {1: "a\ufffdb", 2: "€", 3: "テ\ufffd", 4: "YQ==", 5: "x", 6: "ok", 7: "é", 8: "a\ufffd", 9: None, 10: "ok"}
+
+
+def test_table_functions_are_the_operators(spark):
+    corpus = H.corpus(spark, SF)
+    table_functions.register_table_functions(spark, corpus)
+    assert spark.sql("SELECT count(*) FROM hls_parts()").first()[0] == hls.hls_parts(H.media(spark, SF)).count()
+    one = H.media(spark, SF).select("manifest_id").first()[0]
+    want = hls.hls_parts(H.media(spark, SF)).filter(F.col("manifest_id") == one).count()
+    assert spark.sql(f"SELECT count(*) FROM hls_parts('{one}')").first()[0] == want > 0
+    assert spark.sql("SELECT count(*) FROM hls_parts('absent')").first()[0] == 0
+
+
+def test_tags_of_long_pages_and_late_headers(spark):
+    """A running depth over 50,000 tags; the last request and extra headers of an id, wherever they stand."""
+    html = "<source src='http://x/no.mp4'>" + "".join(f"<video src='http://x/{i}.mp4'><source src=\"http://x/s{i}.webm\"></video>" for i in range(16_000)) + "<source src='http://x/no2.mp4'>"
+    pages = spark.createDataFrame([(1, "http://x/", html), (1, "http://x/", html), (None, "http://y/", "<audio><source src=a.mp3></audio>")], "page_id LONG, url STRING, html STRING")
+    found = events.html_media_elements(pages)
+    assert found.count() == 32_001 and found.filter(F.col("src").contains("no")).count() == 0
+
+    def event(seq, method, params):
+        return (1, seq, None, method, params)
+
+    rows = [event(1, "Network.responseReceived", '{"requestId":"r","response":{"url":"http://x/a.mp4","mimeType":"video/mp4","headers":{}}}'),
+            event(2, "Network.requestWillBeSent", '{"requestId":"r","request":{"url":"http://x/a.mp4","headers":{"Cookie":"old"}}}'),
+            event(4, "Network.requestWillBeSentExtraInfo", '{"requestId":"r","headers":{"cookie":"new"}}'),
+            event(3, "Network.requestWillBeSentExtraInfo", '{"requestId":"r","headers":{"cookie":"mid"}}'),
+            event(5, "Network.responseReceived", '{"requestId":"alone","response":{"url":"http://x/b.mp4","headers":{}}}')]
+    got = events.correlate_requests(events.parse_net_events(spark.createDataFrame(rows, events.EVENT_SCHEMA)))
+    assert sorted((r.request_id, r.cookie) for r in got.collect()) == [("alone", None), ("r", "new")]
