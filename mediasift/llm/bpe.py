@@ -48,9 +48,32 @@ def characters(category: str) -> str:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
+    return ranged(ranges)
+
+
+# Code points of Unicode 16 that the tokenizer's library knows and the tables of Python 3.13 do not, as
+# ranges of letters, of numbers, and of capitals (first, last, distance to the small letter; two are of Unicode 17).
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+)
+NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+
+
+def ranged(ranges) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
+SMALL = {code: code + away for first, last, away in NEW_CAPITALS for code in range(first, last + 1)}
+CAPITAL = re.compile(f"[{ranged((a, b) for a, b, _ in NEW_CAPITALS)}]")
+
 # Characters that Python takes for white space and the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -260,7 +283,7 @@ class Tokenizer:
         self.merges = Merges(definition)
         special = sorted(self.merges.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        letters, numbers = characters("L"), characters("N")
+        letters, numbers = characters("L") + ranged(NEW_LETTERS), characters("N") + ranged(NEW_NUMBERS)
         self.words = re.compile(f"[{letters}]+|[{numbers}]|{CONTRACTIONS}|[^{SPACE}{letters}{numbers}]+")
         self.runs = re.compile(f"[^{SPACE}]+")
         self.remembered = _Remembered(self)
@@ -279,6 +302,8 @@ class Tokenizer:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
+            if CAPITAL.search(text):
+                text = text.translate(SMALL)
             text = text.replace("Σ", "σ")  # characters are lower-cased one at a time: a closing sigma like any other
         text = text.lower()
         return text.split() if text.isprintable() or not SEPARATORS.search(text) else self.runs.findall(text)

@@ -77,3 +77,14 @@ def test_operators(spark, both):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.round_trip(df.limit(0), path).count() == 0
     assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).first().text == ""
+
+
+def test_every_code_point_alone_and_between_letters(both):
+    """All but private ones and halves of surrogate pairs; most scripts by a sample, what Unicode 16 added whole."""
+    library, own = both
+    added = [c for a, b in bpe.NEW_LETTERS + bpe.NEW_NUMBERS + tuple((a, b) for a, b, _ in bpe.NEW_CAPITALS) for c in range(a, b + 1)]
+    codes = sorted({*range(0x3000), *range(0xA000, 0xD800, 3), *range(0xE000 + 6400, 0x20000, 7), *added})
+    for form in ("{}", "a{}b", "{0}{0} 1{0}"):
+        texts = [form.format(chr(c)) for c in codes]
+        for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert own.encode(text) == found.ids, ascii(text)
