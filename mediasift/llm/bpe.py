@@ -194,9 +194,13 @@ class Encoder:
         self.merges, self.block, self.held = merges, block, b""
 
     def feed(self, data: bytes):
+        """The tokens that have become stable; while less than a block is held there are none."""
         if len(self.held) + len(data) < self.block:
             self.held += data
-            return
+            return ()
+        return self._fed(data)
+
+    def _fed(self, data: bytes):
         for at in range(0, len(data), self.block):
             self.held += data[at : at + self.block]
             if len(self.held) >= self.block + self.merges.lookahead:
@@ -212,11 +216,14 @@ class Encoder:
             yield token
         self.held = self.held[done:]
 
-    def finish(self):
-        if self.held:
-            *most, last = self.held
-            yield from self.merges.merge([*(self.merges.byte[b] for b in most), self.merges.last_byte[last]])
-        self.held = b""
+    def finish(self) -> list[int]:
+        """The tokens of what is held, which ends the word; the encoder is as new."""
+        held, self.held = self.held, b""
+        if not held:
+            return []
+        tokens = [self.merges.byte[b] for b in held]
+        tokens[-1] = self.merges.last_byte[held[-1]]
+        return self.merges.merge(tokens)
 
 
 class Decoder:
