@@ -94,6 +94,24 @@ def test_a_run_of_millions_is_counted_out(spark):
     df = spark.createDataFrame([("d", "https://h.com/d.mpd", mpd)], "manifest_id STRING, url STRING, body STRING")
     parts = dash.dash_segments(dash.dash_representations(dash.parse_manifests(df)))
     assert tuple(parts.agg(F.count("*"), F.min("ordinal"), F.max("ordinal"), F.countDistinct("ordinal")).first()) == (3_000_000, 0, 2_999_999, 3_000_000)
+    shares = [r.n for r in parts.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(shares) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(shares) < 1_500_000
+
+
+def test_short_and_long_runs_of_one_timeline(spark, monkeypatch):
+    monkeypatch.setattr(dash, "RUN_BLOCK", 4)
+    monkeypatch.setattr(dash, "RUNS_TOGETHER", 2)
+    repeats = [0, 3, 4, 11, -1, 7, 2, 0, 0, 12]
+    s = "".join(f'<S d="{i + 1}" r="{r}"/>' for i, r in enumerate(repeats))
+    mpd = f'<MPD type="static"><Period><AdaptationSet><SegmentTemplate initialization="i.mp4" media="$Number$-$Time$.m4s"><SegmentTimeline>{s}</SegmentTimeline></SegmentTemplate><Representation id="a" bandwidth="9"/></AdaptationSet></Period></MPD>'
+    df = spark.createDataFrame([("d", "https://h.com/d.mpd", mpd)], "manifest_id STRING, url STRING, body STRING")
+    expected, clock = [(-1, "https://h.com/i.mp4", True)], 0
+    for i, r in enumerate(repeats):
+        for _ in range(max(r, 0) + 1):
+            expected.append((len(expected) - 1, f"https://h.com/{len(expected)}-{clock}.m4s", False))
+            clock += i + 1
+    parts = dash.dash_segments(dash.dash_representations(dash.parse_manifests(df)))
+    assert sorted(tuple(r) for r in parts.select("ordinal", "uri", "is_init").collect()) == expected
 
 
 FETCHES = "host STRING, ts TIMESTAMP, route STRING, status INT, headers MAP<STRING,STRING>, request_id INT, attempt INT, retry_after_s INT"
