@@ -1,8 +1,9 @@
 """Exact dedup: equal texts are found by a 128-bit content hash and then compared byte by byte.
 
 Only built-in expressions. Rows are counted per hash (partial sums in every map task, so a group that holds a third
-of the rows sends one row per task); texts move once, and only into a join with the few hashes that occur twice, which
-adaptive execution splits when one of them is hot. Hashes whose texts differ are grouped again by the texts themselves.
+of the rows sends one row per task); texts move once, into a join with the hashes that occur twice, and the least and the
+greatest text of a hash are compared, by map tasks first where a hash has very many rows. Hashes whose texts differ are
+grouped again by the texts themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty, write_out
 
+MOST_TOGETHER = 20_000  # rows of one hash that are compared in one task
+
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else. For text of one-byte characters that is ``lower``, which is much faster."""
@@ -40,7 +43,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     prints = write_out(rows.select("doc_id", "h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")))
     groups = write_out(prints.groupBy("h").agg(stays("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")))
-    collided = write_out(_collided(rows, groups.where("n > 1"), keep).select("h").distinct())
+    collided = write_out(_collided(rows, groups.where("n > 1")))
 
     found = prints.join(groups, "h")
     if not collided.isEmpty():
@@ -58,15 +61,21 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-def _collided(rows: DataFrame, repeated: DataFrame, keep: str) -> DataFrame:
-    """Rows whose bytes differ from those of the row that stays for the same hash.
+def _collided(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Hashes under which not all bytes are equal: the least and the greatest text of the hash differ.
 
-    The comparison with ``keep`` is an inequality, so both uses of ``rows`` are dealt by the hash alone and share one shuffle.
+    The aggregation is dealt by the hash like the join below it, so texts move once. Hashes of more than ``MOST_TOGETHER``
+    rows are few (at most one in so many rows) and take a join of their own, which Spark broadcasts by the size of their
+    written table: map tasks then send two texts of such a hash and no group meets in one task.
     """
-    members = rows.join(repeated, "h")
-    better = F.col("doc_id") <= F.col("keep") if keep == "smallest" else F.col("doc_id") >= F.col("keep")
-    kept_text = members.where(better | F.col("keep").isNull()).groupBy("h").agg(F.min("norm").alias("kept_norm"))
-    return members.join(kept_text, "h").where(F.col("norm") != F.col("kept_norm"))
+
+    def unequal(hashes: DataFrame) -> DataFrame:
+        texts = rows.join(hashes.select("h"), "h").groupBy("h").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+        return texts.where(F.col("least") != F.col("greatest")).select("h")
+
+    crowded = write_out(repeated.where(F.col("n") > MOST_TOGETHER))
+    found = unequal(repeated.where(F.col("n") <= MOST_TOGETHER))
+    return found if crowded.isEmpty() else found.unionByName(unequal(crowded))
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest") -> DataFrame:

@@ -45,6 +45,13 @@ def test_colliding_hashes_are_told_apart_by_bytes(spark):
         assert Counter(map(tuple, got.collect())) == expected(ROWS, keep == "largest")
 
 
+def test_crowded_hashes_are_compared_by_map_tasks(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_TOGETHER", 1)
+    for hashed in (exact_dedup.content_hash, lambda text: F.unhex(F.substring(F.md5(F.substring(text, 1, 1).cast("binary")), 1, 1))):
+        got = exact_dedup.exact_groups(docs(spark, ROWS), hashed=hashed)
+        assert Counter(map(tuple, got.collect())) == expected(ROWS, False)
+
+
 def test_dropping_copies_keeps_columns_and_null_ids(spark):
     left = exact_dedup.drop_copies(docs(spark, ROWS), keep="largest")
     assert left.columns == ["doc_id", "text", "h", "norm", "keep"]
