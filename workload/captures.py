@@ -12,6 +12,7 @@ from mediasift.operators import registry as R
 from mediasift.operators import reports as P
 
 from .registry import query
+from .traffic import CANDIDATES, KEY
 
 R_CTE = f"r AS ({T.RESPONSES_SQL.format(events='events')})"
 
@@ -34,15 +35,15 @@ def correlate_requests(spark, sf_dir):
     )
 
 
-@query("refresh_requests", f"""WITH {R_CTE}
-SELECT concat('https://cdn', page_id % 4, '.example.com/v', page_id % 7, '/master.m3u8?q=', request_id % 3) AS candidate_key,
- arg_max(concat('c=', request_id), request_id) FILTER (request_id % 11 <> 0) AS cookie
-FROM r WHERE request_id % 19 <> 0 AND event_type = 'view' GROUP BY 1 HAVING count(*) FILTER (request_id % 11 <> 0) > 0""")
+@query("refresh_requests", f"""WITH {R_CTE},
+seen AS (SELECT {KEY} AS candidate_key, arg_max(concat('c=', request_id), request_id) FILTER (request_id % 11 <> 0) AS cookie
+ FROM r WHERE request_id % 19 <> 0 AND event_type <> 'click' GROUP BY 1)
+SELECT candidate_key, hit_count, seen.cookie FROM ({CANDIDATES}) AS c LEFT JOIN seen USING (candidate_key)""")
 def refresh_requests(spark, sf_dir):
-    rows = T.responses(spark, sf_dir).filter("event_type = 'view'").withColumn("cookie", F.lit(None).cast("string"))
+    rows = T.responses(spark, sf_dir).withColumn("cookie", F.lit(None).cast("string"))
     found = R.candidates(R.filter_candidates(R.classify_observations(rows)))
     seen = E.correlate_requests(E.parse_net_events(C.net_events(spark, sf_dir)))
-    return E.refresh_requests(found, seen).filter("cookie is not null").select("candidate_key", "cookie")
+    return E.refresh_requests(found, seen).select("candidate_key", "hit_count", "cookie")
 
 
 @query("dom_elements", f"""WITH {R_CTE} SELECT page_id, seq, url, page_title, page_url FROM r WHERE event_type = 'purchase' AND seq % 29 <> 0""")
@@ -124,25 +125,75 @@ def download_outcomes(spark, sf_dir):
     return outcomes.select("name", "attempts", "outcome", F.col("best.bytes").alias("best_bytes"))
 
 
-@query("detection_report", f"""WITH {SEEN}
-SELECT k AS section, 1 AS part, ordinal AS item, concat('| ', kind_label, ' | ', CASE WHEN drm THEN CASE WHEN ordinal % 26 = 0 THEN 'DRM: Widevine' ELSE 'DRM: unknown' END WHEN variants > 0 THEN CAST(variants AS VARCHAR)
+def numbered(lines: list[tuple[int, str]], columns: str, source: str) -> str:
+    """A row per line of every row of ``source``; a line that is NULL is none."""
+    rows = " UNION ALL ".join(f"SELECT {columns}, {n} AS line_no, {text} AS line FROM {source}" for n, text in lines)
+    return f"SELECT * FROM ({rows}) WHERE line IS NOT NULL"
+
+
+DETECTION_LINES = [
+    (0, "''"), (1, "concat('## ', CASE outcome WHEN 'passed' THEN '[ok]' WHEN 'failed' THEN '[failed]' ELSE '[error]' END, ' ', name)"), (2, "''"),
+    (3, "concat('- Page: `https://site.example.com/', k, '?token=[redigido]`')"),
+    (4, """concat('- Expected: ', CASE expectation WHEN 'stream' THEN 'an HLS or DASH manifest' WHEN 'file' THEN 'a progressive file'
+ WHEN 'video' THEN 'a video: file, manifest, or extracted page' WHEN 'drm_refusal' THEN 'recognise the DRM and refuse' ELSE 'any downloadable media' END)"""),
+    (5, """concat('- Result: ', CASE WHEN outcome = 'error' THEN CASE WHEN k = 7 THEN 'budget spent' WHEN k IN (0, 8) THEN 'navigation failed' ELSE 'the player never started' END
+ ELSE concat(CASE WHEN ok THEN CASE expectation WHEN 'stream' THEN 'manifest detected' WHEN 'video' THEN 'video detected' WHEN 'file' THEN 'progressive file detected'
+  WHEN 'drm_refusal' THEN 'DRM recognised and refused' ELSE 'media detected' END
+ WHEN expectation = 'stream' THEN 'no HLS or DASH manifest appeared' WHEN expectation = 'video' AND n > 0 THEN 'only media that is no video appeared'
+ WHEN expectation = 'file' THEN 'no progressive file appeared' WHEN expectation = 'drm_refusal' AND n = 0 THEN 'nothing detected, so refusal is not shown'
+ WHEN expectation = 'drm_refusal' THEN 'media detected without recognising protection' ELSE 'no media detected' END, CASE WHEN kinds IS NULL THEN '' ELSE concat(' (', kinds, ')') END) END)"""),
+    (6, "concat('- Time: ', printf('%.1f', k * 1.5::DOUBLE), 's')"),
+    (7, "CASE WHEN n > 0 THEN '' END"), (8, "CASE WHEN n > 0 THEN '| Kind | Qualities | Size | URL |' END"), (9, "CASE WHEN n > 0 THEN '| --- | --- | --- | --- |' END"),
+]
+DETECTION_HEAD = [
+    (0, "'# Detection check'"), (1, "''"), (2, "'run 1'"), (3, "''"),
+    (4, "concat('**', passed, ' of ', total, '** targets passed.')"),
+]
+
+
+@query("detection_report", f"""WITH {SEEN}, g AS (SELECT target, kind_label, count(*) AS c, min(ordinal) AS first FROM o GROUP BY 1, 2),
+l AS (SELECT target, string_agg(CASE WHEN c = 1 THEN kind_label ELSE concat(kind_label, ' x', c) END, ', ' ORDER BY first) AS kinds FROM g GROUP BY 1),
+totals AS (SELECT count(*) FILTER (outcome = 'passed') AS passed, count(*) AS total FROM verdicts),
+d AS (SELECT verdicts.*, kinds FROM verdicts LEFT JOIN l ON target = name)
+SELECT k AS section, 1 AS part, ordinal AS item, 0 AS line_no, concat('| ', kind_label, ' | ', CASE WHEN drm THEN CASE WHEN ordinal % 26 = 0 THEN 'DRM: Widevine' ELSE 'DRM: unknown' END WHEN variants > 0 THEN CAST(variants AS VARCHAR)
  WHEN ordinal % 8 = 0 THEN 'failed at https://h/x?token=[redigido]' ELSE '-' END, ' | ',
  CASE WHEN ordinal % 3 = 0 THEN '-' WHEN ordinal < 512 THEN concat(ordinal * 2, ' KB') ELSE concat(regexp_replace(printf('%.1f', round(ordinal / 512.0::DOUBLE, 1)), '\\.0$', ''), ' MB') END,
  ' | `https://cdn.example.com/', ordinal, '?sig=[redigido]&n=1` |') AS line FROM o JOIN t ON name = target
-UNION ALL SELECT k, 0, 0, concat('- Page: `https://site.example.com/', k, '?token=[redigido]`') FROM t
-UNION ALL SELECT -1, 0, 0, concat('**', count(*) FILTER (outcome = 'passed'), ' of ', count(*), '** targets passed.') FROM verdicts""")
+UNION ALL {numbered(DETECTION_LINES, "k AS section, 0 AS part, 0 AS item", "d")}
+UNION ALL {numbered(DETECTION_HEAD, "-1 AS section, 0 AS part, 0 AS item", "totals")}""")
 def detection_report(spark, sf_dir):
     lines = P.render_detection_report(verdicts(spark, sf_dir), C.observations(spark, sf_dir), "run 1")
-    shown = (F.col("part") == 1) | F.col("line").startswith("- Page") | F.col("line").startswith("**")
-    return lines.filter(shown).select("section", "part", "item", "line")
+    return lines.select("section", "part", "item", "line_no", "line")
+
+
+def moved(ordinal: str) -> str:
+    """The label of ``ordinal`` times 4096 bytes."""
+    return f"CASE WHEN {ordinal} >= 256 THEN printf('%.1f MB', round({ordinal} / 256.0::DOUBLE, 1)) ELSE printf('%.1f KB', {ordinal} * 4.0::DOUBLE) END"
+
+
+ATTEMPT_HEAD = [
+    (0, "'# Download check, run 1'"), (1, "''"), (2, "concat(passed, '/', total, ' downloaded')"), (3, "''"),
+    (4, "'| Target | Result | Via | Bytes | Error |'"), (5, "'| --- | --- | --- | --- | --- |'"),
+]
+ATTEMPT_SECTION = [(0, "''"), (1, "concat('## ', name)"), (2, "''"), (3, "concat('- Page: `https://site.example.com/', k, '?token=abc`')")]
+ATTEMPT_ITEM = [
+    (0, f"""concat('- ', result, ', ', kind, ' via ', CASE WHEN ordinal % 2 = 0 THEN 'native' ELSE '-' END, ', 720p, ', {moved("ordinal")}, ' in ', ordinal % 50,
+ 's, `https://cdn.example.com/', ordinal, '?sig=[redigido]&n=1`')"""),
+    (1, "CASE WHEN result = 'failed' THEN '  - error: a\\|b c' END"),
+]
 
 
 @query("attempt_report", f"""WITH {SEEN}, a AS (SELECT target, min(ordinal) FILTER (ordinal % 5 = 0 OR ordinal % 7 = 0) AS hit, min(ordinal) AS head FROM o GROUP BY 1),
-f AS (SELECT k, name, coalesce(hit, head) AS best, hit, head FROM t LEFT JOIN a ON name = target)
-SELECT k AS item, concat('| ', name, ' | ', CASE WHEN head IS NULL THEN 'no_candidate' WHEN hit IS NULL THEN 'failed' WHEN hit % 5 = 0 THEN 'downloaded' ELSE 'downloading' END,
- ' | ', CASE WHEN best % 2 = 0 THEN 'native' ELSE '-' END, ' | ', CASE WHEN best IS NULL THEN '-' WHEN best >= 256 THEN printf('%.1f MB', round(best / 256.0::DOUBLE, 1)) ELSE printf('%.1f KB', best * 4.0::DOUBLE) END,
- ' | ', CASE WHEN head IS NOT NULL AND hit IS NULL THEN 'a\\|b c' ELSE '-' END, ' |') AS line FROM f""")
+f AS (SELECT k, name, coalesce(hit, head) AS best, hit, head FROM t LEFT JOIN a ON name = target), tried AS (SELECT * FROM f WHERE head IS NOT NULL),
+totals AS (SELECT count(hit) AS passed, count(*) AS total FROM f),
+i AS (SELECT o.*, k, CASE WHEN ordinal % 5 = 0 THEN 'downloaded' WHEN ordinal % 7 = 0 THEN 'downloading' ELSE 'failed' END AS result FROM o JOIN t ON name = target)
+SELECT -1 AS section, 0 AS part, k AS item, 0 AS line_no, concat('| ', name, ' | ', CASE WHEN head IS NULL THEN 'no_candidate' WHEN hit IS NULL THEN 'failed' WHEN hit % 5 = 0 THEN 'downloaded' ELSE 'downloading' END,
+ ' | ', CASE WHEN best % 2 = 0 THEN 'native' ELSE '-' END, ' | ', CASE WHEN best IS NULL THEN '-' ELSE {moved("best")} END,
+ ' | ', CASE WHEN head IS NOT NULL AND hit IS NULL THEN 'a\\|b c' ELSE '-' END, ' |') AS line FROM f
+UNION ALL {numbered(ATTEMPT_HEAD, "-2 AS section, 0 AS part, 0 AS item", "totals")}
+UNION ALL {numbered(ATTEMPT_SECTION, "k AS section, 0 AS part, 0 AS item", "tried")}
+UNION ALL {numbered(ATTEMPT_ITEM, "k AS section, 1 AS part, ordinal AS item", "i")}""")
 def attempt_report(spark, sf_dir):
     outcomes = D.download_outcomes(C.targets(spark, sf_dir), C.attempts(spark, sf_dir))
     lines = P.render_attempt_report(outcomes, C.attempts(spark, sf_dir), "run 1")
-    return lines.filter("section = -1").select("item", "line")
+    return lines.select("section", "part", "item", "line_no", "line")

@@ -67,17 +67,17 @@ outer_s AS (SELECT l_orderkey AS k FROM lineitem GROUP BY 1)
 SELECT concat('outer-', o.k) AS manifest_id, s.uri AS playlist_uri, s.bandwidth AS nested_bandwidth
 FROM outer_s o JOIN s ON s.manifest_id = concat('master-', o.k) AND s.k = 1
 UNION ALL SELECT concat('outer-', o.k), concat('https://cdn.example.com/o/', o.k, '/master.m3u8?t=1'), NULL FROM outer_s o
- WHERE concat('master-', o.k) NOT IN (SELECT manifest_id FROM s)""")
+ WHERE concat('master-', o.k) NOT IN (SELECT manifest_id FROM s)
+UNION ALL SELECT manifest_id, uri, NULL FROM s""")
 def nested_best(spark, sf_dir):
-    """A master over every master: its only stream is itself a master."""
+    """All streams of all masters and of a master over each of them, whose only stream is itself a master."""
     inner = H.masters(spark, sf_dir)
     outer = inner.select(
         F.regexp_replace("manifest_id", "master", "outer").alias("manifest_id"), F.concat("url", F.lit("&outer=1")).alias("url"),
         F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=1\nmaster.m3u8?t=1\n").alias("body"),
     )
     variants = P.hls_master_variants(inner.select("manifest_id", "url", "body").unionByName(outer))
-    best = P.nested_best(variants, inner)
-    return best.filter(F.col("manifest_id").startswith("outer")).select("manifest_id", "playlist_uri", "nested_bandwidth")
+    return P.nested_best(variants, inner).select("manifest_id", "playlist_uri", "nested_bandwidth")
 
 
 LISTED = f"""v AS (SELECT source_id, variant_id, track, 'hls_segments' AS delivery, container, height, bandwidth, NULL::DOUBLE AS duration_seconds, 0 AS is_live, section * 1000000 + ordinal AS place FROM ({ORACLES["hls_resolve"]})

@@ -14,7 +14,7 @@ from mediasift.operators import inspection as N
 from mediasift.operators import jobs as J
 from mediasift.operators import variants as V
 
-from .registry import query
+from .registry import ORACLES, query
 
 R_CTE = f"r AS ({T.RESPONSES_SQL.format(events='events')})"
 J_CTE = f"j0 AS ({D.JOBS_SQL.format(events='events')})"
@@ -124,19 +124,16 @@ def pair_audio(spark, sf_dir):
     return V.pair_audio(V.videos_of(rows), V.audios_of(rows)).select("source_id", "ordinal", "track", "audio_id")
 
 
-@query("pair_audio_groups", """
-SELECT concat('master-', l_orderkey) AS source_id, count(*) AS videos, count(*) FILTER (l_returnflag = 'N') AS paired,
- CASE WHEN count(*) FILTER (l_returnflag = 'N') > 0 THEN 'English, main 6ch (default)' END AS audio_name
-FROM lineitem WHERE l_partkey % 7 <> 0 AND (l_returnflag <> 'R' OR l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 7 <> 0 AND l_returnflag <> 'R'))
-GROUP BY l_orderkey""")
+@query("pair_audio_groups", f"""
+SELECT source_id, section * 1000 + ordinal AS ordinal, track, audio_group, CASE WHEN track = 'video_only' THEN 'English, main 6ch (default)' END AS audio_name
+FROM ({ORACLES["hls_resolve"]}) WHERE track IN ('muxed', 'video_only')""")
 def pair_audio_groups(spark, sf_dir):
+    """All videos of all masters beside all audio: renditions of a group and streams without one."""
     masters = H.masters(spark, sf_dir)
     rows = P.hls_resolve(P.hls_master_variants(masters), P.hls_renditions(masters))
     rows = V.conform(rows.withColumn("ordinal", F.col("section") * 1000 + F.col("ordinal")).withColumn("variant_id", F.coalesce("name", "variant_id")))
-    paired = V.pair_audio(V.videos_of(rows), V.audios_of(rows).filter("audio_group = 'aud'"))
-    return paired.groupBy("source_id").agg(
-        F.count("*").alias("videos"), F.count("audio_id").alias("paired"), F.max("audio_id").alias("audio_name")
-    )
+    paired = V.pair_audio(V.videos_of(rows), V.audios_of(rows))
+    return paired.select("source_id", "ordinal", "track", "audio_group", F.col("audio_id").alias("audio_name"))
 
 
 @query("describe_sources", f"""WITH {FORMATS},
