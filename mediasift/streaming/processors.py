@@ -1,6 +1,6 @@
 """Streams on the state API of Spark 4.
 
-Each is a ``StatefulProcessor``: typed value and list state per key, held in the state store, and an event-time timer that
+Each is a ``StatefulProcessor``: state per key, or per bucket of keys where they are many, and an event-time timer that
 gives a key up ``ttl_ms`` after its last row, so state is bounded and a replay gives the same result. The state store must
 be RocksDB: ``running.drain`` starts streams with it, other callers set
 ``spark.sql.streaming.stateStore.providerClass`` before they start the query.
@@ -8,6 +8,8 @@ be RocksDB: ``running.drain`` starts streams with it, other callers set
 
 from __future__ import annotations
 
+import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,7 @@ from ..functions import text as X
 from ..operators import events as E
 
 DAY_MS = 24 * 3600 * 1000
+BUCKETS = 512
 TERMINAL = ("completed", "failed", "canceled")
 
 
@@ -79,38 +82,116 @@ class Forgetting(StatefulProcessor):
         pass
 
 
+class Bucketed(StatefulProcessor):
+    """A processor for keys that are many and small: a bucket of keys is one row of state, read and written once a batch.
+
+    Each call of the state API goes over a socket, so calls per bucket are few where calls per key would be millions. The
+    values of a key are a list that starts with the time the key ends, ``ttl_ms`` after its last row; a key that has ended is
+    dropped by the bucket's timer, or when rows come to its bucket. ``buckets`` holds for the life of a checkpoint.
+    """
+
+    SCHEMA = ""
+    KEYS: tuple[str, ...] = ()
+    BLANK: tuple = ()  # values of a new key
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "timer BIGINT, entries STRING")
+
+    def step(self, key: tuple, row: tuple, values: list, out: list[tuple]) -> None:
+        """Fold one row into ``values`` (in place) and append what goes out to ``out``."""
+        raise NotImplementedError
+
+    def _load(self) -> tuple[int | None, dict[tuple, list]]:
+        held = self.held.get()
+        if held is None:
+            return None, {}
+        n = len(self.KEYS)
+        return held[0], {tuple(e[:n]): e[n:] for e in json.loads(held[1])}
+
+    def _keep(self, timer: int | None, entries: dict[tuple, list], now: int) -> None:
+        """Hold what has not ended, and see to it that the first end is noticed."""
+        live = [[*key, *values] for key, values in entries.items() if values[0] > now]
+        if not live:
+            self.held.clear()
+            return
+        first = min(e[len(self.KEYS)] for e in live)
+        if timer is None or first < timer:
+            self.handle.registerTimer(first)
+            timer = first
+        self.held.update((timer, json.dumps(live)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ordered = _in_order(rows)
+        now = timerValues.getCurrentWatermarkInMs()
+        ends = ((ordered["ts"] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)).fillna(0).astype("int64").clip(lower=now) + self.ttl_ms
+        columns = [c for c in ordered.columns if c != "ts" and not c.startswith("_")]
+        values = [ordered[c].astype(object).where(ordered[c].notna(), None).tolist() for c in columns]
+        places = [columns.index(k) for k in self.KEYS]
+        record = namedtuple("record", columns)
+        timer, entries = self._load()
+        out: list[tuple] = []
+        for end, row in zip(ends.tolist(), map(record._make, zip(*values, strict=True)), strict=True):
+            of = tuple(int(row[i]) if isinstance(row[i], float) else row[i] for i in places)
+            held = entries.get(of)
+            if held is None:
+                held = entries[of] = [end, *self.BLANK]
+            elif end > held[0]:
+                held[0] = end
+            self.step(of, row, held, out)
+        self._keep(timer, entries, now)
+        if out:
+            fields = [c.split() for c in self.SCHEMA.split(", ")]
+            frame = pd.DataFrame(out, columns=[name for name, _ in fields])
+            yield frame.astype({name: "Int64" for name, kind in fields if kind == "BIGINT"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        timer, entries = self._load()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        if entries:
+            self._keep(timer if timer is not None and timer > fired else None, entries, max(fired, timerValues.getCurrentWatermarkInMs()))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _run_bucketed(df: DataFrame, processor: Bucketed, late: str, buckets: int) -> DataFrame:
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*processor.KEYS), F.lit(buckets)).cast("int")).withWatermark("ts", late)
+    return dealt.groupBy("_bucket").transformWithStateInPandas(processor, processor.SCHEMA, "Update", "eventTime")
+
+
 def _run(df: DataFrame, keys: list[str], processor: Forgetting, schema: str, late: str) -> DataFrame:
     return df.withWatermark("ts", late).groupBy(*keys).transformWithStateInPandas(processor, schema, "Update", "eventTime")
 
 
-class Refresh(Forgetting):
-    """The parts of one request; a response goes out when it comes, and again when extra headers come after it."""
+class Refresh(Bucketed):
+    """The parts of requests; a response goes out when it comes, and again when extra headers come after it."""
 
     SCHEMA = "visit_id BIGINT, request_id STRING, seq BIGINT, url STRING, mime_type STRING, content_length BIGINT, cookie STRING, refreshed BOOLEAN"
+    KEYS = ("visit_id", "request_id")
+    # url, cookie, extra_known, extra_cookie; of the response: seq, url, mime_type, length
+    BLANK = (None, None, False, None, None, None, None, None)
+
+    def step(self, key, row, values, out):
+        _, url, cookie, extra_known, extra_cookie, seq, r_url, mime, length = values
+        late = False
+        if row.event == "request":
+            url, cookie = row.url, row.cookie
+        elif row.event == "extra":
+            extra_known, extra_cookie, late = bool(row.has_cookie), row.cookie, seq is not None
+        else:
+            seq, r_url, mime = int(row.seq), row.url or url, row.mime_type
+            length = None if row.content_length is None else int(row.content_length)
+        values[1:] = (url, cookie, extra_known, extra_cookie, seq, r_url, mime, length)
+        if row.event == "response" or late:
+            out.append((*key, seq, r_url, mime, length, extra_cookie if extra_known else cookie, late))
 
-    STATE = "url STRING, cookie STRING, extra_known BOOLEAN, extra_cookie STRING, seq BIGINT, r_url STRING, mime_type STRING, length BIGINT"
 
-    def step(self, key, rows, held):
-        url, cookie, extra_known, extra_cookie, seq, r_url, mime, length = held or (None, None, False, None, *[None] * 4)
-        out = []
-        for row in rows.itertuples(index=False):
-            late = False
-            if row.event == "request":
-                url, cookie = _plain(row.url), _plain(row.cookie)
-            elif row.event == "extra":
-                extra_known, extra_cookie, late = bool(row.has_cookie), _plain(row.cookie), seq is not None
-            else:
-                seq, r_url, mime, length = int(row.seq), _plain(row.url) or url, _plain(row.mime_type), _plain(row.content_length)
-                length = None if length is None else int(length)
-            if row.event == "response" or late:
-                out.append((*key, seq, r_url, mime, length, extra_cookie if extra_known else cookie, late))
-        values = (url, cookie, extra_known, extra_cookie, seq, r_url, mime, length)
-        if not out:
-            return None, values
-        return pd.DataFrame(out, columns=[c.split()[0] for c in self.SCHEMA.split(", ")]).astype({"content_length": "Int64"}), values
-
-
-def stream_refresh(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
+def stream_refresh(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """M2: emits a response when it comes, and again when its extra headers come later.
 
     ``events`` are parsed by ``parse_net_events``; ends of loading are not needed, as state expires.
@@ -126,7 +207,7 @@ def stream_refresh(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour"
         F.coalesce(F.map_contains_key(headers, F.lit("cookie")), F.lit(False)).alias("has_cookie"),
         F.try_element_at(headers, F.lit("cookie")).alias("cookie"), F.col("p.response.mimeType").alias("mime_type"), length.alias("content_length"),
     )
-    return _run(rows, ["visit_id", "request_id"], Refresh(ttl_ms), Refresh.SCHEMA, late)
+    return _run_bucketed(rows, Refresh(ttl_ms), late, buckets)
 
 
 class Protection(Forgetting):
@@ -182,54 +263,37 @@ def stream_protection(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 ho
     return _run(events, ["visit_id", "family"], Protection(ttl_ms), Protection.SCHEMA, late)
 
 
-class Job(Forgetting):
-    """State, stage and highest tenth of one job; after a final state nothing goes out."""
+class Job(Bucketed):
+    """State, stage and highest tenth of jobs; after a final state nothing goes out."""
 
     SCHEMA = "job_id STRING, seq BIGINT, event STRING, detail STRING"
+    KEYS = ("job_id",)
+    BLANK = (None, None, -1)  # state, stage, decile
 
-    STATE = "state STRING, stage STRING, decile INT"
-
-    def step(self, key, rows, held):
-        state, stage, decile = held or (None, None, -1)
+    def step(self, key, row, values, out):
+        _, state, stage, decile = values
         if state in TERMINAL:
-            return None, held
-        rows = rows.astype({"state": object, "stage": object})
-        rows = rows.where(rows.notna(), None)
-        reported = rows["stage"].map(lambda s: None if s is None else "muxing" if s == "finalizing" else "downloading")
-        rows["now"] = rows["state"].where(rows["state"].notna(), reported)
-        rows["now"] = rows["now"].where(rows["now"].notna(), "downloading")
-        final = rows["now"].isin(TERMINAL)
-        if final.any():
-            rows = rows.loc[: final.idxmax()]
-        moved = rows["now"] != rows["now"].shift(fill_value=state)
-        states = rows.loc[moved, ["seq", "now"]].rename(columns={"now": "detail"}).assign(event="state", order=0)
-
-        staged = rows[rows["stage"].notna()].copy()
-        staged["decile"] = [-1 if _plain(f) is None else int(f * 10 + 1e-12) for f in staged["fraction"]]
-        opens = staged["stage"] != staged["stage"].shift(fill_value=stage)
-        run = opens.cumsum()
-        # The first run may go on from the batch before: its highest tenth counts.
-        floor = pd.Series(-2, index=staged.index).mask(run == 0, decile)
-        reached = staged.groupby(run)["decile"].transform(lambda d: d.shift().cummax()).astype("float64")
-        reached = reached.fillna(-2).clip(lower=floor)
-        rises = ~opens & (staged["decile"] > reached)
-        stages = staged.loc[opens, ["seq", "stage"]].rename(columns={"stage": "detail"}).assign(event="stage", order=1)
-        marks = staged.loc[rises, ["seq"]].assign(
-            detail=[f"{s} {d * 10}%" for s, d in zip(staged.loc[rises, "stage"], staged.loc[rises, "decile"], strict=True)], event="milestone", order=1)
-        if len(staged):
-            last = staged[run == run.iloc[-1]]
-            decile = max(int(last["decile"].max()), decile if run.iloc[-1] == 0 else -1)
-            stage = staged["stage"].iloc[-1]
-        values = (rows["now"].iloc[-1], stage, decile)
-        out = pd.concat([p for p in (states, stages, marks) if len(p)] or [states], ignore_index=True).sort_values(["seq", "order"], kind="stable")
-        return out.assign(job_id=key[0])[["job_id", "seq", "event", "detail"]], values
-
-
-def stream_jobs(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
+            return
+        seq = int(row.seq)
+        now = row.state if row.state is not None else ("muxing" if row.stage == "finalizing" else "downloading")
+        if now != state:
+            out.append((*key, seq, "state", now))
+        if row.stage is not None:
+            tenth = -1 if row.fraction is None else int(row.fraction * 10 + 1e-12)
+            if row.stage != stage:
+                out.append((*key, seq, "stage", row.stage))
+                stage, decile = row.stage, tenth
+            elif tenth > decile:
+                out.append((*key, seq, "milestone", f"{stage} {tenth * 10}%"))
+                decile = tenth
+        values[1:] = (now, stage, decile)
+
+
+def stream_jobs(events: DataFrame, ttl_ms: int = DAY_MS, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Milestones and state changes of a job; what comes after a final state is ignored.
 
     ``events`` have ``job_id, seq, ts, state, stage`` and the progress columns.
     """
     fraction = X.progress_fraction(F.col("segments_done"), F.col("segments_total"), F.col("bytes"), F.col("total_bytes"))
     rows = events.select("job_id", "seq", "ts", "state", "stage", fraction.alias("fraction"))
-    return _run(rows, ["job_id"], Job(ttl_ms), Job.SCHEMA, late)
+    return _run_bucketed(rows, Job(ttl_ms), late, buckets)
