@@ -23,13 +23,21 @@ from .transfers import EVENTS, PROGRESS
 
 
 def stream_of(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A file stream over a table in two arrivals, the lower half of ``seq`` first."""
+    """A file stream over a table in two arrivals, the lower half of ``seq`` first.
+
+    A trigger takes a number of files, so the halves are given equally many, and a half that wrote fewer gets empty ones:
+    otherwise one arrival would reach into the other, and its rows come late.
+    """
     folder = shared_folder(spark)
     middle = df.agg((F.max("seq") / 2).cast("bigint")).first()[0]
-    for half in (F.col("seq") <= middle, F.col("seq") > middle):
-        df.filter(half).write.mode("append").parquet(folder)
-    files = max(1, len(spark.read.parquet(folder).inputFiles()) // 2)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    df.filter(F.col("seq") <= middle).write.mode("append").parquet(folder)
+    count = lambda: len(spark.read.schema(df.schema).parquet(folder).inputFiles())
+    first = count()
+    upper = df.filter(F.col("seq") > middle).repartition(first)
+    upper.write.mode("append").parquet(folder)
+    for _ in range(2 * first - count()):
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", first).parquet(folder)
 
 
 def responses(spark, sf_dir) -> DataFrame:
