@@ -13,6 +13,7 @@ from mediasift.operators import hls as P
 from mediasift.operators import inspection as N
 from mediasift.operators import jobs as J
 from mediasift.operators import variants as V
+from mediasift.operators.written import written
 
 from .registry import ORACLES, query
 
@@ -60,6 +61,11 @@ def listed(spark, sf_dir):
     return E.extractor_variants(parsed_dumps(spark, sf_dir))
 
 
+def kept(spark, sf_dir):
+    """The same rows from a table, for queries with several branches over them: dumps are parsed once."""
+    return written(listed(spark, sf_dir))
+
+
 @query("extractor_dumps", """
 SELECT concat('src-', l_orderkey) AS source_id, concat('Title: ', l_orderkey % 50) AS title, l_orderkey % 50 + 100 AS duration,
  CASE WHEN l_orderkey % 9 <> 0 THEN count(*) END AS formats FROM lineitem WHERE l_orderkey % 97 <> 0 GROUP BY l_orderkey""")
@@ -86,14 +92,14 @@ SCORE = "coalesce(height, 0) * 1000000 + least(coalesce(bandwidth, 0), 999999)"
 SELECT source_id, ordinal, {SCORE} AS score, row_number() OVER (PARTITION BY source_id ORDER BY {SCORE} DESC, ordinal) AS video_rank
 FROM offered WHERE track <> 'audio_only'""")
 def rank_videos(spark, sf_dir):
-    return V.rank_videos(listed(spark, sf_dir)).select("source_id", "ordinal", "score", "video_rank")
+    return V.rank_videos(kept(spark, sf_dir)).select("source_id", "ordinal", "score", "video_rank")
 
 
 @query("rank_audios", f"""WITH {FORMATS}
 SELECT source_id, ordinal, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(bandwidth, 0) DESC, ordinal) AS audio_rank
 FROM offered WHERE track = 'audio_only'""")
 def rank_audios(spark, sf_dir):
-    return V.rank_audios(listed(spark, sf_dir)).select("source_id", "ordinal", "audio_rank")
+    return V.rank_audios(kept(spark, sf_dir)).select("source_id", "ordinal", "audio_rank")
 
 
 @query("rank_videos_whole_table", f"""
@@ -120,7 +126,7 @@ def rank_videos_whole_table(spark, sf_dir):
 a AS (SELECT source_id, arg_max(variant_id, coalesce(bandwidth, 0) * 1000 - ordinal) AS audio_id FROM offered WHERE track = 'audio_only' GROUP BY 1)
 SELECT source_id, ordinal, track, CASE WHEN track = 'video_only' THEN audio_id END AS audio_id FROM offered LEFT JOIN a USING (source_id) WHERE track <> 'audio_only'""")
 def pair_audio(spark, sf_dir):
-    rows = V.conform(listed(spark, sf_dir))
+    rows = V.conform(kept(spark, sf_dir))
     return V.pair_audio(V.videos_of(rows), V.audios_of(rows)).select("source_id", "ordinal", "track", "audio_id")
 
 
@@ -132,6 +138,7 @@ def pair_audio_groups(spark, sf_dir):
     masters = H.masters(spark, sf_dir)
     rows = P.hls_resolve(P.hls_master_variants(masters), P.hls_renditions(masters))
     rows = V.conform(rows.withColumn("ordinal", F.col("section") * 1000 + F.col("ordinal")).withColumn("variant_id", F.coalesce("name", "variant_id")))
+    rows = written(rows)
     paired = V.pair_audio(V.videos_of(rows), V.audios_of(rows))
     return paired.select("source_id", "ordinal", "track", "audio_group", F.col("audio_id").alias("audio_name"))
 
@@ -143,7 +150,7 @@ SELECT source_id, count(*) FILTER (track <> 'audio_only') AS videos, count(*) FI
   CASE WHEN count(*) FILTER (track <> 'audio_only') > 3 THEN concat('; +', count(*) FILTER (track <> 'audio_only') - 3) ELSE '' END) END AS best_videos
 FROM k GROUP BY 1""")
 def describe_sources(spark, sf_dir):
-    described = V.describe_sources(V.conform(listed(spark, sf_dir)))
+    described = V.describe_sources(V.conform(kept(spark, sf_dir)))
     return described.select("source_id", "videos", "audios", "best_videos")
 
 
@@ -173,7 +180,7 @@ def make_plans(spark, sf_dir):
 
 def chosen_plans(spark, sf_dir):
     """Every source takes its first video in document order, and its first audio when the key is even."""
-    variants = listed(spark, sf_dir)
+    variants = kept(spark, sf_dir)
     first = lambda track: F.min(F.when(track, F.col("ordinal")))
     plans = variants.groupBy("source_id").agg(
         first(F.col("track") != "audio_only").alias("video_ordinal"), first(F.col("track") == "audio_only").alias("_audio")
