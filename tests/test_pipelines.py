@@ -75,3 +75,23 @@ def test_tags_of_long_pages_and_late_headers(spark):
             event(5, "Network.responseReceived", '{"requestId":"alone","response":{"url":"http://x/b.mp4","headers":{}}}')]
     got = events.correlate_requests(events.parse_net_events(spark.createDataFrame(rows, events.EVENT_SCHEMA)))
     assert sorted((r.request_id, r.cookie) for r in got.collect()) == [("alone", None), ("r", "new")]
+
+
+def test_a_corpus_of_playlists_is_rendered_once(spark, tmp_path):
+    """Streams, renditions, heads and durations start from one written table, not from the corpus."""
+    media = "#EXTM3U\n#EXTINF:2.5,\na.ts\n#EXTINF:x,\n#EXT-X-MAP:URI=\"i.mp4\"\n#EXTINF:4,t\nb.ts\n#EXTINF:9,\n#EXT-X-ENDLIST"
+    master = "#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=5\nv.m3u8\n"
+    rows = [("m", "https://h.example/m", "hls_playlist", media), ("s", "https://h.example/s", "hls_playlist", master)]
+    spark.createDataFrame(rows, "manifest_id string, url string, kind string, body string").write.parquet(str(tmp_path / "given-texts"))
+    found = pipelines.variants_from_corpus(spark.read.parquet(str(tmp_path / "given-texts")))
+    assert not [f for f in found.filter("delivery = 'hls_segments'").inputFiles() if "given-texts" in f]
+    by_id = {r["source_id"]: r for r in found.collect()}
+    assert by_id["m"]["duration_seconds"] == 6.5 and by_id["m"]["is_live"] is False
+    assert by_id["s"]["url"] == "https://h.example/v.m3u8"
+
+
+def test_durations_without_addresses_are_those_of_the_segments(spark):
+    bodies = ["#EXTM3U\n#EXTINF:1,\na\n\n  b \n#EXTINF:2\n#EXTINF:3,x\r\nc\n#EXTINF:9,", "#EXTM3U", "", None, "#EXTM3U\n#EXTINF:1e1,\nhttps://[x\n"]
+    media = spark.createDataFrame([(str(i), "https://h.example/m", b) for i, b in enumerate(bodies)], "manifest_id string, url string, body string")
+    sums = lambda rows: {r[0]: (r[1], r[2]) for r in rows.groupBy("manifest_id").agg({"duration": "sum", "*": "count"}).collect()}
+    assert sums(hls.segment_durations(media)) == sums(hls.hls_segments(media))
