@@ -6,7 +6,8 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from mediasift.operators import extractor, hls
+from mediasift.functions import manifests, urls
+from mediasift.operators import dash, extractor, hls
 from mediasift.streaming import processors
 from mediasift.streaming.running import drain
 from workload import ORACLES, QUERIES
@@ -106,3 +107,24 @@ def test_attributes_are_not_parsed_by_filters(spark):
         filters = [line for line in _plan(rows).split("\n") if line.lstrip(" :+-").startswith("Filter")]
         assert not any("regexp_extract_all" in line or "transform(" in line for line in filters)
         assert uri in [r["uri"] for r in rows.collect()]
+
+
+def test_addresses_settled_once_are_those_of_each_segment(spark):
+    """A template that counts one number up is cut once; odd ones still go segment by segment, with the same addresses."""
+    templates = [
+        "$Number$.m4s", "$RepresentationID$/$Time$.m4s", "a$$-$Bandwidth$/$number%04d$", "$Number%00d$$$", "x-$Number%3d$.ts", "$Number$-$Time$", "http://h.example:$Number$/a",
+        "/r/$Number$", "?n=$Number$", "#$Number$", "../$Number$", ".$Number$", " $Number$ ", "é$Number$", "$SubNumber$", "$Nope$$Number$", "$$Number$", "$Number", "c:$Number$", "//h/$Time%05d$\n",
+    ]
+    body = "".join(
+        f'<Representation id="r {i}" bandwidth="7"><SegmentTemplate startNumber="-1" media="{t}"><SegmentTimeline><S t="98" d="1" r="2"/></SegmentTimeline></SegmentTemplate></Representation>'
+        for i, t in enumerate(templates)
+    )
+    manifest = [("m", "https://h.example/d/x.mpd?q", f"<MPD><Period duration=\"PT9S\"><AdaptationSet>{body}</AdaptationSet></Period></MPD>")]
+    reps = dash.dash_representations(dash.parse_manifests(spark.createDataFrame(manifest, "manifest_id STRING, url STRING, body STRING")))
+    k = F.col("ordinal")
+    each = urls.resolve_url(manifests.expand_template(F.col("template._media"), F.col("rep_id"), F.col("bandwidth"), k - 1, k + 98), "base_url")
+    keys = ["manifest_id", "period_no", "set_no", "rep_no"]
+    rows = dash.dash_segments(reps).join(reps.select(*keys, "template", "base_url", "bandwidth"), keys).select("rep_no", "ordinal", "uri", each.alias("each")).collect()
+    assert len(rows) == 3 * len(templates) and [r for r in rows if r["uri"] != r["each"]] == []
+    cut = reps.select(manifests.one_counter(F.col("template._media"), F.col("rep_id"), F.col("bandwidth")).isNotNull().alias("cut")).filter("cut").count()
+    assert 5 <= cut < len(templates)
