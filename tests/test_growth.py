@@ -128,3 +128,24 @@ def test_addresses_settled_once_are_those_of_each_segment(spark):
     assert len(rows) == 3 * len(templates) and [r for r in rows if r["uri"] != r["each"]] == []
     cut = reps.select(manifests.one_counter(F.col("template._media"), F.col("rep_id"), F.col("bandwidth")).isNotNull().alias("cut")).filter("cut").count()
     assert 5 <= cut < len(templates)
+
+
+def test_tracks_need_no_layouts_and_folders_join(spark):
+    """Without templates and lists everything else is the same; a folder under a folder is joined as it would be resolved."""
+    bases = ["a/", "a", "/r/", "../u/", "./v/", "a/../b/", "a//b/", "http://o.example/x", "//o.example/y/", "?q", "é/", "a b/", "c:/d", ".", "a.b/.c/", " t/ ", "%20/"]
+    sets = "".join(
+        f'<AdaptationSet><BaseURL>{b}</BaseURL><SegmentTemplate media="$Number$"/><Representation bandwidth="{i}"><BaseURL>{c}</BaseURL><SegmentList/></Representation></AdaptationSet>'
+        for i, (b, c) in enumerate((b, c) for b in bases for c in bases)
+    )
+    given = ["https://h.example/p/", "https://H.example:443/p/x.mpd?q=/z/", "https://h.example", "file:///p/"]
+    texts = spark.createDataFrame([(u, u, f"<MPD><Period>{sets}</Period></MPD>") for u in given], "manifest_id STRING, url STRING, body STRING")
+    whole, tracks = (dash.dash_representations(dash.parse_manifests(texts, layouts)) for layouts in (True, False))
+    assert set(whole.columns) - set(tracks.columns) == {"template", "segment_list"}
+    rows = tracks.select("manifest_id", "set_no", "base_url", "rep_id", "bandwidth").collect()
+    assert sorted(rows) == sorted(whole.select("manifest_id", "set_no", "base_url", "rep_id", "bandwidth").collect())
+    assert len(rows) == len(given) * len(bases) ** 2
+    pairs = spark.createDataFrame([(u, b, c) for u in given for b in bases for c in bases], "u STRING, b STRING, c STRING")
+    resolved = pairs.select("u", "b", "c", urls.resolve_url(F.trim("b"), "u").alias("x")).select("u", "b", "c", urls.resolve_url(F.trim("c"), "x").alias("y"))
+    expected = {(r.u, r.b, r.c): r.y for r in resolved.collect()}
+    place = [(b, c) for b in bases for c in bases]
+    assert [(place[r.set_no], r.base_url) for r in rows if r.base_url != expected[(r.manifest_id, *place[r.set_no])]] == []

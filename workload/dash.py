@@ -23,15 +23,15 @@ reps AS (SELECT *, concat('dash-', l_orderkey) AS manifest_id,
  CASE l_returnflag WHEN 'A' THEN 'webm' WHEN 'N' THEN 'm4a' ELSE 'vtt' END AS container FROM i)"""
 
 
-def reps(spark, sf_dir):
-    return P.dash_representations(P.parse_manifests(X.manifests(spark, sf_dir)))
+def reps(spark, sf_dir, layouts=True):
+    return P.dash_representations(P.parse_manifests(X.manifests(spark, sf_dir), layouts))
 
 
 @query("dash_representations", f"""WITH {REPS}
 SELECT manifest_id, period_no, set_no, rep_id, base_url, content_type, mime, codecs, width, height, frame_rate, lang, bandwidth,
  round(period_seconds, 3) AS period_seconds, container FROM reps""")
 def dash_representations(spark, sf_dir):
-    return reps(spark, sf_dir).select(
+    return reps(spark, sf_dir, layouts=False).select(
         "manifest_id", "period_no", "set_no", "rep_id", "base_url", "content_type", "mime", "codecs", "width", "height",
         F.round("frame_rate", 6).alias("frame_rate"), "lang", "bandwidth", F.round("period_seconds", 3).alias("period_seconds"), "container",
     )
