@@ -65,7 +65,7 @@ SELECT manifest_id AS source_id, period_no, set_no, track, height, bandwidth, co
  CASE WHEN track = 'audio_only' THEN concat('pt', CASE WHEN bandwidth > 0 THEN concat(' ', bandwidth // 1000, ' kbps') ELSE '' END) END AS name, container
 FROM d WHERE rn = 1""")
 def dash_resolve(spark, sf_dir):
-    return P.dash_resolve(reps(spark, sf_dir)).select(
+    return P.dash_resolve(reps(spark, sf_dir, layouts=False)).select(
         "source_id", "period_no", "set_no", "track", "height", "bandwidth", "codecs", "language", "variant_id", "name", "container"
     )
 
