@@ -6,8 +6,9 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from mediasift.functions import manifests, urls
+from mediasift.functions import manifests, text, urls
 from mediasift.operators import dash, extractor, hls
+from mediasift.operators.pinning import pin
 from mediasift.streaming import processors
 from mediasift.streaming.running import drain
 from workload import ORACLES, QUERIES
@@ -149,3 +150,31 @@ def test_tracks_need_no_layouts_and_folders_join(spark):
     expected = {(r.u, r.b, r.c): r.y for r in resolved.collect()}
     place = [(b, c) for b in bases for c in bases]
     assert [(place[r.set_no], r.base_url) for r in rows if r.base_url != expected[(r.manifest_id, *place[r.set_no])]] == []
+
+
+def test_pinned_values_are_compiled(spark):
+    """A generator with a lambda inside is interpreted node by node; the values of a pin come from a projection."""
+    rows = pin(spark.range(3), {"x": F.get(F.transform(F.array("id"), lambda i: i + 1), F.lit(0))}).filter("x > 1")
+    generators = [line for line in _plan(rows).split("\n") if "Generate " in line]
+    assert len(generators) == 1 and "lambda" not in generators[0] and _plan(rows).count("transform(") == 1
+    assert sorted(r["x"] for r in rows.collect()) == [2, 3]
+
+
+def test_plain_forms_give_what_the_general_ones_give(spark):
+    """Plain references, numbers, spans and durations take a short way; a blank in front sends the same text the long way."""
+    bases = ["https://h.example/a/b.mpd?q=/x/", "https://h.example", "http://h.example:80/a/", "https://H.example/a/", "https://u@h.example/a/b", "file:///a/b", "https://h.example/a/../b/c", "https://h.example/%20/~x/c#/d/"]
+    refs = ["v.ts", "a/b.ts", "a//b", "/r/s.ts", "//o.example/x", "/", "/./x", "/.x", "a/.b", "a/..", ".", "..", "a:b", "a?b=c", "a?b=../c", "a?b=c/./d", "a?b#c", "a#b", "?q", "#f", "k2,v2.key", "a;b@c!$&'()*+=", "%zz", "é", "a b", "a\\b", "a[1]", "x|y", "A.TS?é", "a?b:c", "a\n", "1", "", "\"q\""]
+    pairs = spark.createDataFrame([(b, r) for b in bases for r in refs], "b STRING, r STRING")
+    parts = urls.base_parts("b")
+    got = pairs.select("b", "r", urls.resolve_url("r", "b").alias("x"), urls.resolve_url("r", "b", parts).alias("y"), urls.resolve_url(F.concat(F.lit(" "), "r"), "b").alias("z")).collect()
+    assert [g for g in got if not g.x == g.y == g.z] == [] and len({g.x for g in got}) > 100
+    numbers = ["7", "007", "999999999", "2147483648", "-1", "+5", "1.5", "9223372036854775808", "", "x", "1e3", ".5", "5.", "NaN", "1d"]
+    spans = ["10", "10@20", "@5", "10@", "a@b", "1@2@3", "-1@2", "999999999999999999@1", "9999999999999999999@1", '"7@8"', ""]
+    times = ["PT5S", "PT0.5S", "PT1M40.5S", "PT2H", "PT1H2M3S", "PT", "P1D", "-PT5S", "PT5", "PT5.S", "P1Y2M3DT4H5M6.7S", "PT1M2H", "PT0S", "", "P", "PT99999999999S", "pt5s"]
+    for function, given in ((text.to_long, numbers), (text.to_int, numbers), (text.to_double, numbers), (manifests.byte_range, spans), (text.iso_seconds, times)):
+        rows = spark.createDataFrame([(g,) for g in given] + [(None,)], "t STRING")
+        odd = rows.select("t", function(F.col("t")).alias("x"), function(F.concat(F.lit(" "), "t")).alias("y")).collect()
+        assert [o for o in odd if o.x != o.y] == []
+    blocks = ["#A:1\n#A:2\nx", "#A:1", "x#A:1", "x\n#A:", "#AB:1\n#A:2#A:3", "", None, "#A:1\nx#A:2"]
+    rows = spark.createDataFrame([(b,) for b in blocks], "t STRING")
+    assert [r[0] for r in rows.select(manifests.last_tag(F.col("t"), "#A")).collect()] == [r[0] for r in rows.select(manifests.last_tag(F.col("t"), "#A", r"[^\n]{0,99}")).collect()]
