@@ -50,10 +50,12 @@ def parts_of_variants(chosen: DataFrame, manifests: DataFrame) -> DataFrame:
     ``chosen`` are variants (``source_id, variant_id, url, delivery``), ``manifests`` the corpus with their playlists. A
     variant whose playlist is itself a master is followed to the best stream of that master. A playlist that was captured
     more than once counts once; variants without a captured playlist give no parts.
+
+    Playlists are written once with their role, as masters and media playlists would each put all texts together again.
     """
     # url -> one body; an address may serve many variants.
     lists = manifests.filter(F.col("kind") == K.HLS).groupBy("url").agg(F.max("body").alias("body"))
-    lists = hls.split_playlists(lists.withColumn("manifest_id", F.col("url")))
+    lists = written(hls.split_playlists(lists.withColumn("manifest_id", F.col("url"))))
     best = hls.best_of_masters(hls.hls_master_variants(lists.filter(F.col("playlist_role") == "master")))
     wanted = chosen.filter(F.col("delivery") == "hls_segments").select("source_id", "variant_id", F.col("url").alias("_variant_url"))
     wanted = wanted.join(best, F.col("_variant_url") == F.col("_master_url"), "left")

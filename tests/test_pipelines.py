@@ -95,3 +95,16 @@ def test_durations_without_addresses_are_those_of_the_segments(spark):
     media = spark.createDataFrame([(str(i), "https://h.example/m", b) for i, b in enumerate(bodies)], "manifest_id string, url string, body string")
     sums = lambda rows: {r[0]: (r[1], r[2]) for r in rows.groupBy("manifest_id").agg({"duration": "sum", "*": "count"}).collect()}
     assert sums(hls.segment_durations(media)) == sums(hls.hls_segments(media))
+
+
+def test_parts_start_from_playlists_written_once(spark, tmp_path):
+    """Masters and media playlists of one corpus start from one written table; texts captured twice count once."""
+    media = "#EXTM3U\n#EXT-X-MAP:URI=\"i.mp4\"\n#EXTINF:2.5,\na.ts\n"
+    rows = [("m", "https://h.example/v.m3u8", "hls_playlist", media), ("m2", "https://h.example/v.m3u8", "hls_playlist", media),
+            ("s", "https://h.example/s", "hls_playlist", "#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=5\nv.m3u8\n"), ("p", "https://h.example/p", "unknown", "x")]
+    spark.createDataFrame(rows, "manifest_id string, url string, kind string, body string").write.parquet(str(tmp_path / "given-texts"))
+    chosen = spark.createDataFrame([("a", "v", "https://h.example/s", "hls_segments"), ("b", "v", "https://h.example/v.m3u8", "hls_segments"), ("c", "v", "https://h.example/none", "hls_segments")], "source_id string, variant_id string, url string, delivery string")
+    parts = pipelines.parts_of_variants(chosen, spark.read.parquet(str(tmp_path / "given-texts")))
+    assert not [f for f in parts.inputFiles() if "given-texts" in f]
+    got = sorted((r.source_id, r.ordinal, not r.is_init, r.uri, r.seconds) for r in parts.collect())
+    assert got == [(s, 0, late, f"https://h.example/{u}", t) for s in "ab" for late, u, t in ((False, "i.mp4", None), (True, "a.ts", 2.5))]

@@ -16,6 +16,7 @@ from mediasift.functions import text as X
 from mediasift.operators import hls as P
 from mediasift.operators import registry as R
 from mediasift.operators import variants as V
+from mediasift.operators.written import written
 from mediasift.plans import pipelines, table_functions
 from mediasift.sources import readers
 
@@ -121,7 +122,7 @@ p AS (SELECT manifest_id, ordinal, 0 AS is_init, uri, duration AS seconds FROM s
 SELECT concat(w, '-', replace(manifest_id, 'media-', '')) AS source_id, ordinal, is_init, uri, seconds FROM p, (VALUES ('outer'), ('plain')) AS t(w)""")
 def parts_of_variants(spark, sf_dir):
     """Every media playlist twice: named by a variant, and behind a nested master that also offers a worse stream."""
-    media = H.media(spark, sf_dir)
+    media = written(H.media(spark, sf_dir))
     nested = media.select(
         F.regexp_replace("manifest_id", "media", "nested").alias("manifest_id"), F.regexp_replace("url", "media", "nested").alias("url"), "kind",
         F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=5\nworse.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=9\nmedia.m3u8\n#EXT-X-I-FRAME-STREAM-INF:BANDWIDTH=99,URI=\"trick.m3u8\"\n").alias("body"),
