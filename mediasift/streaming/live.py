@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
@@ -32,15 +32,23 @@ def stream_correlate(events: DataFrame, within: str = "1 minute", late: str = "1
     ``events`` are parsed by ``parse_net_events``. A response whose request never comes is
     emitted once the watermark has passed it, and nothing pending outlives it.
     """
+    # The state of a join holds its rows until the watermark passes them, and most of the disk is that state: responses come in
+    # with the fields that go out, and the other two with their cookie, not with whole header maps.
     method = F.col("method")
+    answer = H.lower_keys(F.col("p.response.headers"))
+    length = X.asset_length(
+        F.try_element_at(answer, F.lit("content-range")), F.try_element_at(answer, F.lit("content-length"))
+    )
     received = events.filter(method == E.METHODS[2]).select(
-        "visit_id", "request_id", "seq", "ts", F.col("p.response").alias("response"), F.col("p.type").alias("resource_type")
+        "visit_id", "request_id", "seq", "ts", F.col("p.response.url").alias("url"), F.col("p.response.mimeType").alias("mime_type"),
+        F.col("p.type").alias("resource_type"), length.alias("content_length"),
     ).withWatermark("ts", late)
 
-    def side(name: str, value, prefix: str) -> DataFrame:
+    def side(name: str, headers: Column, prefix: str) -> DataFrame:
+        cookie = F.try_element_at(H.lower_keys(headers), F.lit("cookie"))
         rows = events.filter(method == name).select(
             F.col("visit_id").alias(f"{prefix}visit"), F.col("request_id").alias(f"{prefix}id"),
-            F.col("ts").alias(f"{prefix}ts"), value.alias(f"{prefix}headers"),
+            F.col("ts").alias(f"{prefix}ts"), cookie.alias(f"{prefix}cookie"),
         )
         return rows.withWatermark(f"{prefix}ts", late)
 
@@ -53,14 +61,10 @@ def stream_correlate(events: DataFrame, within: str = "1 minute", late: str = "1
     sent = side(E.METHODS[0], F.col("p.request.headers"), "s_")
     extra = side(E.METHODS[1], F.col("p.headers"), "e_")
     joined = received.join(sent, near("s_"), "leftOuter").join(extra, near("e_"), "leftOuter")
-    headers = H.merge_headers(H.lower_keys(F.col("s_headers")), H.lower_keys(F.col("e_headers")))
-    answer = H.lower_keys(F.col("response.headers"))
-    length = X.asset_length(
-        F.try_element_at(answer, F.lit("content-range")), F.try_element_at(answer, F.lit("content-length"))
-    )
+    # As in merged headers the extra ones win; a name without a value is not there.
     return joined.select(
-        "visit_id", "request_id", "seq", "ts", F.col("response.url").alias("url"), F.col("response.mimeType").alias("mime_type"),
-        "resource_type", length.alias("content_length"), F.try_element_at(headers, F.lit("cookie")).alias("cookie"),
+        "visit_id", "request_id", "seq", "ts", "url", "mime_type", "resource_type", "content_length",
+        F.coalesce("e_cookie", "s_cookie").alias("cookie"),
     )
 
 

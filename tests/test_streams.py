@@ -5,9 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from mediasift.operators import events as E
 from mediasift.operators import rates
-from mediasift.streaming import processors, stateful
-from mediasift.streaming.running import drain, shared_folder
+from mediasift.streaming import live, processors, stateful
+from mediasift.streaming.running import drain, rocksdb, shared_folder
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -109,3 +110,35 @@ def test_a_key_is_given_up_after_its_last_row(spark, tmp_path):
     rows = processors.stream_protection(stream_of(spark, tmp_path, batches, PACKAGE), ttl_ms=40 * minute * 1000, late="1 minute")
     got = {(r.url, r.is_protected) for r in drain(rows, "update").collect() if r.visit_id == 1}
     assert got == {("a", True), ("b", True), ("c", False)}
+
+
+def test_correlation_keeps_no_header_maps(spark, tmp_path):
+    sent, more, answer = E.METHODS[:3]
+    part = lambda rid, seq, method, rest: (1, seq, at(seq), method, f'{{"requestId": "{rid}", {rest}}}')
+    reply = lambda rid, seq: part(rid, seq, answer, f'"type": "XHR", "response": {{"url": "https://h/{rid}", "headers": {{"Content-Range": "bytes 0-1/7", "Content-Length": "2"}}}}')
+    batches = [
+        [part("a", 1, sent, '"request": {"headers": {"Cookie": "own", "X": "1"}}'), part("a", 2, more, '"headers": {"COOKIE ": "extra"}'), reply("a", 3)],
+        [part("b", 4, sent, '"request": {"headers": {"cookie": "own"}}'), reply("b", 5), part("b", 6, more, '"headers": {"Cookie": "", "x": "1"}'), reply("c", 7)],
+        [(-1, 999, at(9999), m, '{"requestId": "end"}') for m in (sent, more, answer)],
+    ]
+    rows = live.stream_correlate(E.parse_net_events(stream_of(spark, tmp_path, batches, E.EVENT_SCHEMA)))
+    plan, kept = rows._jdf.queryExecution().analyzed(), []
+
+    def walk(node):
+        if node.nodeName() == "Join":
+            kept.extend(node.children().apply(i).schema().simpleString() for i in range(2))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    assert len(kept) == 4 and not any("map<" in k for k in kept)
+    got = {r.request_id: (r.url, r.resource_type, r.content_length, r.cookie) for r in drain(rows).filter("visit_id > 0").collect()}
+    assert got == {"a": ("https://h/a", "XHR", 7, "extra"), "b": ("https://h/b", "XHR", 7, "own"), "c": ("https://h/c", "XHR", 7, None)}
+
+
+def test_a_small_store_sets_nothing_aside(spark):
+    name = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+    with rocksdb(spark):
+        assert spark.conf.get(name) == "false"
+        assert spark.conf.get("spark.sql.streaming.join.stateFormatVersion") == "3"
+    assert spark.conf.get(name, None) is None
