@@ -1,11 +1,14 @@
 """What must not grow with the input: calls per key, arrivals that overlap, texts that are parsed once per mention."""
 
+import datetime as dt
 import json
+import re
 
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
+from mediasift.fixtures import dash as Dx
 from mediasift.functions import manifests, text, urls
 from mediasift.operators import dash, extractor, hls
 from mediasift.operators.pinning import pin
@@ -178,3 +181,18 @@ def test_plain_forms_give_what_the_general_ones_give(spark):
     blocks = ["#A:1\n#A:2\nx", "#A:1", "x#A:1", "x\n#A:", "#AB:1\n#A:2#A:3", "", None, "#A:1\nx#A:2"]
     rows = spark.createDataFrame([(b,) for b in blocks], "t STRING")
     assert [r[0] for r in rows.select(manifests.last_tag(F.col("t"), "#A")).collect()] == [r[0] for r in rows.select(manifests.last_tag(F.col("t"), "#A", r"[^\n]{0,99}")).collect()]
+
+
+def test_manifests_are_rendered_in_one_order(spark, tmp_path):
+    schema = "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_extendedprice DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    day = dt.datetime(2024, 1, 1)
+    lines = [(2, p, 3, n, 1.5, "R", "F", day) for n, p in enumerate((50, 40, 30, 20, 10), 1)] + [(None, 7, 4, 1, 2.0, "A", "O", day), (4, None, 4, 1, 2.0, "A", "O", day)]
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = Dx.manifests(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "lambda" not in plan
+    periods = {r.manifest_id: (r.body or "").split("<Period ")[1:] for r in rows.collect()}
+    found = [re.findall(r"<BaseURL>(set\d+)/</BaseURL>.*? id=\"r(\d+)\"", p) for p in periods["dash-2"]]
+    assert found == [[("set0", "50"), ("set1", "30"), ("set2", "10")], [("set0", "40"), ("set1", "20")]]
+    # A key that is null is an order too; an item without a number for its address leaves no set.
+    assert len(periods) == 3 and "AdaptationSet" not in "".join(periods["dash-4"])
